@@ -55,6 +55,6 @@ def clock_minutes(start: Column, end: Column) -> Column:
 def epoch_nanos(text: Column) -> Column:
     """Nanoseconds since 1970 (text or number) to a UTC clock reading, to the nearest microsecond."""
     nanos = F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
+    thousand = F.lit(1000).cast("bigint")
     shifted = nanos + F.lit(500).cast("bigint")
-    micros = F.floor((shifted - F.pmod(shifted, F.lit(1000).cast("bigint"))) / F.lit(1000))
-    return _clock_from_micros(micros)
+    return _clock_from_micros(F.call_function("div", shifted - F.pmod(shifted, thousand), thousand))

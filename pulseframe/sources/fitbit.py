@@ -11,10 +11,9 @@ from pulseframe.functions.clock import us_clock
 from pulseframe.functions.numbers import blank_to_null, number
 from pulseframe.sources.canonical import canonical, lookup, with_absent
 from pulseframe.sources.csv_files import read_by_header
+from pulseframe.sources.infer import ACTIVITY_FILE, SLEEP_FILE, file_name
 
-# ---- fixed values: file names, column -> metric and unit -----------------------------------
-ACTIVITY_FILE = "dailyactivity_merged.csv"
-SLEEP_FILE = "sleepday_merged.csv"
+# ---- fixed values: column -> metric and unit -----------------------------------------------
 ACTIVITY_COLUMNS = {
     "TotalSteps": ("steps", "count"),
     "Calories": ("calories", "kcal"),
@@ -74,8 +73,8 @@ def sleep_events(frame: DataFrame) -> DataFrame:
 
 def fitbit_events(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Both kinds of file, told apart by name; other files are ignored."""
-    activity = [path for path in paths if ACTIVITY_FILE in path.rsplit("/", 1)[-1].lower()]
-    sleep = [path for path in paths if SLEEP_FILE in path.rsplit("/", 1)[-1].lower()]
+    activity = [path for path in paths if ACTIVITY_FILE in file_name(path)]
+    sleep = [path for path in paths if SLEEP_FILE in file_name(path)]
     parts = []
     if activity:
         parts.append(activity_events(read_activity(spark, activity)))

@@ -22,11 +22,18 @@ DATA_TYPES = {
 # --------------------------------------------------------------------------------------------
 
 # Numbers are read as text: exports hold 64-bit integers both quoted and bare.
-POINT_DDL = (
-    "dataTypeName string, metric string, originDataSourceId string, startTimeNanos string, unit string, value string, "
-    "fitValue array<struct<intVal: string, fpVal: string, mapVal: array<struct<value: struct<fpVal: string>>>>>"
+def _text(*names: str) -> list[T.StructField]:
+    return [T.StructField(name, T.StringType(), True) for name in names]
+
+
+_NESTED = T.StructType([T.StructField("value", T.StructType(_text("fpVal")), True)])
+_FIT = T.StructType([*_text("intVal", "fpVal"), T.StructField("mapVal", T.ArrayType(_NESTED), True)])
+POINT = T.StructType(
+    [
+        *_text("dataTypeName", "metric", "originDataSourceId", "startTimeNanos", "unit", "value"),
+        T.StructField("fitValue", T.ArrayType(_FIT), True),
+    ]
 )
-POINT = T.StructType.fromDDL(POINT_DDL)
 EXPORT = T.StructType([T.StructField("points", T.ArrayType(POINT), True), *POINT.fields])
 
 

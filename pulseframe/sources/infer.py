@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.sources.fitbit import ACTIVITY_FILE, SLEEP_FILE
-
-# ---- fixed values: file names and suffixes -------------------------------------------------
+# ---- fixed values: file names that decide a source -----------------------------------------
 XML_EXPORT = "export.xml"
+ACTIVITY_FILE = "dailyactivity_merged.csv"
+SLEEP_FILE = "sleepday_merged.csv"
 # --------------------------------------------------------------------------------------------
 
 
+# A file written by Spark is a folder of that name holding part files.
+PART_FILE = "/part-[^/]*$"
+
+
+def file_name(path: str) -> str:
+    """The lower-case name that tells the vendor."""
+    return re.sub(PART_FILE, "", path.rstrip("/")).rsplit("/", 1)[-1].lower()
+
+
 def _file_name(path: Column) -> Column:
-    return F.lower(F.element_at(F.split(path, "/"), -1))
+    return F.lower(F.element_at(F.split(F.regexp_replace(path, PART_FILE, ""), "/"), -1))
 
 
 def source_by_name(name: Column) -> Column:
@@ -58,7 +69,7 @@ def classify_uploads(files: DataFrame) -> DataFrame:
 
 def infer_source(paths: list[str]) -> str:
     """The vendor of one upload given as a list of paths; a well-known name wins, then the first file."""
-    names = [path.rstrip("/").rsplit("/", 1)[-1].lower() for path in paths]
+    names = [file_name(path) for path in paths]
     if XML_EXPORT in names:
         return "apple_health"
     if ACTIVITY_FILE in names or SLEEP_FILE in names:

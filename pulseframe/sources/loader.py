@@ -10,10 +10,10 @@ from pulseframe.schema import SOURCES
 from pulseframe.sources.apple import apple_events, read_apple
 from pulseframe.sources.canonical import accepted
 from pulseframe.sources.csv_files import file_paths
-from pulseframe.sources.fitbit import ACTIVITY_FILE, SLEEP_FILE, fitbit_events
+from pulseframe.sources.fitbit import fitbit_events
 from pulseframe.sources.garmin import garmin_events, read_garmin
 from pulseframe.sources.google import google_events, read_google
-from pulseframe.sources.infer import infer_source
+from pulseframe.sources.infer import ACTIVITY_FILE, SLEEP_FILE, file_name, infer_source
 from pulseframe.sources.manual import manual_events, read_manual
 from pulseframe.sources.oura import oura_events, read_oura
 
@@ -42,5 +42,4 @@ def load_events(spark: SparkSession, paths: list[str], source: str | None = None
 
 def sample_files(spark: SparkSession, folder: str) -> list[str]:
     """The tracker sample files present in a folder."""
-    names = file_paths(spark, [folder])
-    return [path for path in names if path.rsplit("/", 1)[-1].lower() in (ACTIVITY_FILE, SLEEP_FILE)]
+    return [path for path in file_paths(spark, [folder]) if file_name(path) in (ACTIVITY_FILE, SLEEP_FILE)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,25 +41,20 @@ def read_oura(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.schema(EXPORT).option("multiLine", "true").json(paths)
 
 
+def _readings(section: str, field: str, metric: str, unit: str, divisor: float) -> Column:
+    """One field of a section as an array of readings, empty where the section is absent."""
+    fixed = {"divisor": divisor, "metric": metric, "unit": unit, "section": section, "field": field}
+    return F.transform(
+        F.coalesce(section, F.array().cast(EXPORT[section].dataType)),
+        lambda row: F.struct(
+            row["day"].alias("day"), row[field].alias("cell"), *[F.lit(value).alias(name) for name, value in fixed.items()]
+        ),
+    )
+
+
 def oura_events(documents: DataFrame) -> DataFrame:
     """All sections of a document in one pass; an absent field gives no row."""
-    readings = []
-    for section, fields in SECTIONS.items():
-        for field, (metric, unit, divisor) in fields.items():
-            readings.append(
-                F.transform(
-                    F.coalesce(section, F.array().cast(EXPORT[section].dataType)),
-                    lambda row, section=section, field=field, metric=metric, unit=unit, divisor=divisor: F.struct(
-                        row["day"].alias("day"),
-                        row[field].alias("cell"),
-                        F.lit(divisor).alias("divisor"),
-                        F.lit(metric).alias("metric"),
-                        F.lit(unit).alias("unit"),
-                        F.lit(section).alias("section"),
-                        F.lit(field).alias("field"),
-                    ),
-                )
-            )
+    readings = [_readings(section, field, *row) for section, fields in SECTIONS.items() for field, row in fields.items()]
     long = documents.select("user_id", F.inline(F.concat(*readings))).where(F.col("cell").isNotNull())
     return canonical(
         long,
