@@ -43,9 +43,10 @@ def python_round(value: Column, digits: int) -> Column:
     ticks = F.floor(scaled).cast("bigint")
     product = ticks * F.lit(scale).cast("bigint")
     steps = F.shiftright(product, 53)
-    rest = (product - F.shiftleft(steps, 53)).cast("double") + (scaled - ticks.cast("double")) * F.lit(float(scale))
-    half = F.lit(float(2**52))
-    step_up = (rest > half) | ((rest == half) & (F.pmod(steps, F.lit(2).cast("bigint")) == 1))
+    # Way left to the half-way point in ticks, against the part of a tick the integer dropped.
+    gap = (F.lit(2**52) - (product - F.shiftleft(steps, 53))).cast("double")
+    beyond = (scaled - ticks.cast("double")) * F.lit(float(scale))
+    step_up = (beyond > gap) | ((beyond == gap) & (F.pmod(steps, F.lit(2).cast("bigint")) == 1))
     rounded = (whole * F.lit(scale).cast("bigint") + steps + step_up.cast("bigint")).cast("double") / F.lit(float(scale))
     exact = F.when(value < 0, -rounded).otherwise(rounded)
     return F.when(size < F.lit(1e12), exact).otherwise(value)
@@ -53,7 +54,7 @@ def python_round(value: Column, digits: int) -> Column:
 
 def float_text(value: Column) -> Column:
     """A double as plain decimal text with at least one decimal place."""
-    plain = F.regexp_replace(value.try_cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+$", "$1")
+    plain = F.regexp_replace(value.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
     size = F.abs(value)
     small_or_large = (size != 0.0) & ((size < 1e-3) | (size >= 1e7)) & (size >= 1e-4) & (size < 1e16)
     return F.when(small_or_large, plain).otherwise(value.cast("string"))

@@ -20,14 +20,12 @@ from pulseframe.operators.overview import overview_from_wide
 from pulseframe.operators.ranking import latest_user, pair_order, users
 from pulseframe.plans.read_models import select_user
 from pulseframe.schema import USER
-from pulseframe.sources.canonical import accepted, rejected
 from pulseframe.sources.loader import parse_files, sample_files
 
 BY_IMPORT: dict[str, T.StructType] = {
     "raw_events": schema.RAW_EVENTS,
     "daily_partials": schema.DAILY_PARTIALS,
     "import_runs": schema.IMPORT_RUNS,
-    "quarantine": schema.QUARANTINE,
 }
 DERIVED: dict[str, T.StructType] = {
     "overview_daily": schema.OVERVIEW_DAILY,
@@ -42,7 +40,7 @@ class EventStore:
         for table, kind in {**BY_IMPORT, **DERIVED}.items():
             empty = spark.createDataFrame([], kind).write.mode("ignore")
             if table in BY_IMPORT:
-                empty = empty.partitionBy("import_id")
+                empty = empty.partitionBy(*[name for name in ("import_id", "rejected") if name in kind.names])
             empty.parquet(self._path(table))
 
     def _path(self, table: str) -> str:
@@ -52,10 +50,10 @@ class EventStore:
         kind = {**BY_IMPORT, **DERIVED}[table]
         return self.spark.read.schema(kind).parquet(self._path(table))
 
-    def _write_import(self, frame: DataFrame, table: str, import_id: str) -> str:
-        """Write one import's folder; sorted rows and a bloom filter let a user filter skip row groups."""
+    def _write_import(self, frame: DataFrame, table: str, import_id: str, *folders: str) -> str:
+        """Write one import's folder. A bloom filter lets a user filter skip row groups."""
         path = f"{self._path(table)}/import_id={import_id}"
-        writer = frame.write.mode("overwrite")
+        writer = frame.write.mode("overwrite").partitionBy(*folders)
         if USER in frame.columns:
             writer = writer.option(f"parquet.bloom.filter.enabled#{USER}", "true")
         writer.parquet(path)
@@ -64,32 +62,38 @@ class EventStore:
     # ---- imports ---------------------------------------------------------------------------
 
     def append_events(self, events: DataFrame, source: str, file_count: int, import_id: str | None = None) -> dict:
-        """Add events under a fresh import id and return the audit row; no events is an error."""
-        if events.isEmpty():
-            raise ValueError("the import holds no usable events")
+        """Add events under a fresh import id and return the audit row; no usable event is an error.
+
+        Rows with a ``reject_reason`` go to a folder of their own in the same write, so the input is
+        parsed once. Counts and day totals are taken from the written files.
+        """
         import_id = import_id or str(uuid.uuid4())
-        stamped = events.select(*schema.EVENT_COLUMNS).withColumn("ingested_at", F.current_timestamp())
-        path = self._write_import(stamped.sortWithinPartitions(USER, "timestamp"), "raw_events", import_id)
-        written = self.spark.read.schema(schema.EVENT).parquet(path)
-        self._write_import(daily_partials(written), "daily_partials", import_id)
-        audit = written.agg(
+        reason = F.col("reject_reason") if "reject_reason" in events.columns else F.lit(None).cast("string").alias("reject_reason")
+        stamped = events.select(
+            *schema.EVENT_COLUMNS, reason, F.current_timestamp().alias("ingested_at"), reason.isNotNull().alias("rejected")
+        )
+        path = self._write_import(
+            stamped.sortWithinPartitions("rejected", USER, "timestamp"), "raw_events", import_id, "rejected"
+        )
+        stored = T.StructType([field for field in schema.RAW_EVENTS.fields if field.name != "import_id"])
+        usable = self.spark.read.schema(stored).parquet(path).where(~F.col("rejected"))
+        audit = usable.agg(
             F.lit(source).alias("source"),
             F.lit(file_count).cast("int").alias("file_count"),
             F.count(F.lit(1)).alias("record_count"),
             F.countDistinct(USER).alias("user_count"),
             F.current_timestamp().alias("created_at"),
         )
-        run_path = self._write_import(audit, "import_runs", import_id)
-        row = self.spark.read.schema(audit.schema).parquet(run_path).first()
+        row = audit.first()
+        if not row.record_count:
+            raise ValueError("the import holds no usable events")
+        self._write_import(daily_partials(usable), "daily_partials", import_id)
+        self._write_import(self.spark.createDataFrame([row], audit.schema), "import_runs", import_id)
         return {"import_id": import_id, **row.asDict()}
 
     def import_files(self, paths: list[str], source: str, import_id: str | None = None) -> dict:
         """Parse files of one source, append the usable rows and set the others aside."""
-        import_id = import_id or str(uuid.uuid4())
-        parsed = parse_files(self.spark, paths, source)
-        audit = self.append_events(accepted(parsed), source, len(paths), import_id)
-        self._write_import(rejected(parsed), "quarantine", import_id)
-        return audit
+        return self.append_events(parse_files(self.spark, paths, source), source, len(paths), import_id)
 
     def bootstrap_sample(self, folder: str) -> dict | None:
         """Load the tracker sample files into an empty store; otherwise do nothing."""
@@ -125,7 +129,7 @@ class EventStore:
     # ---- scans -----------------------------------------------------------------------------
 
     def raw_events(self, user: str | None = None) -> DataFrame:
-        events = self._read("raw_events")
+        events = self._read("raw_events").where(~F.col("rejected")).drop("rejected", "reject_reason")
         return events if user is None else events.where(F.col(USER) == user)
 
     def import_runs(self) -> DataFrame:
@@ -133,10 +137,11 @@ class EventStore:
 
     def import_users(self) -> DataFrame:
         """The users of each import, in order; rows rather than one list, as an import may hold any number."""
-        return self._read("raw_events").select("import_id", USER).distinct().orderBy("import_id", USER)
+        return self.raw_events().select("import_id", USER).distinct().orderBy("import_id", USER)
 
     def quarantine(self) -> DataFrame:
-        return self._read("quarantine")
+        """Rows set aside, with the field that made them unusable."""
+        return self._read("raw_events").where("rejected").drop("rejected")
 
     def overview(self, user: str | None = None) -> DataFrame:
         """All overview rows, or those of one user in day order."""
@@ -149,7 +154,7 @@ class EventStore:
         return table if user is None else table.where(F.col(USER) == user).orderBy(*pair_order())
 
     def has_events(self) -> bool:
-        return not self._read("raw_events").isEmpty()
+        return not self.raw_events().isEmpty()
 
     def users(self) -> DataFrame:
         return users(self.raw_events())

@@ -46,11 +46,14 @@ EVENT = _fields(
 )
 EVENT_COLUMNS = tuple(EVENT.fieldNames())
 
+# Stored rows, the unusable ones apart: the last two are partition folders.
 RAW_EVENTS = T.StructType(
     EVENT.fields
     + [
+        T.StructField("reject_reason", T.StringType(), True),
         T.StructField("ingested_at", T.TimestampType(), True),
         T.StructField("import_id", T.StringType(), True),
+        T.StructField("rejected", T.BooleanType(), True),
     ]
 )
 
@@ -102,11 +105,3 @@ CORRELATION_PAIRS = _fields(
     ("updated_at", T.TimestampType()),
 )
 PAIR_COLUMNS = tuple(name for name in CORRELATION_PAIRS.fieldNames() if name != "updated_at")
-
-QUARANTINE = T.StructType(
-    EVENT.fields
-    + [
-        T.StructField("reject_reason", T.StringType(), True),
-        T.StructField("import_id", T.StringType(), True),
-    ]
-)

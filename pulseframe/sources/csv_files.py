@@ -17,25 +17,28 @@ def file_paths(spark: SparkSession, paths: list[str]) -> list[str]:
     return sorted(unquote(row.path) for row in names.collect())
 
 
-def read_by_header(spark: SparkSession, paths: list[str], is_header: Callable[[Column], Column]) -> tuple[list[DataFrame], list[str]]:
+def read_by_header(
+    spark: SparkSession, paths: list[str], hint: str, is_header: Callable[[Column], Column]
+) -> tuple[list[DataFrame], list[str]]:
     """Read CSV files as text columns named by each file's own header.
 
     Spark applies one column order to all files of a read, which would mix up columns between
     exports of different versions. So header lines are found first, files are grouped by header
-    (a handful of versions, however many files), and each group is one splittable read. Returns the
-    frames and the files in which no header was found.
+    (a handful of versions, however many files), and each group is one splittable read. ``hint`` is
+    text any header holds in some case; it spares most lines the split. Returns the frames and the
+    files in which no header was found.
     """
-    fields = F.transform(F.split(F.regexp_replace("value", "^﻿", ""), ","), lambda f: F.regexp_replace(f, '^\\s*"?|"?\\s*$', ""))
+    fields = F.transform(F.split(F.regexp_replace("value", "^\ufeff", ""), ","), lambda f: F.regexp_replace(f, '^\\s*"?|"?\\s*$', ""))
     found = (
         spark.read.option("recursiveFileLookup", "true")
         .text(paths)
-        .where(is_header(fields))
+        .where(F.lower("value").contains(hint.lower()) & is_header(fields))
         .select(F.col("_metadata.file_path").alias("path"), "value")
         .distinct()
     )
     versions: dict[str, list[str]] = {}
     for row in found.collect():
-        versions.setdefault(row.value.lstrip("﻿"), []).append(unquote(row.path))
+        versions.setdefault(row.value.lstrip("\ufeff"), []).append(unquote(row.path))
     frames = []
     for header, files in sorted(versions.items()):
         names = next(csv.reader([header]))

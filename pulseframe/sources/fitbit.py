@@ -31,7 +31,7 @@ SLEEP_COLUMNS = {
 
 def _read(spark: SparkSession, paths: list[str], date_column: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
     frames, headless = read_by_header(
-        spark, paths, lambda fields: F.array_contains(fields, "Id") & F.array_contains(fields, date_column)
+        spark, paths, date_column, lambda fields: F.array_contains(fields, "Id") & F.array_contains(fields, date_column)
     )
     if headless:
         raise ValueError(f"no Id and {date_column} columns in: {', '.join(headless)}")

@@ -42,7 +42,7 @@ def read_manual(spark: SparkSession, paths: list[str]) -> DataFrame:
         dated = F.array_contains(names, "timestamp") | F.array_contains(names, "date")
         return dated & F.array_contains(names, "metric") & F.array_contains(names, "value")
 
-    frames, headless = read_by_header(spark, paths, is_header)
+    frames, headless = read_by_header(spark, paths, "metric", is_header)
     for path in headless[:1]:
         require_columns(header_of(spark, path))
     kept = [*REQUIRED, *DEFAULTS]
