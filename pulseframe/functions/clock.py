@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ---- fixed values: vendor date formats -----------------------------------------------------
-US_FORMATS = ("M/d/yyyy h:mm:ss a", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy")
-OFFSET_TEXT = r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}( ?([+-]\d{2}:?\d{2}|Z))?$"
+# ---- fixed values: the vendor date layouts, as one pattern ---------------------------------
+US_TEXT = r"^(\d{1,2})/(\d{1,2})/(\d{4})( \d{1,2}:\d{2}(?::\d{2})?)?(?: [AaPp][Mm])?$"
+PLAIN_LENGTH = len("2026-04-01 07:00:00")
 # --------------------------------------------------------------------------------------------
 
 
@@ -21,35 +21,46 @@ def _clock_from_micros(micros: Column) -> Column:
     return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(zero, zero, zero, seconds)
 
 
+def _hours(count: Column) -> Column:
+    return F.make_dt_interval(F.lit(0), count)
+
+
 def iso_clock(text: Column) -> Column:
     """ISO date or date-time; a zone offset is dropped and the clock reading kept."""
     return F.trim(text).try_cast("timestamp_ntz")
 
 
 def us_clock(text: Column) -> Column:
-    """Month-first dates with an optional time of day; ISO text is accepted too."""
-    utc_text = F.concat(F.trim(text), F.lit(" +00:00"))
-    instants = [F.try_to_timestamp(utc_text, F.lit(f"{layout} XXX")) for layout in US_FORMATS]
-    return F.coalesce(_clock_from_micros(F.unix_micros(F.coalesce(*instants))), iso_clock(text))
+    """Month-first dates with an optional 12- or 24-hour time; ISO text is accepted too.
+
+    The date is rearranged for the cast, which returns null on bad text; a date formatter per layout
+    would raise an exception inside for each layout that does not match.
+    """
+    plain = F.trim(text)
+    shown = F.regexp_replace(plain, US_TEXT, "$3-$1-$2$4").try_cast("timestamp_ntz")
+    half = F.upper(F.substring(plain, -2, 2))
+    return (
+        F.when(half == "PM", shown + _hours(F.when(F.hour(shown) < 12, 12).otherwise(0)))
+        .when(half == "AM", shown - _hours(F.when(F.hour(shown) == 12, 12).otherwise(0)))
+        .otherwise(shown)
+    )
 
 
 def offset_clock(text: Column) -> Column:
     """``2026-04-01 07:00:00 +0200`` or the same without an offset: the clock reading."""
-    return F.when(text.rlike(OFFSET_TEXT), F.regexp_replace(text, r" ?([+-]\d{2}:?\d{2}|Z)$", "").try_cast("timestamp_ntz"))
+    return text.try_cast("timestamp_ntz")
 
 
-def _offset_micros(text: Column) -> Column:
-    """The true instant in microseconds; text without an offset counts as UTC."""
-    zone = F.regexp_replace(F.regexp_extract(text, r"([+-]\d{2}:?\d{2}|Z)$", 1), "^Z?$", "+0000")
-    zone = F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, -2, 2))
-    clock = F.date_format(offset_clock(text), "yyyy-MM-dd HH:mm:ss")
-    return F.unix_micros(F.try_to_timestamp(F.concat_ws(" ", clock, zone), F.lit("yyyy-MM-dd HH:mm:ss XXX")))
+def _instant(text: Column) -> Column:
+    """Microseconds since 1970; text without an offset counts as UTC."""
+    zone = F.when(F.length(text) <= PLAIN_LENGTH, " Z").otherwise("")
+    return F.unix_micros(F.concat(text, zone).try_cast("timestamp"))
 
 
 def clock_minutes(start: Column, end: Column) -> Column:
-    """Minutes between two offset-bearing texts, never below zero."""
-    elapsed = (_offset_micros(end) - _offset_micros(start)).cast("double") / F.lit(60_000_000.0)
-    return F.when(elapsed.isNotNull(), F.greatest(elapsed, F.lit(0.0)))
+    """Minutes between two offset-bearing texts as instants, never below zero."""
+    elapsed = (_instant(end) - _instant(start)).cast("double") / F.lit(60_000_000.0)
+    return F.when(elapsed > 0.0, elapsed).when(elapsed <= 0.0, 0.0)
 
 
 def epoch_nanos(text: Column) -> Column:

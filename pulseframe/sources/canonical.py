@@ -9,6 +9,15 @@ from pulseframe.functions.numbers import real
 from pulseframe.schema import EVENT_COLUMNS, USER
 
 
+def computed_once(*columns: Column) -> Column:
+    """The columns out of a generator, for use in a ``select`` of their own.
+
+    Catalyst copies a projected expression into every place that refers to it, filters included, and
+    parsing is too costly for that; it does not look through a generator.
+    """
+    return F.inline(F.array(F.struct(*columns)))
+
+
 def canonical(
     frame: DataFrame,
     *,
@@ -23,13 +32,15 @@ def canonical(
     """Select the event columns plus ``reject_reason``, the first required field that is unusable."""
     fields = F.struct(*[metadata[name].alias(name) for name in sorted(metadata)])
     shaped = frame.select(
-        timestamp.alias("timestamp"),
-        metric.alias("metric"),
-        real(value).alias("value"),
-        unit.alias("unit"),
-        source.alias("source"),
-        user.alias(USER),
-        F.to_json(fields).alias("metadata_json"),
+        computed_once(
+            timestamp.alias("timestamp"),
+            metric.alias("metric"),
+            real(value).alias("value"),
+            unit.alias("unit"),
+            source.alias("source"),
+            user.alias(USER),
+            F.to_json(fields).alias("metadata_json"),
+        )
     )
     reason = F.coalesce(*[F.when(F.col(name).isNull(), F.lit(name)) for name in ("timestamp", "metric", "value", USER)])
     return shaped.withColumn("reject_reason", reason)

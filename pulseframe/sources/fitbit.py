@@ -49,11 +49,12 @@ def read_sleep(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def _melt(frame: DataFrame, date_column: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
     """One event per metric column; an absent column or a blank cell is 0."""
-    long = with_absent(frame, list(columns)).unpivot(["Id", date_column], list(columns), "column", "cell")
+    dated = with_absent(frame, list(columns)).select("Id", us_clock(F.col(date_column)).alias("timestamp"), *columns)
+    long = dated.unpivot(["Id", "timestamp"], list(columns), "column", "cell")
     cell = blank_to_null(F.col("cell"))
     return canonical(
         long,
-        timestamp=us_clock(F.col(date_column)),
+        timestamp=F.col("timestamp"),
         metric=lookup({name: pair[0] for name, pair in columns.items()}, F.col("column")),
         value=F.when(cell.isNull(), F.lit(0.0)).otherwise(number(cell)),
         unit=lookup({name: pair[1] for name, pair in columns.items()}, F.col("column")),

@@ -60,6 +60,7 @@ from pulseframe.schema import ANOMALY_FLAGS, CORRELATED_METRICS, EVENT_COLUMNS,
 from pulseframe.session import scratch
 from pulseframe.sources import accepted, activity_events, classify_uploads, load_events, rejected
 from pulseframe.sources.apple import apple_events
+from pulseframe.sources.canonical import computed_once
 from pulseframe.sources.fitbit import activity_events as fitbit_activity_events
 from pulseframe.sources.fitbit import sleep_events as fitbit_sleep_events
 from pulseframe.sources.garmin import garmin_events
@@ -102,41 +103,46 @@ def _rounded_overview(overview: DataFrame) -> DataFrame:
 # ---- sources -------------------------------------------------------------------------------
 
 
+def _rows(shape: Callable[[DataFrame], DataFrame], spark: SparkSession, folder: str) -> DataFrame:
+    """Vendor rows as a scan would deliver them, shaped once and not anew in each parsing expression."""
+    return shape(_log(spark, folder)).select(computed_once(F.col("*")))
+
+
 def _with_metadata(events: DataFrame, *keys: str) -> DataFrame:
     fields = [F.get_json_object("metadata_json", f"$.{key}").alias(key) for key in keys]
     return events.select(USER, "timestamp", "metric", F.round("value", 6).alias("value"), "unit", "source", *fields)
 
 
 def s1_apple(spark: SparkSession, folder: str) -> DataFrame:
-    return _with_metadata(accepted(apple_events(shapes.apple_records(_log(spark, folder)))), "record_type", "source_name")
+    return _with_metadata(accepted(apple_events(_rows(shapes.apple_records, spark, folder))), "record_type", "source_name")
 
 
 def s2_fitbit_activity(spark: SparkSession, folder: str) -> DataFrame:
-    return _with_metadata(accepted(fitbit_activity_events(shapes.fitbit_activity(_log(spark, folder)))), "column")
+    return _with_metadata(accepted(fitbit_activity_events(_rows(shapes.fitbit_activity, spark, folder))), "column")
 
 
 def s3_fitbit_sleep(spark: SparkSession, folder: str) -> DataFrame:
-    return _with_metadata(accepted(fitbit_sleep_events(shapes.fitbit_sleep(_log(spark, folder)))), "column")
+    return _with_metadata(accepted(fitbit_sleep_events(_rows(shapes.fitbit_sleep, spark, folder))), "column")
 
 
 def s4_google(spark: SparkSession, folder: str) -> DataFrame:
-    return _with_metadata(accepted(google_events(shapes.google_points(_log(spark, folder)))), "data_type_name")
+    return _with_metadata(accepted(google_events(_rows(shapes.google_points, spark, folder))), "data_type_name")
 
 
 def s5_oura(spark: SparkSession, folder: str) -> DataFrame:
-    return _with_metadata(accepted(oura_events(shapes.oura_documents(_log(spark, folder)))), "section", "field")
+    return _with_metadata(accepted(oura_events(_rows(shapes.oura_documents, spark, folder))), "section", "field")
 
 
 def s6_garmin(spark: SparkSession, folder: str) -> DataFrame:
-    return _with_metadata(accepted(garmin_events(shapes.garmin_messages(_log(spark, folder)))), "message_name", "field")
+    return _with_metadata(accepted(garmin_events(_rows(shapes.garmin_messages, spark, folder))), "message_name", "field")
 
 
 def s7_manual(spark: SparkSession, folder: str) -> DataFrame:
-    return _with_metadata(accepted(manual_events(shapes.manual_rows(_log(spark, folder)))), "input")
+    return _with_metadata(accepted(manual_events(_rows(shapes.manual_rows, spark, folder))), "input")
 
 
 def s7_manual_rejected(spark: SparkSession, folder: str) -> DataFrame:
-    bad = rejected(manual_events(shapes.manual_rows(_log(spark, folder))))
+    bad = rejected(manual_events(_rows(shapes.manual_rows, spark, folder)))
     return bad.groupBy("metric", "reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -238,7 +244,7 @@ def k7_scan_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def f1_metric_map(spark: SparkSession, folder: str) -> DataFrame:
-    mapped = apple_events(shapes.apple_records(_log(spark, folder)))
+    mapped = apple_events(_rows(shapes.apple_records, spark, folder))
     kind = F.get_json_object("metadata_json", "$.record_type")
     return mapped.groupBy(kind.alias("record_type"), "metric").agg(F.count(F.lit(1)).alias("n"))
 
@@ -416,15 +422,14 @@ def flag_text_row() -> Column:
 
 
 def u1_union_sources(spark: SparkSession, folder: str) -> DataFrame:
-    log = _log(spark, folder)
     parts = [
-        apple_events(shapes.apple_records(log)),
-        fitbit_activity_events(shapes.fitbit_activity(log)),
-        fitbit_sleep_events(shapes.fitbit_sleep(log)),
-        google_events(shapes.google_points(log)),
-        oura_events(shapes.oura_documents(log)),
-        garmin_events(shapes.garmin_messages(log)),
-        manual_events(shapes.manual_rows(log)),
+        apple_events(_rows(shapes.apple_records, spark, folder)),
+        fitbit_activity_events(_rows(shapes.fitbit_activity, spark, folder)),
+        fitbit_sleep_events(_rows(shapes.fitbit_sleep, spark, folder)),
+        google_events(_rows(shapes.google_points, spark, folder)),
+        oura_events(_rows(shapes.oura_documents, spark, folder)),
+        garmin_events(_rows(shapes.garmin_messages, spark, folder)),
+        manual_events(_rows(shapes.manual_rows, spark, folder)),
     ]
     merged = accepted(parts[0])
     for part in parts[1:]:
@@ -531,7 +536,7 @@ def c10_durations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def c11_metadata_json(spark: SparkSession, folder: str) -> DataFrame:
-    parsed = accepted(oura_events(shapes.oura_documents(_log(spark, folder))))
+    parsed = accepted(oura_events(_rows(shapes.oura_documents, spark, folder)))
     return parsed.groupBy("metadata_json").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -58,18 +58,22 @@ def test_clock_parsing_ignores_the_session_zone(spark, zone):
     before = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", zone)
     try:
-        assert evaluate(spark, us_clock, ["4/12/2016 12:00:00 AM", "3/13/2016 2:30:00 AM", "4/1/2026", "2026-04-01T07:00:00", "soon", None]) == [
+        assert evaluate(spark, us_clock, ["4/12/2016 12:00:00 AM", "4/12/2016 12:05:00 PM", "4/12/2016 11:05:09 pm", "4/12/2016 13:05", "3/13/2016 2:30:00 AM", "4/1/2026", "2026-04-01T07:00:00", "13/13/2026", "soon", None]) == [
             dt.datetime(2016, 4, 12),
+            dt.datetime(2016, 4, 12, 12, 5),
+            dt.datetime(2016, 4, 12, 23, 5, 9),
+            dt.datetime(2016, 4, 12, 13, 5),
             dt.datetime(2016, 3, 13, 2, 30),
             dt.datetime(2026, 4, 1),
             dt.datetime(2026, 4, 1, 7),
             None,
             None,
+            None,
         ]
         assert evaluate(spark, offset_clock, ["2026-04-01 07:00:00 +0530", "2026-04-01 07:00:00", "2026-04-01", "x"]) == [
             dt.datetime(2026, 4, 1, 7),
             dt.datetime(2026, 4, 1, 7),
-            None,
+            dt.datetime(2026, 4, 1),
             None,
         ]
         assert evaluate(spark, iso_clock, ["2026-04-02", "2026-04-02T10:11:12.5+02:00", "bad"]) == [
