@@ -25,27 +25,31 @@ def with_next_row(overview: DataFrame) -> DataFrame:
     )
 
 
+PAIRS = [(first, second, lag) for first, second in combinations(CORRELATED_METRICS, 2) for lag in LAGS]
+
+
 def pair_samples(overview: DataFrame) -> DataFrame:
-    """One row per day, metric pair and lag where both values are present.
+    """One row (user, pair, x, y) per day and pair where both values are present.
 
-    The fan-out is a fixed 42 per day, combined again before any shuffle; rows of one user already
-    share a partition here, so the aggregation above it needs no further exchange.
+    ``pair`` is the place in ``PAIRS``: grouping by a number is far cheaper than by two names. The
+    fan-out is a fixed 42 per day, combined again before any shuffle; rows of one user already share
+    a partition here, so the aggregation above it needs no further exchange.
     """
-    samples = []
-    for first, second in combinations(CORRELATED_METRICS, 2):
-        for lag in LAGS:
-            other = f"next_{second}" if lag else second
-            samples.append(
-                F.struct(
-                    F.lit(first).alias("metric_a"),
-                    F.lit(second).alias("metric_b"),
-                    F.lit(lag).alias("lag_days"),
-                    F.col(first).alias("x"),
-                    F.col(other).alias("y"),
-                )
-            )
-    complete = F.filter(F.array(*samples), lambda s: s["x"].isNotNull() & s["y"].isNotNull())
-    return with_next_row(overview).select(USER, F.inline(complete))
+    samples = [
+        F.struct(F.lit(place).alias("pair"), F.col(first).alias("x"), F.col(f"next_{second}" if lag else second).alias("y"))
+        for place, (first, second, lag) in enumerate(PAIRS)
+    ]
+    fanned = with_next_row(overview).select(USER, F.inline(F.array(*samples)))
+    return fanned.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+
+
+def pair_names() -> list[Column]:
+    """The two metric names and the lag behind ``pair``."""
+    columns = []
+    for part, name in enumerate(("metric_a", "metric_b", "lag_days")):
+        table = F.array(*[F.lit(pair[part]) for pair in PAIRS])
+        columns.append(F.get(table, F.col("pair")).alias(name))
+    return columns
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -56,11 +60,11 @@ def pearson(x: Column, y: Column) -> Column:
 
 def correlate_samples(samples: DataFrame, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """Drop pairs below ``min_samples`` and those without a defined correlation."""
-    return (
-        samples.groupBy(USER, "metric_a", "metric_b", "lag_days")
-        .agg(pearson(F.col("x"), F.col("y")).alias("correlation"), F.count(F.lit(1)).cast("int").alias("sample_size"))
-        .where((F.col("sample_size") >= min_samples) & F.col("correlation").isNotNull())
+    grouped = samples.groupBy(USER, "pair").agg(
+        pearson(F.col("x"), F.col("y")).alias("correlation"), F.count(F.lit(1)).cast("int").alias("sample_size")
     )
+    kept = grouped.where((F.col("sample_size") >= min_samples) & F.col("correlation").isNotNull())
+    return kept.select(USER, *pair_names(), "correlation", "sample_size")
 
 
 def correlation_pairs(overview: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pulseframe.operators import (
     top_pairs,
     users,
 )
-from pulseframe.operators.correlation import at_lag, matrix_wide, with_next_row
+from pulseframe.operators.correlation import at_lag, matrix_wide, pair_names, with_next_row
 from pulseframe.operators.rolling import rolling_stats
 from pulseframe.plans import (
     EventStore,
@@ -276,10 +276,11 @@ def f7_lag_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 def f8_sample_rule(spark: SparkSession, folder: str) -> DataFrame:
     """Complete samples per pair before the minimum-size rule, with how many pairs pass it."""
-    sizes = pair_samples(_overview(spark, folder)).groupBy(USER, "metric_a", "metric_b", "lag_days").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.groupBy("metric_a", "metric_b", "lag_days").agg(
+    sizes = pair_samples(_overview(spark, folder)).groupBy(USER, "pair").agg(F.count(F.lit(1)).alias("n"))
+    totals = sizes.groupBy("pair").agg(
         F.count(F.lit(1)).alias("users"), F.count_if(F.col("n") >= 3).alias("kept"), F.sum("n").alias("samples")
     )
+    return totals.select(*pair_names(), "users", "kept", "samples")
 
 
 def f9_pair_search(spark: SparkSession, folder: str) -> DataFrame:
