@@ -33,8 +33,8 @@ def pivot_daily(daily: DataFrame) -> DataFrame:
 
 
 def daily_partials(events: DataFrame) -> DataFrame:
-    """Mergeable day totals: a sum and a count of each wide metric per user and day."""
-    totals: list[Column] = []
+    """Mergeable day totals per user and day: newest event, and sum and count of each wide metric."""
+    totals: list[Column] = [F.max("timestamp").alias("last_event")]
     for metric in WIDE_METRICS:
         mine = F.when(F.col("metric") == metric, F.col("value"))
         totals += [F.sum(mine).alias(f"{metric}_sum"), F.count(mine).alias(f"{metric}_n")]
@@ -43,7 +43,8 @@ def daily_partials(events: DataFrame) -> DataFrame:
 
 def merge_partials(partials: DataFrame) -> DataFrame:
     """Totals of several imports to one row per user and day."""
-    totals = [F.sum(f"{metric}_{part}").alias(f"{metric}_{part}") for metric in WIDE_METRICS for part in ("sum", "n")]
+    totals = [F.max("last_event").alias("last_event")]
+    totals += [F.sum(f"{metric}_{part}").alias(f"{metric}_{part}") for metric in WIDE_METRICS for part in ("sum", "n")]
     return partials.groupBy(USER, "day").agg(*totals)
 
 

@@ -35,9 +35,9 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.orderBy(USER, *pair_order())
 
 
-def latest_user(events: DataFrame) -> DataFrame:
+def latest_user(events: DataFrame, time: str = "timestamp") -> DataFrame:
     """The user of the newest event, the greatest name winning a tie; no row without events."""
-    newest = F.max(F.struct("timestamp", USER)).alias("newest")
+    newest = F.max(F.struct(time, USER)).alias("newest")
     return events.agg(newest).where(F.col("newest").isNotNull()).select(f"newest.{USER}")
 
 

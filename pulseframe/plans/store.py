@@ -18,7 +18,6 @@ from pulseframe.operators.correlation import at_lag, correlation_pairs
 from pulseframe.operators.daily import daily_partials, finish_partials, merge_partials
 from pulseframe.operators.overview import overview_from_wide
 from pulseframe.operators.ranking import latest_user, pair_order, users
-from pulseframe.plans.read_models import select_user
 from pulseframe.schema import USER
 from pulseframe.sources.loader import parse_files, sample_files
 
@@ -111,7 +110,7 @@ class EventStore:
     def refresh(self, rebuild: bool = False) -> None:
         """Replace overview and pairs. ``rebuild`` goes back to the raw events; the day totals of all
         imports give the same result from far fewer bytes."""
-        totals = daily_partials(self.raw_events()) if rebuild else merge_partials(self._read("daily_partials"))
+        totals = daily_partials(self.raw_events()) if rebuild else merge_partials(self.day_totals())
         self.replace_overview(overview_from_wide(finish_partials(totals)))
         self.replace_pairs(correlation_pairs(self.overview()))
 
@@ -137,7 +136,7 @@ class EventStore:
 
     def import_users(self) -> DataFrame:
         """The users of each import, in order; rows rather than one list, as an import may hold any number."""
-        return self.raw_events().select("import_id", USER).distinct().orderBy("import_id", USER)
+        return self.day_totals().select("import_id", USER).distinct().orderBy("import_id", USER)
 
     def quarantine(self) -> DataFrame:
         """Rows set aside, with the field that made them unusable."""
@@ -153,17 +152,22 @@ class EventStore:
         table = at_lag(self._read("correlation_pairs"), lag_days)
         return table if user is None else table.where(F.col(USER) == user).orderBy(*pair_order())
 
+    def day_totals(self) -> DataFrame:
+        """Mergeable totals, one row per import, user and day: every event is behind one of them."""
+        return self._read("daily_partials")
+
     def has_events(self) -> bool:
-        return not self.raw_events().isEmpty()
+        return not self.day_totals().isEmpty()
 
     def users(self) -> DataFrame:
-        return users(self.raw_events())
+        return users(self.day_totals())
 
     def latest_user(self) -> DataFrame:
-        return latest_user(self.raw_events())
+        return latest_user(self.day_totals(), "last_event")
 
     def latest_user_overview(self) -> DataFrame:
-        return select_user(self._read("overview_daily"), self.raw_events()).orderBy("day")
+        newest = F.broadcast(self.latest_user())
+        return self._read("overview_daily").join(newest, USER, "left_semi").orderBy("day")
 
 
 def load_sample_overview(spark: SparkSession, folder: str, root: str) -> DataFrame:

@@ -70,6 +70,7 @@ IMPORT_RUNS = _fields(
 DAILY_PARTIALS = _fields(
     (USER, T.StringType()),
     ("day", T.DateType()),
+    ("last_event", T.TimestampNTZType()),
     *[(f"{metric}_{part}", kind) for metric in WIDE_METRICS for part, kind in (("sum", T.DoubleType()), ("n", T.LongType()))],
     ("import_id", T.StringType()),
 )

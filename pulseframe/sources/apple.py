@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pulseframe.functions.clock import clock_minutes, offset_clock
 from pulseframe.functions.numbers import number
 from pulseframe.sources.canonical import canonical, lookup
+from pulseframe.sources.listing import file_paths, files_holding
 
 # ---- fixed values: record type -> metric and default unit ----------------------------------
 RECORD_TYPES = {
@@ -31,20 +32,31 @@ def _elements(spark: SparkSession, paths: list[str], tag: str, schema: T.StructT
     return reader.schema(schema).load(paths)
 
 
+def _files_with(spark: SparkSession, paths: list[str], tag: str) -> set[str]:
+    text = spark.read.option("recursiveFileLookup", "true").text(paths)
+    return files_holding(text.where(F.col("value").contains(f"<{tag}")))
+
+
 def read_apple(spark: SparkSession, paths: list[str], nested_in: str | None = "Correlation") -> DataFrame:
     """Records that are direct children of the export.
 
     The row tag matches at any depth, and exports repeat the members of a ``Correlation`` as
-    top-level records, so the nested copies are taken out again as a multiset difference. Pass
-    ``nested_in=None`` for exports known to have none, which saves the second pass.
+    top-level records, so the nested copies are taken out again as a multiset difference. That
+    shuffles, and so is done only for the files that hold such groups with records of a wanted type
+    in them. Pass ``nested_in=None`` for exports known to have none. One file is one task.
     """
     wanted = F.col("_type").isin(*RECORD_TYPES)
-    records = _elements(spark, paths, "Record", RECORD).where(wanted)
-    if nested_in is None:
-        return records
+    marked = _files_with(spark, paths, nested_in) if nested_in else set()
+    if not marked:
+        return _elements(spark, paths, "Record", RECORD).where(wanted)
+    grouped, files = sorted(marked), file_paths(spark, paths)
+    records = _elements(spark, grouped, "Record", RECORD).where(wanted)
     group = T.StructType([T.StructField("Record", T.ArrayType(RECORD), True)])
-    nested = _elements(spark, paths, nested_in, group).select(F.inline("Record")).where(wanted)
-    return records.exceptAll(nested)
+    nested = _elements(spark, grouped, nested_in, group).select(F.inline("Record")).where(wanted)
+    if not nested.isEmpty():
+        records = records.exceptAll(nested)
+    plain = [path for path in files if path not in marked]
+    return records.unionByName(_elements(spark, plain, "Record", RECORD).where(wanted)) if plain else records
 
 
 def apple_events(records: DataFrame) -> DataFrame:

@@ -10,12 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def file_paths(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The files behind paths, folders and globs: one name per file, no contents read."""
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path")
-    return sorted(unquote(row.path) for row in names.collect())
-
+from pulseframe.sources.listing import file_paths
 
 def read_by_header(
     spark: SparkSession, paths: list[str], hint: str, is_header: Callable[[Column], Column]

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pulseframe.schema import SOURCES
 from pulseframe.sources.apple import apple_events, read_apple
 from pulseframe.sources.canonical import accepted
-from pulseframe.sources.csv_files import file_paths
 from pulseframe.sources.fitbit import fitbit_events
 from pulseframe.sources.garmin import garmin_events, read_garmin
 from pulseframe.sources.google import google_events, read_google
 from pulseframe.sources.infer import ACTIVITY_FILE, SLEEP_FILE, file_name, infer_source
+from pulseframe.sources.listing import file_paths
 from pulseframe.sources.manual import manual_events, read_manual
 from pulseframe.sources.oura import oura_events, read_oura
 

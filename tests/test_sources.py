@@ -138,6 +138,17 @@ def test_phone_export(spark, tmp_path):
     assert apple_events(read_apple(spark, [path], nested_in=None)).where("metric = 'steps'").count() == 3
 
 
+def test_phone_exports_with_and_without_groups(spark, tmp_path):
+    """Only the file with nested records goes through the difference; equal records elsewhere stay."""
+    head, tail = XML.split("  <Correlation")[0], "</HealthData>\n"
+    pressure = '<Correlation><Record type="HKQuantityTypeIdentifierBloodPressureSystolic" value="120" startDate="2026-04-01 08:05:00 +0000"/></Correlation>'
+    with_groups = write(tmp_path / "a b" / "export.xml", XML)
+    without = write(tmp_path / "c" / "export.xml", head + tail)
+    other_groups = write(tmp_path / "d" / "export.xml", head + pressure + tail)
+    for paths, want in (([with_groups], 1), ([without], 1), ([other_groups], 1), ([with_groups, without, other_groups], 3)):
+        assert load_events(spark, paths).where("metric = 'steps'").count() == want
+
+
 def test_phone_overview(spark, tmp_path):
     overview = daily_overview(load_events(spark, [write(tmp_path / "export.xml", XML)]))
     iphone = overview.where("source_user_id = 'iPhone'").first()
