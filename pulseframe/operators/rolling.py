@@ -30,9 +30,11 @@ def rolling_stats(metric: str, rows: int = WINDOW_ROWS, min_values: int = MIN_VA
     """Rolling mean and sample deviation, null below ``min_values`` and for a zero deviation."""
     frame = rolling_frame(rows)
     value = _finite(F.col(metric))
-    enough = F.count(value).over(frame) >= min_values
+    seen = F.count(value).over(frame)
     deviation = F.stddev_samp(value).over(frame)
-    return F.when(enough, F.avg(value).over(frame)), F.when(enough & (deviation != 0.0), deviation)
+    # A sum over the count, which the size test needs anyway: one aggregate less per frame than avg.
+    mean = F.sum(value).over(frame) / seen
+    return F.when(seen >= min_values, mean), F.when((seen >= min_values) & (deviation != 0.0), deviation)
 
 
 def rolling_zscore(days: DataFrame, metrics: Sequence[str], rows: int = WINDOW_ROWS, min_values: int = MIN_VALUES) -> DataFrame:
