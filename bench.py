@@ -38,7 +38,14 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
-        f"local[{cpus}]", "pulseframe-bench", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g"}
+        f"local[{cpus}]",
+        "pulseframe-bench",
+        **{
+            "spark.sql.shuffle.partitions": cpus,
+            "spark.driver.memory": "8g",
+            # Few but costly rows: keep all cores busy rather than merge small partitions.
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64kb",
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     registered = all_queries()
