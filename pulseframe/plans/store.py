@@ -32,6 +32,10 @@ DERIVED: dict[str, T.StructType] = {
 }
 
 
+class NoUsableEvents(ValueError):
+    """An import from which no event could be taken."""
+
+
 class EventStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
@@ -85,14 +89,14 @@ class EventStore:
         )
         row = audit.first()
         if not row.record_count:
-            raise ValueError("the import holds no usable events")
+            raise NoUsableEvents("the import holds no usable events")
         self._write_import(daily_partials(usable), "daily_partials", import_id)
         self._write_import(self.spark.createDataFrame([row], audit.schema), "import_runs", import_id)
         return {"import_id": import_id, **row.asDict()}
 
-    def import_files(self, paths: list[str], source: str, import_id: str | None = None) -> dict:
+    def import_files(self, paths: list[str], source: str, import_id: str | None = None, strict: bool = True) -> dict:
         """Parse files of one source, append the usable rows and set the others aside."""
-        return self.append_events(parse_files(self.spark, paths, source), source, len(paths), import_id)
+        return self.append_events(parse_files(self.spark, paths, source, strict), source, len(paths), import_id)
 
     def bootstrap_sample(self, folder: str) -> dict | None:
         """Load the tracker sample files into an empty store; otherwise do nothing."""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.functions.numbers import real
-from pulseframe.schema import EVENT_COLUMNS, USER
+from pulseframe.schema import EVENT, EVENT_COLUMNS, USER
 
 
 def computed_once(*columns: Column) -> Column:
@@ -28,8 +28,12 @@ def canonical(
     source: Column,
     user: Column,
     metadata: dict[str, Column],
+    broken: Column | None = None,
 ) -> DataFrame:
-    """Select the event columns plus ``reject_reason``, the first required field that is unusable."""
+    """Select the event columns plus ``reject_reason``, the first required field that is unusable.
+
+    ``broken`` marks rows that stand for a whole unreadable document.
+    """
     fields = F.struct(*[metadata[name].alias(name) for name in sorted(metadata)])
     shaped = frame.select(
         computed_once(
@@ -40,10 +44,20 @@ def canonical(
             source.alias("source"),
             user.alias(USER),
             F.to_json(fields).alias("metadata_json"),
+            F.coalesce(F.lit(False) if broken is None else broken, F.lit(False)).alias("broken"),
         )
     )
-    reason = F.coalesce(*[F.when(F.col(name).isNull(), F.lit(name)) for name in ("timestamp", "metric", "value", USER)])
-    return shaped.withColumn("reject_reason", reason)
+    reason = F.coalesce(F.when(F.col("broken"), "document"), *[F.when(F.col(name).isNull(), F.lit(name)) for name in ("timestamp", "metric", "value", USER)])
+    return shaped.select(*EVENT_COLUMNS, reason.alias("reject_reason"))
+
+
+def unreadable(spark: SparkSession, paths: list[str], source: str) -> DataFrame:
+    """Set-aside rows that name files without a usable header."""
+    files = spark.createDataFrame([(path,) for path in paths], "path string")
+    empty = {field.name: F.lit(None).cast(field.dataType).alias(field.name) for field in EVENT.fields}
+    empty["source"] = F.lit(source).alias("source")
+    empty["metadata_json"] = F.to_json(F.struct(F.col("path").alias("file"))).alias("metadata_json")
+    return files.select(*empty.values(), F.lit("header").alias("reject_reason"))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions.clock import us_clock
 from pulseframe.functions.numbers import blank_to_null, number
-from pulseframe.sources.canonical import canonical, lookup, with_absent
+from pulseframe.sources.canonical import canonical, lookup, unreadable, with_absent
 from pulseframe.sources.csv_files import read_by_header
 from pulseframe.sources.infer import ACTIVITY_FILE, SLEEP_FILE, file_name
 
@@ -29,21 +29,21 @@ SLEEP_COLUMNS = {
 # --------------------------------------------------------------------------------------------
 
 
-def _read(spark: SparkSession, paths: list[str], date_column: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
+def _read(spark: SparkSession, paths: list[str], date_column: str, columns: dict[str, tuple[str, str]]) -> tuple[DataFrame, list[str]]:
     frames, headless = read_by_header(
         spark, paths, date_column, lambda fields: F.array_contains(fields, "Id") & F.array_contains(fields, date_column)
     )
-    if headless:
-        raise ValueError(f"no Id and {date_column} columns in: {', '.join(headless)}")
     needed = ["Id", date_column, *columns]
-    return reduce(DataFrame.unionByName, [with_absent(frame, needed).select(*needed) for frame in frames])
+    empty = spark.createDataFrame([], ", ".join(f"{name} string" for name in needed))
+    return reduce(DataFrame.unionByName, [with_absent(frame, needed).select(*needed) for frame in frames] or [empty]), headless
 
 
-def read_activity(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_activity(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+    """The rows, and the files that lack the id or date column."""
     return _read(spark, paths, "ActivityDate", ACTIVITY_COLUMNS)
 
 
-def read_sleep(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_sleep(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
     return _read(spark, paths, "SleepDay", SLEEP_COLUMNS)
 
 
@@ -72,15 +72,23 @@ def sleep_events(frame: DataFrame) -> DataFrame:
     return _melt(frame, "SleepDay", SLEEP_COLUMNS)
 
 
-def fitbit_events(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Both kinds of file, told apart by name; other files are ignored."""
+def fitbit_events(spark: SparkSession, paths: list[str], strict: bool = True) -> DataFrame:
+    """Both kinds of file, told apart by name; other files are ignored.
+
+    A file without the needed columns is an error, or is set aside where ``strict`` is off.
+    """
     activity = [path for path in paths if ACTIVITY_FILE in file_name(path)]
     sleep = [path for path in paths if SLEEP_FILE in file_name(path)]
-    parts = []
-    if activity:
-        parts.append(activity_events(read_activity(spark, activity)))
-    if sleep:
-        parts.append(sleep_events(read_sleep(spark, sleep)))
+    parts, headless = [], []
+    for files, read, shape in ((activity, read_activity, activity_events), (sleep, read_sleep, sleep_events)):
+        if files:
+            rows, without = read(spark, files)
+            parts.append(shape(rows))
+            headless += without
     if not parts:
         raise FileNotFoundError("a tracker import needs a daily activity or a sleep CSV file")
+    if headless and strict:
+        raise ValueError(f"no Id and date columns (ActivityDate, SleepDay) in: {', '.join(headless)}")
+    if headless:
+        parts.append(unreadable(spark, headless, "fitbit"))
     return reduce(DataFrame.unionByName, parts)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from pulseframe.functions.clock import epoch_nanos
 from pulseframe.functions.numbers import number
-from pulseframe.sources.canonical import canonical, lookup
+from pulseframe.sources.canonical import canonical, lookup, with_absent
 
 # ---- fixed values: data type -> metric and default unit ------------------------------------
 DATA_TYPES = {
@@ -34,15 +34,19 @@ POINT = T.StructType(
         T.StructField("fitValue", T.ArrayType(_FIT), True),
     ]
 )
-EXPORT = T.StructType([T.StructField("points", T.ArrayType(POINT), True), *POINT.fields])
+EXPORT = T.StructType([T.StructField("points", T.ArrayType(POINT), True), *POINT.fields, *_text("_corrupt_record")])
 
 
 def read_google(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per data point. A JSON document is one task; the work spreads over files."""
+    """One row per data point, and one marked ``broken`` per unreadable document.
+
+    A JSON document is one task; the work spreads over files.
+    """
     documents = spark.read.schema(EXPORT).option("multiLine", "true").json(paths)
     bare = F.array(F.struct(*[F.col(name) for name in POINT.fieldNames()]))
     listed = F.when(F.coalesce(*[F.col(name) for name in ("dataTypeName", "metric")]).isNotNull(), bare)
-    return documents.select(F.inline(F.coalesce(F.col("points"), listed)))
+    broken = F.col("_corrupt_record").isNotNull()
+    return documents.select(broken.alias("broken"), F.inline(F.when(broken, bare).otherwise(F.coalesce(F.col("points"), listed))))
 
 
 def _nonzero(value: Column) -> Column:
@@ -56,8 +60,9 @@ def google_events(points: DataFrame) -> DataFrame:
     nested = F.get(first["mapVal"], F.lit(0))["value"]["fpVal"]
     measured = F.coalesce(*[_nonzero(number(part)) for part in (first["fpVal"], first["intVal"], nested)], F.lit(0.0))
     plain = number(F.coalesce(F.col("value"), F.lit("0")))
+    broken = F.coalesce(F.col("broken"), F.lit(False))
     return canonical(
-        points.where(kind.isin(*DATA_TYPES)),
+        with_absent(points, ["broken"], "boolean").where(broken | kind.isin(*DATA_TYPES)),
         timestamp=epoch_nanos(F.col("startTimeNanos")),
         metric=lookup({name: pair[0] for name, pair in DATA_TYPES.items()}, kind),
         value=F.when(F.size(F.coalesce("fitValue", F.array())) > 0, measured).otherwise(plain),
@@ -65,4 +70,5 @@ def google_events(points: DataFrame) -> DataFrame:
         source=F.lit("google_health"),
         user=F.coalesce(F.col("originDataSourceId"), F.lit("google-user")),
         metadata={"data_type_name": kind},
+        broken=broken,
     )

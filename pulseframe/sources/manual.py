@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions.clock import us_clock
 from pulseframe.functions.numbers import blank_to_null, number
-from pulseframe.sources.canonical import canonical, with_absent
+from pulseframe.sources.canonical import canonical, unreadable, with_absent
 from pulseframe.sources.csv_files import header_of, read_by_header
 
 # ---- fixed values: header aliases, required columns, defaults ------------------------------
@@ -36,17 +36,29 @@ def require_columns(columns: list[str]) -> None:
         raise ValueError(f"manual CSV lacks required columns: {', '.join(missing)}")
 
 
-def read_manual(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_manual(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+    """The rows, and the files that lack a required column."""
+
     def is_header(fields):
         names = F.transform(fields, lambda field: F.lower(F.trim(field)))
         dated = F.array_contains(names, "timestamp") | F.array_contains(names, "date")
         return dated & F.array_contains(names, "metric") & F.array_contains(names, "value")
 
     frames, headless = read_by_header(spark, paths, "metric", is_header)
-    for path in headless[:1]:
-        require_columns(header_of(spark, path))
     kept = [*REQUIRED, *DEFAULTS]
-    return reduce(DataFrame.unionByName, [with_absent(normalize_headers(frame), kept).select(*kept) for frame in frames])
+    empty = spark.createDataFrame([], ", ".join(f"{name} string" for name in kept))
+    parts = [with_absent(normalize_headers(frame), kept).select(*kept) for frame in frames]
+    return reduce(DataFrame.unionByName, parts or [empty]), headless
+
+
+def manual_file_events(spark: SparkSession, paths: list[str], strict: bool = True) -> DataFrame:
+    """A file without the required columns is an error, or is set aside where ``strict`` is off."""
+    rows, headless = read_manual(spark, paths)
+    if headless and strict:
+        require_columns(header_of(spark, headless[0]))
+        raise ValueError(f"no header line in: {', '.join(headless)}")
+    events = manual_events(rows)
+    return events.unionByName(unreadable(spark, headless, "manual")) if headless else events
 
 
 def manual_events(frame: DataFrame) -> DataFrame:

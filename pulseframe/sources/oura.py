@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from pulseframe.functions.clock import iso_clock
 from pulseframe.functions.numbers import number
-from pulseframe.sources.canonical import canonical
+from pulseframe.sources.canonical import canonical, with_absent
 
 # ---- fixed values: section -> field -> metric, unit, divisor -------------------------------
 SECTIONS = {
@@ -33,12 +33,14 @@ def _section_type(fields: dict) -> T.ArrayType:
 EXPORT = T.StructType(
     [T.StructField("user_id", T.StringType(), True)]
     + [T.StructField(section, _section_type(fields), True) for section, fields in SECTIONS.items()]
+    + [T.StructField("_corrupt_record", T.StringType(), True)]
 )
 
 
 def read_oura(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per export document."""
-    return spark.read.schema(EXPORT).option("multiLine", "true").json(paths)
+    """One row per export document, ``broken`` where it cannot be read."""
+    documents = spark.read.schema(EXPORT).option("multiLine", "true").json(paths)
+    return documents.select("user_id", *SECTIONS, F.col("_corrupt_record").isNotNull().alias("broken"))
 
 
 def _readings(section: str, field: str, metric: str, unit: str, divisor: float) -> Column:
@@ -55,7 +57,9 @@ def _readings(section: str, field: str, metric: str, unit: str, divisor: float)
 def oura_events(documents: DataFrame) -> DataFrame:
     """All sections of a document in one pass; an absent field gives no row."""
     readings = [_readings(section, field, *row) for section, fields in SECTIONS.items() for field, row in fields.items()]
-    long = documents.select("user_id", F.inline(F.concat(*readings))).where(F.col("cell").isNotNull())
+    known = with_absent(documents, ["broken"], "boolean")
+    rows = known.select("user_id", "broken", F.inline_outer(F.concat(*readings)))
+    long = rows.where(F.col("cell").isNotNull() | F.col("broken"))
     return canonical(
         long,
         timestamp=iso_clock(F.col("day")),
@@ -65,4 +69,5 @@ def oura_events(documents: DataFrame) -> DataFrame:
         source=F.lit("oura"),
         user=F.coalesce(F.col("user_id"), F.lit("oura-user")),
         metadata={"section": F.col("section"), "field": F.col("field")},
+        broken=F.col("broken"),
     )

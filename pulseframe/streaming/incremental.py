@@ -8,7 +8,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.plans.store import EventStore
+from pulseframe.plans.store import EventStore, NoUsableEvents
 from pulseframe.sources.infer import classify_files
 
 FILE_DDL = "path string, modificationTime timestamp, length long, content binary"
@@ -21,7 +21,8 @@ def import_new_files(
 
     The stream carries file names only; each micro-batch reads its files with the batch readers, one
     import per vendor. The import id follows from checkpoint, batch and vendor, so a batch repeated
-    after a failure replaces its own rows. Files of unknown kind are left alone.
+    after a failure replaces its own rows. Files of unknown kind are left alone; unreadable ones are
+    named in the store's quarantine and do not hold up the others.
     """
 
     def import_batch(batch: DataFrame, batch_id: int) -> None:
@@ -31,7 +32,10 @@ def import_new_files(
             by_source.setdefault(row.source, []).append(unquote(row.path))
         for source, paths in sorted(by_source.items()):
             import_id = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{checkpoint}/{batch_id}/{source}"))
-            store.import_files(sorted(paths), source, import_id)
+            try:
+                store.import_files(sorted(paths), source, import_id, strict=False)
+            except NoUsableEvents:
+                continue
 
     files = (
         spark.readStream.format("binaryFile")

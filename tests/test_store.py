@@ -139,3 +139,18 @@ def test_repeated_batch_counts_once(spark, store, tmp_path):
     import_new_files(spark, str(landing), store, str(checkpoint))
     assert store.raw_events().count() == 3 and store.import_runs().count() == 1
     assert store.overview().agg(F.sum("steps")).first()[0] == 6500.0
+
+
+def test_unreadable_files_do_not_hold_up_the_stream(spark, store, tmp_path):
+    landing, checkpoint = tmp_path / "landing", str(tmp_path / "checkpoint")
+    write(landing / "good.csv", MANUAL)
+    write(landing / "bad.csv", "date,unit\n2024-01-01,x\n")
+    write(landing / "oura_bad.json", '{"user_id": "x", "sleep": [')
+    write(landing / "takeout_bad.json", "{ not json")
+    write(landing / "b" / "sleepDay_merged.csv", "who,when\n1,2\n")
+    import_new_files(spark, str(landing), store, checkpoint)
+    assert store.raw_events().count() == 3 and store.import_runs().count() == 1
+    reasons = sorted((r.source, r.reject_reason) for r in store.quarantine().collect())
+    assert reasons == [("fitbit", "header"), ("google_health", "document"), ("manual", "header"), ("oura", "document")]
+    named = store.quarantine().where("source = 'manual'").first().metadata_json
+    assert json.loads(named)["file"].endswith("/landing/bad.csv")
