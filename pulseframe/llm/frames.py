@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -11,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
-    """The frame, computed once and written to the session's checkpoint folder, so that a lost executor costs no rerun of what led to
-    it. The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (as in tests) one is made here."""
+    """The frame, computed once and read back from a Parquet table, so that a lost executor costs no rerun of what led to it. The table
+    lies in the folder the cluster names in spark.checkpoint.dir; only where that is unset (as in tests) a folder is made here."""
     session = frame.sparkSession
-    if session.sparkContext.getCheckpointDir() is None:
-        named = session.conf.get("spark.checkpoint.dir", None)
-        session.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pulseframe-checkpoint-"))
-    return frame.checkpoint(eager=True)
+    folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="pulseframe-checkpoint-")
+        session.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/pulseframe-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return session.read.schema(frame.schema).parquet(path)
 
 
 def binary(values: np.ndarray) -> bytes:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pulseframe.llm import sql
+from pulseframe.llm.minhash_dedup import near_duplicate_components
 from pulseframe.llm.substring_dedup import kept_digest, remove_duplicate_passages
 
 
@@ -14,6 +15,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The component of near duplicates of each document."""
+    return near_duplicate_components(_table(spark, folder, "documents")).drop("set_key")
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left of each document once passages of earlier documents are gone."""
     return kept_digest(remove_duplicate_passages(_table(spark, folder, "documents")))
@@ -21,11 +27,13 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_minhash_dedup": op3_minhash_dedup,
         "op9_substring_dedup": op9_substring_dedup,
     }
 
 
 def llm_oracles() -> dict[str, str]:
     return {
+        "op3_minhash_dedup": sql.MINHASH_DEDUP,
         "op9_substring_dedup": sql.SUBSTRING_DEDUP,
     }
