@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pulseframe.llm import sql
+from pulseframe.llm.language_id import fit_language_model, predict_languages
 from pulseframe.llm.minhash_dedup import near_duplicate_components
+from pulseframe.llm.secret_scan import secret_report
 from pulseframe.llm.substring_dedup import kept_digest, remove_duplicate_passages
 
 
@@ -20,15 +22,28 @@ def op3_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_components(_table(spark, folder, "documents")).drop("set_key")
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of each document, learned from the labels of two folds of three."""
+    docs = _table(spark, folder, "documents")
+    return predict_languages(docs, fit_language_model(docs))
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left of each document once passages of earlier documents are gone."""
     return kept_digest(remove_duplicate_passages(_table(spark, folder, "documents")))
 
 
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in each document."""
+    return secret_report(_table(spark, folder, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_minhash_dedup": op3_minhash_dedup,
+        "op5_language_id": op5_language_id,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 

@@ -25,6 +25,11 @@ _powers = np.ones(1, dtype=np.uint64)
 _inverse_powers = np.ones(1, dtype=np.uint64)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z."""
+    return _LOWER[data]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Scatter 64-bit values one to one (xor-shift and multiply)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -77,22 +82,26 @@ class Words:
         return b" ".join(raw[s:e] for s, e, k in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), keep[a:b].tolist(), strict=True) if k)
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of the texts data[offsets[i]:offsets[i + 1]]."""
+def find_runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the longest runs of bytes that a table of 256 booleans holds true, within the texts data[offsets[i]:offsets[i + 1]]."""
     solid = np.zeros(len(data) + 2, dtype=bool)
-    solid[1:-1] = ~_BLANK[data]
+    solid[1:-1] = inside[data]
     starts = solid[1:-1] & ~solid[:-2]
     ends = solid[1:-1] & ~solid[2:]
-    edges = offsets[(offsets > 0) & (offsets < len(data))]  # a text ends its last word though no blank follows
+    edges = offsets[(offsets > 0) & (offsets < len(data))]  # the end of a text ends a run
     starts[edges] = solid[1:-1][edges]
     ends[edges - 1] = solid[1:-1][edges - 1]
-    start = np.flatnonzero(starts)
-    end = np.flatnonzero(ends) + 1
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Words of the texts data[offsets[i]:offsets[i + 1]]."""
+    start, end = find_runs(data, offsets, ~_BLANK)
     return Words(data, start, end, np.searchsorted(start, offsets))
 
 
-def text_chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
-    """(first row, row after the last, words) over a text column; null counts as empty."""
+def text_batches(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, offsets) of consecutive portions of a text column, one text at least in each; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -104,10 +113,18 @@ def text_chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) ->
     a = 0
     while a < len(column):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1)
-        yield a, b, find_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        yield data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
 
 
+def text_chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+    """(first row, row after the last, words) over a text column; null counts as empty."""
+    a = 0
+    for data, offsets in text_batches(column, limit):
+        yield a, a + len(offsets) - 1, find_words(data, offsets)
+        a += len(offsets) - 1
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k words from each word on; the last k - 1 places are left out. The caller leaves out those that cross texts."""
     n = max(0, len(hashes) - k + 1)
