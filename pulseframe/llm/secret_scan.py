@@ -183,6 +183,10 @@ def redacted(text: Column, spans: Column) -> Column:
     return F.arrow_udf(_redacted, "string")(text, spans)
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("found", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.stop)), ",")
 
@@ -190,7 +194,6 @@ def _joined(spans: Column) -> Column:
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) of each row."""
     found = docs.select(F.col(id_col).alias("doc_id"), secrets(F.col(text_col)).alias("found"))
-    counts = {f"n_{kind}": F.size(F.filter("found", lambda s, kind=kind: s.kind == kind)).cast("long") for kind in KINDS}
     base = F.filter("found", lambda s: s.kind != "random")
-    digest = F.sha2(_joined(base).cast("binary"), 256)
-    return found.select("doc_id", counts["n_assign"].alias("n_assign"), counts["n_access"].alias("n_access"), counts["n_hex"].alias("n_hex"), digest.alias("base_sha256"), _joined(F.col("found")).alias("spans"), counts["n_random"].alias("n_random"))
+    digest = F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", _count("assign"), _count("access"), _count("hex"), digest, _joined(F.col("found")).alias("spans"), _count("random"))
