@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulseframe.llm import sql
+from pulseframe.llm.block_ann import nearest
 from pulseframe.llm.language_id import fit_language_model, predict_languages
 from pulseframe.llm.minhash_dedup import near_duplicate_components
+from pulseframe.llm.pivot_search import top_products
 from pulseframe.llm.secret_scan import secret_report
 from pulseframe.llm.substring_dedup import kept_digest, remove_duplicate_passages
 
@@ -28,6 +31,16 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predict_languages(docs, fit_language_model(docs))
 
 
+def op6_block_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 vectors of largest inner product for each vector whose id is divisible by 20."""
+    return nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op7_pivot_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 largest integer inner products for each vector whose id is divisible by 100."""
+    return top_products(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left of each document once passages of earlier documents are gone."""
     return kept_digest(remove_duplicate_passages(_table(spark, folder, "documents")))
@@ -42,6 +55,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_minhash_dedup": op3_minhash_dedup,
         "op5_language_id": op5_language_id,
+        "op6_block_ann": op6_block_ann,
+        "op7_pivot_search": op7_pivot_search,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_secret_scan": op10_secret_scan,
     }
@@ -50,5 +65,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def llm_oracles() -> dict[str, str]:
     return {
         "op3_minhash_dedup": sql.MINHASH_DEDUP,
+        "op6_block_ann": sql.BLOCK_ANN,
+        "op7_pivot_search": sql.PIVOT_SEARCH,
         "op9_substring_dedup": sql.SUBSTRING_DEDUP,
     }
