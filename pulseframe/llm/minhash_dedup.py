@@ -6,11 +6,10 @@ coordinates by a hash of the node, each with probability branch / (threshold * c
 token at each chosen coordinate. Similar sets agree on a coordinate with a probability equal to their similarity, so they stay together
 in some child, while others part. Trees are independent; all grow at once, level by level.
 
-At each node, members are first compared with the node's smallest member, which settles groups of copies with one comparison per member.
-Members are then known by their component. A node whose members are all in one component is done; a small node with several compares
-all pairs of members from different components; a large one branches further. What is still large at the last level is compared in
-blocks, so no pair is lost to a size limit. Candidates pass a test on sketches, six standard deviations wide, and every link is confirmed
-on the full sets.
+A small node compares all its pairs. In a large one, each member is first compared with the node's smallest member, which settles a group of
+copies with one comparison per member; if the members are then all in one component, the node is done, and if not, it branches further.
+What is still large at the last level compares the pairs from different components, so no pair is lost to a size limit. Candidates pass
+a test on sketches, six standard deviations wide, and every link is confirmed on the full sets.
 
 Recall: a pair at the threshold misses the first level of `trees` trees with probability (1 - threshold)^c for c coordinates chosen over all of
 them (about trees * branch / threshold), below 1e-8 by the defaults; for pairs that only meet in large nodes a further level multiplies the
@@ -209,15 +208,18 @@ def components(links: DataFrame) -> DataFrame:
     Each round hooks a member's other lower neighbours to its lowest one, until every member has one link down; then pointers are
     doubled until they reach the root. Each round reads and writes a table.
     """
-    edges = checkpointed(links.distinct())
+    edges = links.distinct()
     while True:
         lowest = edges.groupBy("hi").agg(F.min("lo").alias("down"), F.count(F.lit(1)).alias("links"))
-        several = lowest.where("links > 1").select("hi", "down")
-        if several.isEmpty():
+        # Each link says what it becomes: the lowest stays, another one hooks its lower end to the lowest.
+        hooked = edges.join(lowest, "hi").select(
+            F.when(F.col("lo") == F.col("down"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("down").alias("lo"), (F.col("links") > 1).alias("open")
+        )
+        edges = checkpointed(hooked.groupBy("hi", "lo").agg(F.max("open").alias("open")))
+        if edges.where("open").isEmpty():
             break
-        turned = edges.join(several, "hi").where("lo != down").select(F.col("lo").alias("hi"), F.col("down").alias("lo"))
-        edges = checkpointed(lowest.select("hi", F.col("down").alias("lo")).union(turned).distinct())
-    up = edges
+        edges = edges.select("hi", "lo")
+    up = edges.select("hi", "lo")
     while True:
         above = up.select(F.col("hi").alias("lo"), F.col("lo").alias("above"))
         up = checkpointed(up.join(above, "lo", "left").select("hi", F.coalesce("above", "lo").alias("lo"), F.col("above").isNotNull().alias("moved")))
@@ -235,24 +237,35 @@ def _links(classes: DataFrame, source: DataFrame, settings: JoinSettings, seed:
     for level in range(settings.levels + 1):
         shared = nodes.groupBy("node").agg(F.min("member").alias("lo"), F.count(F.lit(1)).alias("members")).where("members > 1")
         nodes = checkpointed(nodes.join(shared, "node"))
-        found = _confirmed(nodes.where("member != lo").select(F.col("member").alias("hi"), "lo").distinct(), classes, source, settings)
+        last = level == settings.levels
+        small = nodes.where(F.col("members") <= settings.small_node).select("node", "member")
+        pairs = _pairs(small).union(nodes.where((F.col("members") > settings.small_node) & (F.col("member") != F.col("lo"))).select(F.col("member").alias("hi"), "lo"))
+        found = _confirmed(pairs.distinct(), classes, source, settings)
         links = found if links is None else links.union(found)
-        known = nodes.join(components(links), "member", "left").select("node", "member", "members", F.coalesce("root", "member").alias("root"))
+        large = nodes.where(F.col("members") > settings.small_node)
+        if large.isEmpty():
+            return links
+        # A large node is done if its smallest member has linked all others into one component.
+        known = large.join(components(links), "member", "left").select("node", "member", F.coalesce("root", "member").alias("root"))
         several = known.select("node", "root").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("node")
         known = checkpointed(known.join(several, "node"))
-        small = known if level == settings.levels else known.where(F.col("members") <= settings.small_node)
-        a, b = (small.select("node", F.col("member").alias(m), F.col("root").alias(f"root_{m}")) for m in ("hi", "lo"))
-        pairs = a.join(b, "node").where("root_hi != root_lo AND lo < hi").select("hi", "lo").distinct()
-        if not pairs.isEmpty():
-            links = checkpointed(links.union(_confirmed(pairs, classes, source, settings)))
-        large = known.where(F.col("members") > settings.small_node)
-        if level == settings.levels or large.isEmpty():
+        if known.isEmpty():
             return links
-        # Two levels have different salts, and a member meets a node once.
-        tokens = large.select("node", "member").join(classes.select("member", "sketch"), "member").select("node", "member", "sketch")
+        if last:
+            return links.union(_confirmed(_pairs(known).distinct(), classes, source, settings))
+        tokens = known.select("node", "member").join(classes.select("member", "sketch"), "member").select("node", "member", "sketch")
         nodes = tokens.mapInArrow(_branched(settings, level + 1, seed), _NODES_DDL).distinct()
 
 
+def _pairs(members: DataFrame) -> DataFrame:
+    """Pairs (hi, lo) inside nodes; where the members' components are known, only of different components."""
+    a, b = (members.select("node", *[F.col(c).alias(f"{c}_{m}") for c in members.columns[1:]]) for m in ("hi", "lo"))
+    apart = F.col("member_lo") < F.col("member_hi")
+    if "root" in members.columns:
+        apart = apart & (F.col("root_lo") != F.col("root_hi"))
+    return a.join(b, "node").where(apart).select(F.col("member_hi").alias("hi"), F.col("member_lo").alias("lo"))
+
+
 def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: JoinSettings = JoinSettings(), seed: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, set_key) for each row of docs. set_key tells equal sets; it is null for an empty set."""
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))

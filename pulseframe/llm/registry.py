@@ -13,6 +13,7 @@ from pulseframe.llm.language_id import fit_language_model, predict_languages
 from pulseframe.llm.minhash_dedup import near_duplicate_components
 from pulseframe.llm.pivot_search import top_products
 from pulseframe.llm.secret_scan import secret_report
+from pulseframe.llm.source_mix import mix_positions
 from pulseframe.llm.substring_dedup import kept_digest, remove_duplicate_passages
 
 
@@ -41,6 +42,11 @@ def op7_pivot_search(spark: SparkSession, folder: str) -> DataFrame:
     return top_products(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of each document in a mix of sources by the square root of their sizes."""
+    return mix_positions(_table(spark, folder, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left of each document once passages of earlier documents are gone."""
     return kept_digest(remove_duplicate_passages(_table(spark, folder, "documents")))
@@ -57,6 +63,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_block_ann": op6_block_ann,
         "op7_pivot_search": op7_pivot_search,
+        "op8_source_mix": op8_source_mix,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_secret_scan": op10_secret_scan,
     }
