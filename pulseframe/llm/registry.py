@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm import sql
 from pulseframe.llm.block_ann import nearest
+from pulseframe.llm.html_extract import extract_pages
 from pulseframe.llm.language_id import fit_language_model, predict_languages
 from pulseframe.llm.minhash_dedup import near_duplicate_components
 from pulseframe.llm.pivot_search import top_products
@@ -21,6 +22,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of each page."""
+    return extract_pages(_table(spark, folder, "pages"))
+
+
 def op3_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The component of near duplicates of each document."""
     return near_duplicate_components(_table(spark, folder, "documents")).drop("set_key")
@@ -59,6 +65,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extract": op1_html_extract,
         "op3_minhash_dedup": op3_minhash_dedup,
         "op5_language_id": op5_language_id,
         "op6_block_ann": op6_block_ann,
