@@ -12,6 +12,7 @@ from pulseframe.llm.block_ann import nearest
 from pulseframe.llm.html_extract import extract_pages
 from pulseframe.llm.language_id import fit_language_model, predict_languages
 from pulseframe.llm.minhash_dedup import near_duplicate_components
+from pulseframe.llm.piece_codec import read_model, tokenized
 from pulseframe.llm.pivot_search import top_products
 from pulseframe.llm.secret_scan import secret_report
 from pulseframe.llm.source_mix import mix_positions
@@ -27,6 +28,11 @@ def op1_html_extract(spark: SparkSession, folder: str) -> DataFrame:
     return extract_pages(_table(spark, folder, "pages"))
 
 
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of each document, decoded again for comparison."""
+    return tokenized(_table(spark, folder, "documents"), read_model())
+
+
 def op3_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The component of near duplicates of each document."""
     return near_duplicate_components(_table(spark, folder, "documents")).drop("set_key")
@@ -66,6 +72,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_minhash_dedup": op3_minhash_dedup,
         "op5_language_id": op5_language_id,
         "op6_block_ann": op6_block_ann,
