@@ -238,6 +238,8 @@ def _links(classes: DataFrame, source: DataFrame, settings: JoinSettings, seed:
         shared = nodes.groupBy("node").agg(F.min("member").alias("lo"), F.count(F.lit(1)).alias("members")).where("members > 1")
         nodes = checkpointed(nodes.join(shared, "node"))
         last = level == settings.levels
+        if links is not None and nodes.isEmpty():
+            return links
         small = nodes.where(F.col("members") <= settings.small_node).select("node", "member")
         pairs = _pairs(small).union(nodes.where((F.col("members") > settings.small_node) & (F.col("member") != F.col("lo"))).select(F.col("member").alias("hi"), "lo"))
         found = _confirmed(pairs.distinct(), classes, source, settings)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm import sql
 from pulseframe.llm.block_ann import nearest
+from pulseframe.llm.brown_lm import brown_scores
 from pulseframe.llm.html_extract import extract_pages
 from pulseframe.llm.language_id import fit_language_model, predict_languages
 from pulseframe.llm.minhash_dedup import near_duplicate_components
@@ -38,6 +39,11 @@ def op3_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_components(_table(spark, folder, "documents")).drop("set_key")
 
 
+def op4_brown_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of each document under word frequencies and under Brown classes."""
+    return brown_scores(_table(spark, folder, "documents"))
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of each document, learned from the labels of two folds of three."""
     docs = _table(spark, folder, "documents")
@@ -74,6 +80,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_extract": op1_html_extract,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_minhash_dedup": op3_minhash_dedup,
+        "op4_brown_lm": op4_brown_lm,
         "op5_language_id": op5_language_id,
         "op6_block_ann": op6_block_ann,
         "op7_pivot_search": op7_pivot_search,

@@ -14,6 +14,7 @@ import pyarrow as pa
 
 #: Text handled at once inside a task; a single longer text is a chunk of its own.
 CHUNK_BYTES = 2_000_000
+CHUNK_ROWS = 50_000
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -112,7 +113,7 @@ def text_batches(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -
     data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, dtype=np.uint8)
     a = 0
     while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1)
+        b = max(a + 1, min(a + CHUNK_ROWS, int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1))
         yield data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
 
