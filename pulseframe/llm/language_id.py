@@ -98,10 +98,11 @@ class LanguageModel:
         """struct<lang, score, accepted> of a text column."""
         if not self.names:
             return F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
-        shared = SparkSession.active().sparkContext.broadcast(self)
+        shared = SparkSession.active().sparkContext.broadcast((self.settings.buckets, self.settings.grams, self.names, self.logits, self.bias, self.temperature, self.least_score))
 
         def run(column: pa.Array) -> pa.Array:
-            model = shared.value
+            buckets, grams, *rest = shared.value
+            model = LanguageModel(LanguageSettings(buckets=buckets, grams=grams), *rest)
             names = np.array([*model.names, UNKNOWN], dtype=object)
             langs, scores = [], []
             for data, offsets in text_batches(column):

@@ -31,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -62,8 +62,8 @@ class JoinSettings:
 
 
 _ODD = np.random.default_rng(97).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary())])
-_SETS_DDL = "id long, n long, key binary, sketch binary"
+_SETS = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary())])
+_SETS_DDL = "id long, text_hash long, n long, key binary, sketch binary"
 _NODES = pa.schema([("node", pa.int64()), ("member", pa.struct([("id", pa.int64()), ("key", pa.binary())]))])
 _NODES_DDL = "node long, member struct<id: long, key: binary>"
 #: Stands for a null id, so that it never becomes a component's.
@@ -126,7 +126,7 @@ def _sketch(settings: JoinSettings):
                 if len(starts):
                     for i in range(settings.coordinates):
                         tokens[text[starts], i] = mix64(np.minimum.reduceat(found * _ODD[i], starts)).astype(np.uint32)
-                yield batch(_SETS, rows.column("id")[a:b], sizes, [binary(k) for k in keys], [binary(t) for t in tokens])
+                yield batch(_SETS, rows.column("id")[a:b], rows.column("text_hash")[a:b], sizes, [binary(k) for k in keys], [binary(t) for t in tokens])
 
     return run
 
@@ -268,15 +268,35 @@ def _pairs(members: DataFrame) -> DataFrame:
     return a.join(b, "node").where(apart).select(F.col("member_hi").alias("hi"), F.col("member_lo").alias("lo"))
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: JoinSettings = JoinSettings(), seed: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, set_key) for each row of docs. set_key tells equal sets; it is null for an empty set."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, settings: JoinSettings, seed: int) -> DataFrame:
+    """(id, text_hash, n, key, component, root_key) of each row; component is the id of the root's class."""
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = checkpointed(source.mapInArrow(_sketch(settings), _SETS_DDL))
+    rows = checkpointed(source.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch(settings), _SETS_DDL))
     sets = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
     classes = checkpointed(sets.select(F.struct("id", "key").alias("member"), "sketch"))
     roots = components(_links(classes, source, settings, seed))
-    labels = classes.join(roots, "member", "left").select("member.key", F.coalesce("root.id", "member.id").alias("component_id"))
-    labelled = rows.select("id", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(labels, "key", "left")
-    own = F.nullif("id", F.lit(_NO_ID))
-    component = F.nullif(F.coalesce("component_id", "id"), F.lit(_NO_ID))
-    return labelled.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), own.eqNullSafe(component).alias("kept"), F.col("key").alias("set_key"))
+    root = F.coalesce("root", "member")
+    labels = classes.join(roots, "member", "left").select("member.key", root.id.alias("component"), root.key.alias("root_key"))
+    return rows.select("id", "text_hash", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(labels, "key", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: JoinSettings = JoinSettings(), seed: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs."""
+    own, component = (F.nullif(c, F.lit(_NO_ID)) for c in ("id", "component"))
+    found = _labelled(docs, id_col, text_col, settings, seed)
+    return found.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), own.eqNullSafe(component).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: JoinSettings = JoinSettings(), seed: int = 5) -> DataFrame:
+    """docs with one row of each component, one whose id is the component's; among rows of one id and set the one of the least text hash, and
+    one of several equal rows. Rows with an empty set all stay."""
+    found = _labelled(docs, id_col, text_col, settings, seed)
+    # A component without any id is known by its root's set.
+    stays = (F.col("id") == F.col("component")) & ((F.col("id") != _NO_ID) | F.col("key").eqNullSafe(F.col("root_key")))
+    one = found.where(stays & (F.col("n") > 0)).groupBy("component", F.when(F.col("id") == _NO_ID, F.col("root_key")).alias("no_id")).agg(F.min("text_hash").alias("text_hash"))
+    one = one.select(F.col("component").alias("kept_id"), F.col("text_hash").alias("kept_hash"), F.lit(False).alias("empty"))
+    empty = found.where("n = 0").select("id", "text_hash", F.lit(True)).distinct()
+    wanted = one.union(empty)
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("kept_id"), F.xxhash64(F.col(text_col).cast("string")).alias("kept_hash"))
+    place = F.row_number().over(Window.partitionBy("kept_id", "kept_hash").orderBy(F.lit(0)))
+    return rows.join(wanted, ["kept_id", "kept_hash"]).withColumn("place", place).where("empty OR place = 1").select("row.*")

@@ -36,7 +36,7 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The component of near duplicates of each document."""
-    return near_duplicate_components(_table(spark, folder, "documents")).drop("set_key")
+    return near_duplicate_components(_table(spark, folder, "documents"))
 
 
 def op4_brown_lm(spark: SparkSession, folder: str) -> DataFrame:
