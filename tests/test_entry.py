@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from pulseframe.verification.oracles import all_oracles
+from pulseframe.verification.queries import all_queries
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -31,7 +33,8 @@ def comparable(rows, names):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
+    assert set(all_queries()) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry(spark):
@@ -39,7 +42,7 @@ def test_entry(spark):
     assert frame.count() > 0 and frame.columns[:2] == ["source_user_id", "day"]
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, database, name):
     frame = contract.queries()[name](spark, FOLDER)
     cursor = database.execute(contract.oracle_sql()[name])
