@@ -114,7 +114,7 @@ def _every(n: int) -> Column:
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vector_col: str = "embedding", settings: TileSettings = TileSettings()) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k candidates of largest inner product. is_query is a condition on the id column."""
+    """(query_id, rank, vec_id, score): each query's k candidates of largest inner product. is_query is a condition on the columns of vectors."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")) & F.exists("vector", lambda x: x != 0))
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asking")).first()

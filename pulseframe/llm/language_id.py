@@ -6,7 +6,8 @@ Once trained, embedding times weights is one row of logits per bucket, so that a
 
 The model is fitted on a bounded sample of labelled rows: about `per_language` of each of the at most `languages` commonest labels, chosen
 by a hash of the id. A fifth of the sample calibrates it: a temperature by least log loss, and the lowest score from which on
-the share of right predictions reaches `precision`; texts below it are rejected. Every row is predicted, from its whole text.
+the share of right predictions reaches `precision`, but `sure` at most; texts below it are rejected. Every row is predicted, from its
+whole text.
 
 A null text, and one without a letter, gets `und` with score 0 and is rejected. So does every text if there was nothing to learn from.
 Long texts are read in whole; repeated rows get equal results.
@@ -41,6 +42,8 @@ class LanguageSettings:
     epochs: int = 4
     rate: float = 0.5
     precision: float = 0.98
+    #: A text whose calibrated score is this or more is never rejected, whatever the labels are worth.
+    sure: float = 0.5
     seed: int = 11
 
 
@@ -189,7 +192,7 @@ def _calibrate(model: LanguageModel, rows: list, target: np.ndarray) -> None:
     precise = np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= model.settings.precision
     last = int(np.flatnonzero(precise).max()) if precise.any() else -1
     # All texts pass where even the last one keeps the precision.
-    model.least_score = 0.0 if last == len(order) - 1 else float(score[order[last + 1]]) + 1e-9 if last >= 0 else 0.0
+    model.least_score = 0.0 if last == len(order) - 1 else min(model.settings.sure, float(score[order[last + 1]]) + 1e-9)
 
 
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: LanguageSettings = LanguageSettings()) -> LanguageModel:

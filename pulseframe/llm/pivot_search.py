@@ -149,7 +149,7 @@ def _search(pivots: np.ndarray, top: float, k: int, settings: PivotSettings):
 
 
 def top_products(vectors: DataFrame, is_query: Column, k: int, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", settings: PivotSettings = PivotSettings()) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k largest inner products of floor(scale * x). is_query is a condition on the id column."""
+    """(query_id, rank, vec_id, score): each query's k largest inner products of floor(scale * x). is_query is a condition on the columns of vectors."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
     rows = rows.withColumn("vector", F.transform("vector", lambda x: F.floor(x * F.lit(float(scale))).cast("long")))
