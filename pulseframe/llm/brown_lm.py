@@ -88,7 +88,7 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int) -> np.ndarray:
             table[own] -= out
             table[:, own] -= into
             table[own, own] -= self_
-            rows, columns = table.sum(axis=1), table.sum(axis=0)
+            rows, columns = table.sum(axis=1) + into, table.sum(axis=0) + out  # bigrams with w count there wherever w goes
             cells = _xlogx(table)
             gain = (_xlogx(table + out) - cells).sum(axis=1) + (_xlogx(table + into[:, None]) - cells).sum(axis=0)
             diagonal = np.diagonal(table)

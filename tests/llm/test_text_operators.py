@@ -208,16 +208,30 @@ def test_probabilities_of_one_word_texts(spark):
     assert 0.0 < total < 1.0
 
 
-def test_exchange_finds_alternating_classes():
+def test_exchange_ends_where_no_move_helps():
     import numpy as np
 
-    table = np.zeros((8, 8))
-    for a in range(8):
-        for b in range(8):
-            if (a < 4) != (b < 4):
-                table[a, b] = 10 + a + b
-    of = exchange(table, 2, 10)
-    assert len(set(of[:4])) == 1 and len(set(of[4:])) == 1 and of[0] != of[4]
+    def likelihood(of):
+        cells = Counter()
+        for a in range(len(table)):
+            for b in range(len(table)):
+                cells[of[a], of[b]] += table[a, b]
+        first, second = Counter(), Counter()
+        for (c, d), n in cells.items():
+            first[c] += n
+            second[d] += n
+        h = lambda x: x * math.log(x) if x else 0.0
+        return sum(map(h, cells.values())) - sum(map(h, first.values())) - sum(map(h, second.values()))
+
+    draw = np.random.default_rng(6)
+    for n, classes in ((12, 3), (9, 4), (5, 8)):
+        table = draw.integers(0, 30, (n, n)) * draw.integers(0, 2, (n, n)).astype(float)
+        of = exchange(table, classes, 50).tolist()
+        best = likelihood(of)
+        assert best >= likelihood([i % classes for i in range(n)])
+        for w in range(n):
+            for c in range(min(classes, n)):
+                assert likelihood([*of[:w], c, *of[w + 1 :]]) <= best + 1e-6
 
 
 # --- languages
