@@ -26,6 +26,8 @@ from pulseframe.llm.frames import run_starts
 from pulseframe.llm.words import find_words, lowered, mix64, text_batches
 
 UNKNOWN = "und"
+#: Text of the sample whose features are found at once: training runs on the driver.
+TRAINING_BYTES = 300_000
 _BLANKS = np.zeros(256, dtype=bool)
 _BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 _LETTERS = np.zeros(256, dtype=bool)
@@ -37,7 +39,7 @@ class LanguageSettings:
     buckets: int = 1 << 15
     size: int = 16
     grams: tuple[int, ...] = (2, 3, 4)
-    per_language: int = 800
+    per_language: int = 500
     languages: int = 100
     epochs: int = 4
     rate: float = 0.5
@@ -141,14 +143,14 @@ def train(texts: pa.Array, labels: list[str], settings: LanguageSettings) -> Lan
     names = sorted(set(labels))
     target = np.array([names.index(x) for x in labels])
     rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for data, offsets in text_batches(texts):
+    for data, offsets in text_batches(texts, TRAINING_BYTES):
         bucket, owner = _features(data, offsets, settings)
         order = np.lexsort((bucket, owner))
         bucket, owner = bucket[order], owner[order]
         starts = run_starts(owner, bucket)
         counts = np.diff(np.append(starts, len(owner)))
         edges = np.searchsorted(owner[starts], np.arange(len(offsets)))
-        rows += [(bucket[starts[a:b]], (counts[a:b] / counts[a:b].sum()).astype(np.float32)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        rows += [(bucket[starts[a:b]].astype(np.int32), (counts[a:b] / counts[a:b].sum()).astype(np.float32)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     random = np.random.default_rng(settings.seed)
     place = random.permutation(len(rows))
     held, learn = place[: len(rows) // 5], place[len(rows) // 5 :]
