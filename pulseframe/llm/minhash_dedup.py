@@ -1,23 +1,25 @@
 """Near duplicates by the chosen-path similarity join: trees of selected minwise tokens, small nodes compared exhaustively.
 
 A document's set is its distinct word shingles; documents of one set are one class from the start. Each class has a sketch of minwise
-tokens (coordinate i holds the least hash of the set under hash function i). A tree starts with all classes in its root; a node chooses
-coordinates by a hash of the node, each with probability branch / (threshold * coordinates), and sends every member to the child of its
-token at each chosen coordinate. Similar sets agree on a coordinate with a probability equal to their similarity, so they stay together
-in some child, while others part. Trees are independent; all grow at once, level by level.
+tokens (coordinate i holds the least hash of the set under hash function i). A tree starts with all classes in its root; each node
+chooses coordinates by its own hash and sends every member to the child of its token there. Similar sets agree on a coordinate with a
+probability equal to their similarity, so they stay together in some child, while others part. Trees are independent; all grow at once.
 
-A small node compares all its pairs. In a large one, each member is first compared with the node's smallest member, which settles a group of
-copies with one comparison per member; if the members are then all in one component, the node is done, and if not, it branches further.
-What is still large at the last level compares the pairs from different components, so no pair is lost to a size limit. Candidates pass
-a test on sketches, six standard deviations wide, and every link is confirmed on the full sets.
+Nodes are looked at `first_depth` levels below the roots, where each node on the way chooses one coordinate. A small node compares all its
+pairs. In a large one, each member is first compared with the node's smallest member, which settles a group of copies with one
+comparison per member; if the members are then all in one component, the node is done. If one component holds half of the members, the
+node is a group of copies that further levels would not part: its other members are compared with all members, in blocks, once for all
+trees. If not, its members follow `ways` coordinates per level for `stride` levels, and the nodes there are looked at in the same way.
+What is still large at the last look is compared in blocks, too, so no pair is lost to a size limit. Pairs of small nodes first
+pass a test on sketches, five standard deviations wide; every link is confirmed on the full sets.
 
-Recall: a pair at the threshold misses the first level of `trees` trees with probability (1 - threshold)^c for c coordinates chosen over all of
-them (about trees * branch / threshold), below 1e-8 by the defaults; for pairs that only meet in large nodes a further level multiplies the
-number of ways to meet by about `branch`, with a miss below 1e-5.
+Recall: a pair at the threshold s shares no node at the first look with probability (1 - s^2)^trees, below 1e-7 by the defaults. It shares about
+ten such nodes; should all be large, it stays together below one of them with probability above 0.9 each (1 - q with q = (1 - s + s q)^2).
 
 Scale: shingles stay in the task that reads the text and are read again only for documents that have a candidate; nodes hold keys, not
 sketches; counts and smallest members are aggregated before shuffling; joins on a node or a member are plain joins that adaptive
-execution can split. Components come from repeated hooking to the smallest neighbour and pointer jumping, as joins over written tables.
+execution can split. A group of copies costs one comparison per member and look, and one more per member for each of its members that
+is in no or another component. Components come from repeated hooking to the smallest neighbour and pointer jumping over written tables.
 
 Null and empty texts have an empty set, link with nothing and are their own component. Rows with a null id take part in links but never give
 their id to a component. Repeated rows are of one class. Ties have no influence: components don't depend on the order of comparisons.
@@ -45,20 +47,21 @@ class JoinSettings:
     #: Similarity in percent, so that the test on full sets is exact.
     percent: int = 80
     coordinates: int = 128
-    trees: int = 10
-    #: Children per node that a pair at the threshold shares on average below the first level.
-    branch: float = 2.0
-    small_node: int = 24
-    levels: int = 5
-
-    @property
-    def rate(self) -> float:
-        return 100 / (self.percent * self.coordinates)
+    #: Independent trees, levels down to the first nodes that are looked at, and members of a node that is compared exhaustively.
+    trees: int = 16
+    first_depth: int = 2
+    small_node: int = 8
+    #: Members of a block of a large node.
+    block: int = 512
+    #: Children that a large node's members go to at each level, levels between looks, and looks.
+    ways: int = 2
+    stride: int = 3
+    looks: int = 3
 
     @property
     def least_agreeing(self) -> int:
         p = self.percent / 100
-        return int(np.floor(self.coordinates * p - 6 * np.sqrt(self.coordinates * p * (1 - p))))
+        return int(np.floor(self.coordinates * p - 5 * np.sqrt(self.coordinates * p * (1 - p))))
 
 
 _ODD = np.random.default_rng(97).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -68,6 +71,8 @@ _NODES = pa.schema([("node", pa.int64()), ("member", pa.struct([("id", pa.int64(
 _NODES_DDL = "node long, member struct<id: long, key: binary>"
 #: Stands for a null id, so that it never becomes a component's.
 _NO_ID = 2**63 - 1
+#: Members whose paths are followed at once.
+_MEMBERS = 512
 #: Documents whose ids may be broadcast: 24 bytes each, so 5 MB at most.
 _BROADCAST_IDS = 200_000
 
@@ -90,16 +95,6 @@ def _shingles(words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return text[keep], found[keep]
 
 
-def _chosen(seed: int, settings: JoinSettings) -> list[tuple[int, int]]:
-    """(tree, coordinate) pairs chosen in the roots; each tree chooses one at least."""
-    out = []
-    for tree in range(settings.trees):
-        draw = np.random.default_rng([seed, tree]).random(settings.coordinates)
-        picked = np.flatnonzero(draw < settings.rate)
-        out += [(tree, int(i)) for i in (picked if len(picked) else [draw.argmin()])]
-    return out
-
-
 def _set_keys(text: np.ndarray, found: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
     """(size, 128-bit key) of each text's set; equal sets have equal keys."""
     starts = run_starts(text)
@@ -131,32 +126,36 @@ def _sketch(settings: JoinSettings):
     return run
 
 
-def _child(node: np.ndarray, coordinate: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix64(mix64(node + coordinate.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ mix64(token.astype(np.uint64) + np.uint64(77)))
+def _paths(start: np.ndarray, tokens: np.ndarray, ways: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, node) some levels below the rows' nodes. Each node chooses `ways` coordinates by its own hash; a row goes on to the children
+    of its tokens there."""
+    which = mix64(np.arange(tokens.shape[1], dtype=np.uint64) + np.uint64(1))
+    row, node = np.arange(len(start)), start
+    for _ in range(levels):
+        draw = mix64(mix64(node + np.uint64(0x9E3779B97F4A7C15))[:, None] ^ which[None, :])
+        at = np.argpartition(draw, ways - 1, axis=1)[:, :ways] if ways < tokens.shape[1] else np.tile(np.arange(tokens.shape[1]), (len(node), 1))
+        row, parent, at = np.repeat(row, at.shape[1]), np.repeat(node, at.shape[1]), at.ravel()
+        node = mix64(mix64(parent ^ which[at]) + tokens[row, at].astype(np.uint64))
+    return row, node
 
 
-def _branched(settings: JoinSettings, level: int, seed: int):
-    """Children of nodes: each node's own choice of coordinates, each member's token there. Level 0 has the roots of all trees."""
-    bar = np.uint64(int(min(0.999, settings.branch * settings.rate) * 2**64))
-    roots = _chosen(seed, settings)
+def _branched(settings: JoinSettings, seed: int | None = None):
+    """Nodes of members: below the roots of all trees if a seed is given, or else below the nodes they are in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            if not rows.num_rows:
-                continue
-            tokens = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint32).reshape(rows.num_rows, -1)
-            if level:
-                node = rows.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
-                which = np.arange(settings.coordinates, dtype=np.uint64)
-                draw = mix64(mix64(node + np.uint64(level))[:, None] ^ mix64(which + np.uint64(1))[None, :])
-                row, at = np.nonzero((draw < bar) | (draw == draw.min(axis=1)[:, None]))
-                parent = node[row]
-            else:
-                trees, places = (np.array(c) for c in zip(*roots, strict=True))
-                row, at = np.repeat(np.arange(rows.num_rows), len(roots)), np.tile(places, rows.num_rows)
-                parent = np.tile(trees, rows.num_rows).astype(np.uint64)
-            child = _child(parent, at, tokens[row, at])
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), rows.column("member").take(pa.array(row))], schema=_NODES)
+            tokens = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint32).reshape(rows.num_rows, settings.coordinates)
+            for a in range(0, rows.num_rows, _MEMBERS):
+                part = tokens[a : a + _MEMBERS]
+                if seed is None:
+                    start = rows.column("node").to_numpy(zero_copy_only=False)[a : a + _MEMBERS].view(np.uint64)
+                    row, node = _paths(start, part, settings.ways, settings.stride)
+                else:
+                    roots = mix64(np.arange(settings.trees, dtype=np.uint64) + np.uint64(seed << 32))
+                    of = np.repeat(np.arange(len(part)), settings.trees)
+                    row, node = _paths(np.tile(roots, len(part)), part[of], 1, settings.first_depth)
+                    row = of[row]
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), rows.column("member").take(pa.array(row + a))], schema=_NODES)
 
     return run
 
@@ -185,17 +184,21 @@ def _full_sets(settings: JoinSettings):
     return run
 
 
+def _sets_of(source: DataFrame, ids: DataFrame, most: int, settings: JoinSettings) -> DataFrame:
+    """(member, items) of the documents with these ids, of which there are `most` at most."""
+    if most <= _BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    sets = source.join(ids, "id", "left_semi").mapInArrow(_full_sets(settings), "id long, key binary, items array<long>")
+    return sets.select(F.struct("id", "key").alias("member"), "items").dropDuplicates(["member"])  # repeated rows have equal sets
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, source: DataFrame, settings: JoinSettings) -> DataFrame:
     """Of the pairs (hi, lo) of classes, those whose full sets reach the threshold."""
     sketches = classes.select("member", "sketch")
     hi, lo = (sketches.select(F.col("member").alias(m), F.col("sketch").alias(f"sketch_{m}")) for m in ("hi", "lo"))
     close = checkpointed(pairs.join(hi, "hi").join(lo, "lo").where(_agreeing("sketch_hi", "sketch_lo") >= settings.least_agreeing).select("hi", "lo"))
-    wanted = close.select(F.explode(F.array("hi", "lo")).alias("member")).distinct()
-    ids = wanted.select("member.id").distinct()
-    if close.count() <= _BROADCAST_IDS // 2:
-        ids = F.broadcast(ids)
-    sets = source.join(ids, "id", "left_semi").mapInArrow(_full_sets(settings), "id long, key binary, items array<long>")
-    sets = sets.select(F.struct("id", "key").alias("member"), "items").dropDuplicates(["member"])  # repeated rows have equal sets
+    ids = close.select(F.explode(F.array("hi.id", "lo.id")).alias("id")).distinct()
+    sets = _sets_of(source, ids, 2 * close.count(), settings)
     hi, lo = (sets.select(F.col("member").alias(m), F.col("items").alias(f"items_{m}")) for m in ("hi", "lo"))
     common = F.size(F.array_intersect("items_hi", "items_lo"))
     reaches = 100 * common >= settings.percent * (F.size("items_hi") + F.size("items_lo") - common)
@@ -231,41 +234,102 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _links(classes: DataFrame, source: DataFrame, settings: JoinSettings, seed: int) -> DataFrame:
-    """Links (hi, lo) that join every component: all trees, level by level."""
-    nodes = classes.select("member", "sketch").mapInArrow(_branched(settings, 0, seed), _NODES_DDL)
+    """Links (hi, lo) that join every component: all trees, look by look."""
+    nodes = classes.select("member", "sketch").mapInArrow(_branched(settings, seed), _NODES_DDL)
     links = None
-    for level in range(settings.levels + 1):
+    for look in range(settings.looks):
         shared = nodes.groupBy("node").agg(F.min("member").alias("lo"), F.count(F.lit(1)).alias("members")).where("members > 1")
         nodes = checkpointed(nodes.join(shared, "node"))
-        last = level == settings.levels
         if links is not None and nodes.isEmpty():
             return links
         small = nodes.where(F.col("members") <= settings.small_node).select("node", "member")
         pairs = _pairs(small).union(nodes.where((F.col("members") > settings.small_node) & (F.col("member") != F.col("lo"))).select(F.col("member").alias("hi"), "lo"))
         found = _confirmed(pairs.distinct(), classes, source, settings)
         links = found if links is None else links.union(found)
-        large = nodes.where(F.col("members") > settings.small_node)
-        if large.isEmpty():
+        known = _open(nodes.where(F.col("members") > settings.small_node), links)
+        # A node of which one component holds the better half is a group of copies: further levels would not part it. The trees' nodes of one
+        # group have the same main component, and are taken together.
+        alike = F.col("most") * 2 >= F.col("members")
+        links = links.union(_compared(known.where(alike).withColumn("family", F.col("main")), source, settings))
+        rest = known.where(~alike)
+        if rest.isEmpty():
             return links
-        # A large node is done if its smallest member has linked all others into one component.
-        known = large.join(components(links), "member", "left").select("node", "member", F.coalesce("root", "member").alias("root"))
-        several = known.select("node", "root").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("roots")).where("roots > 1").select("node")
-        known = checkpointed(known.join(several, "node"))
-        if known.isEmpty():
-            return links
-        if last:
-            return links.union(_confirmed(_pairs(known).distinct(), classes, source, settings))
-        tokens = known.select("node", "member").join(classes.select("member", "sketch"), "member").select("node", "member", "sketch")
-        nodes = tokens.mapInArrow(_branched(settings, level + 1, seed), _NODES_DDL).distinct()
+        if look == settings.looks - 1:
+            return links.union(_compared(rest.withColumn("family", F.col("node")), source, settings))
+        tokens = rest.select("node", "member").join(classes.select("member", "sketch"), "member").select("node", "member", "sketch")
+        nodes = tokens.mapInArrow(_branched(settings), _NODES_DDL).distinct()
+
+
+def _open(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, member, members, root, main, most) of the nodes whose members are of several components. main is the root of most members."""
+    known = nodes.join(components(links), "member", "left").select("node", "member", "members", F.coalesce("root", "member").alias("root"))
+    sizes = known.groupBy("node", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("node").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("top")).where("roots > 1")
+    several = several.select("node", F.col("top.root").alias("main"), F.col("top.n").alias("most"))
+    return checkpointed(known.join(several, "node"))
 
 
 def _pairs(members: DataFrame) -> DataFrame:
-    """Pairs (hi, lo) inside nodes; where the members' components are known, only of different components."""
-    a, b = (members.select("node", *[F.col(c).alias(f"{c}_{m}") for c in members.columns[1:]]) for m in ("hi", "lo"))
-    apart = F.col("member_lo") < F.col("member_hi")
-    if "root" in members.columns:
-        apart = apart & (F.col("root_lo") != F.col("root_hi"))
-    return a.join(b, "node").where(apart).select(F.col("member_hi").alias("hi"), F.col("member_lo").alias("lo"))
+    """All pairs (hi, lo) inside nodes."""
+    a, b = (members.select("node", F.col("member").alias(m)) for m in ("hi", "lo"))
+    return a.join(b, "node").where("lo < hi").select("hi", "lo")
+
+
+def _compared(known: DataFrame, source: DataFrame, settings: JoinSettings) -> DataFrame:
+    """Links (hi, lo) between different components inside families: each member outside the family's main component against all members, in
+    blocks and on full sets. One link joins a member to a component, so there is one at most of each member, component and block."""
+    rows = checkpointed(known.select("family", "member", "root", "main").distinct())
+    outside = F.col("root") != F.col("main")
+    sizes = rows.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.count_if(outside).alias("others"))
+    ids = rows.select("member.id").distinct()
+    sets = _sets_of(source, ids, rows.count(), settings)
+    rows = rows.join(sizes, "family").join(sets, "member")
+    spread = F.xxhash64("member")
+    down, across = (F.ceil(F.col(c) / settings.block).cast("long") for c in ("others", "members"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    columns = ("family", "member", "root", "items")
+    left = rows.where(outside).select(*columns, F.pmod(spread, down).alias("down"), every(across).alias("across"))
+    right = rows.select(*columns, F.pmod(spread, across).alias("across"), every(down).alias("down"))
+    right = right.select(*[F.col(c).alias(f"other_{c}") for c in right.columns])
+    keys = ("family", "down", "across")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*[f"other_{k}" for k in keys])).applyInArrow(_block_links(settings), "hi struct<id: long, key: binary>, lo struct<id: long, key: binary>")
+    return checkpointed(found.distinct())
+
+
+def _block_links(settings: JoinSettings):
+    member = pa.struct([("id", pa.int64()), ("key", pa.binary())])
+    schema = pa.schema([("hi", member), ("lo", member)])
+
+    def side(rows: pa.Table, prefix: str = "") -> tuple[list, list, np.ndarray, np.ndarray]:
+        names, roots = ([(m["id"], m["key"]) for m in rows.column(prefix + c).to_pylist()] for c in ("member", "root"))
+        items = rows.column(prefix + "items").combine_chunks()
+        return names, roots, items.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(items.value_lengths().to_numpy(zero_copy_only=False))])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            names, roots, items, edges = side(left)
+            other_names, other_roots, other_items, other_edges = side(right, "other_")
+            number = {r: i for i, r in enumerate(sorted(set(roots) | set(other_roots)))}
+            other_of = np.array([number[r] for r in other_roots])
+            sizes = np.diff(other_edges)
+            # Which members have an item: an index of the block, looked up with each outside member's set.
+            order = np.argsort(other_items, kind="stable")
+            holder = np.repeat(np.arange(len(sizes)), sizes)[order]
+            sorted_items = other_items[order]
+            for i, (name, root) in enumerate(zip(names, roots, strict=True)):
+                own = items[edges[i] : edges[i + 1]]
+                lo, hi = np.searchsorted(sorted_items, own), np.searchsorted(sorted_items, own, side="right")
+                n = hi - lo
+                at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                common = np.bincount(holder[at], minlength=len(sizes))
+                hits = np.flatnonzero((100 * common >= settings.percent * (len(own) + sizes - common)) & (other_of != number[root]))
+                _, first = np.unique(other_of[hits], return_index=True)
+                found += [(max(name, other_names[j]), min(name, other_names[j])) for j in hits[first].tolist()]
+        columns = [[{"id": m[0], "key": m[1]} for m in c] for c in zip(*found, strict=True)] if found else [[], []]
+        return pa.table([pa.array(c, type=member) for c in columns], schema=schema)
+
+    return run
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, settings: JoinSettings, seed: int) -> DataFrame:

@@ -122,7 +122,7 @@ def near_components(rows):
     return [(i, len(sets[a]), least.get(root(a)), i == least.get(root(a))) for a, (i, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("settings", [JoinSettings(), JoinSettings(small_node=3, levels=2)])
+@pytest.mark.parametrize("settings", [JoinSettings(), JoinSettings(small_node=3, looks=2), JoinSettings(small_node=2, looks=1)])
 def test_near_duplicates(odd, given, settings):
     for frame in (odd, given):
         got = Counter(tuple(r) for r in near_duplicate_components(frame, settings=settings).collect())
