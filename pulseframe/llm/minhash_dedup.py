@@ -31,11 +31,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from pulseframe.llm.frames import batch, binary, checkpointed, run_starts
 from pulseframe.llm.words import grams, mix64, text_chunks, whole_grams
@@ -56,7 +54,7 @@ class JoinSettings:
     #: Children that a large node's members go to at each level, levels between looks, and looks.
     ways: int = 2
     stride: int = 3
-    looks: int = 3
+    looks: int = 2
 
     @property
     def least_agreeing(self) -> int:
@@ -65,8 +63,8 @@ class JoinSettings:
 
 
 _ODD = np.random.default_rng(97).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SETS = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.binary())])
-_SETS_DDL = "id long, text_hash long, n long, key binary, sketch binary"
+_SETS = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.list_(pa.int32()))])
+_SETS_DDL = "id long, text_hash long, n long, key binary, sketch array<int>"
 _NODES = pa.schema([("node", pa.int64()), ("member", pa.struct([("id", pa.int64()), ("key", pa.binary())]))])
 _NODES_DDL = "node long, member struct<id: long, key: binary>"
 #: Stands for a null id, so that it never becomes a component's.
@@ -108,6 +106,10 @@ def _set_keys(text: np.ndarray, found: np.ndarray, n_texts: int) -> tuple[np.nda
     return sizes, keys
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
 def _sketch(settings: JoinSettings):
     """(id, size, key, sketch) of each text's set."""
 
@@ -121,7 +123,7 @@ def _sketch(settings: JoinSettings):
                 if len(starts):
                     for i in range(settings.coordinates):
                         tokens[text[starts], i] = mix64(np.minimum.reduceat(found * _ODD[i], starts)).astype(np.uint32)
-                yield batch(_SETS, rows.column("id")[a:b], rows.column("text_hash")[a:b], sizes, [binary(k) for k in keys], [binary(t) for t in tokens])
+                yield batch(_SETS, rows.column("id")[a:b], rows.column("text_hash")[a:b], sizes, [binary(k) for k in keys], _lists(tokens.view(np.int32)))
 
     return run
 
@@ -144,7 +146,7 @@ def _branched(settings: JoinSettings, seed: int | None = None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            tokens = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint32).reshape(rows.num_rows, settings.coordinates)
+            tokens = rows.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint32).reshape(rows.num_rows, settings.coordinates)
             for a in range(0, rows.num_rows, _MEMBERS):
                 part = tokens[a : a + _MEMBERS]
                 if seed is None:
@@ -160,13 +162,9 @@ def _branched(settings: JoinSettings, seed: int | None = None):
     return run
 
 
-@F.pandas_udf(IntegerType())
-def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
+def _agreeing(a: str, b: str) -> Column:
     """Coordinates at which two sketches agree."""
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    x, y = (np.frombuffer(b"".join(s), dtype=np.uint32).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).sum(axis=1).astype(np.int32))
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
 def _full_sets(settings: JoinSettings):
@@ -211,14 +209,15 @@ def components(links: DataFrame) -> DataFrame:
     Each round hooks a member's other lower neighbours to its lowest one, until every member has one link down; then pointers are
     doubled until they reach the root. Each round reads and writes a table.
     """
-    edges = links.distinct()
+    edges = links
+    lower = Window.partitionBy("hi")
     while True:
-        lowest = edges.groupBy("hi").agg(F.min("lo").alias("down"), F.count(F.lit(1)).alias("links"))
-        # Each link says what it becomes: the lowest stays, another one hooks its lower end to the lowest.
-        hooked = edges.join(lowest, "hi").select(
-            F.when(F.col("lo") == F.col("down"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("down").alias("lo"), (F.col("links") > 1).alias("open")
-        )
-        edges = checkpointed(hooked.groupBy("hi", "lo").agg(F.max("open").alias("open")))
+        # Each link says what it becomes: the lowest stays, another one hooks its lower end to the lowest. A member has few lower neighbours:
+        # one for each node or block it is in.
+        down = edges.distinct().withColumn("down", F.min("lo").over(lower))
+        apart = F.col("lo") != F.col("down")
+        hooked = down.select(F.when(apart, F.col("lo")).otherwise(F.col("hi")).alias("hi"), F.col("down").alias("lo"), apart.alias("open"))
+        edges = checkpointed(hooked)
         if edges.where("open").isEmpty():
             break
         edges = edges.select("hi", "lo")
@@ -250,12 +249,13 @@ def _links(classes: DataFrame, source: DataFrame, settings: JoinSettings, seed:
         # A node of which one component holds the better half is a group of copies: further levels would not part it. The trees' nodes of one
         # group have the same main component, and are taken together.
         alike = F.col("most") * 2 >= F.col("members")
-        links = links.union(_compared(known.where(alike).withColumn("family", F.col("main")), source, settings))
+        own = F.struct(F.col("node").alias("id"), F.lit(b"").alias("key"))
+        last = look == settings.looks - 1
+        family = known.withColumn("family", F.when(alike, F.col("main")).otherwise(own))
+        links = links.union(_compared(family if last else family.where(alike), source, settings))
         rest = known.where(~alike)
-        if rest.isEmpty():
+        if last or rest.isEmpty():
             return links
-        if look == settings.looks - 1:
-            return links.union(_compared(rest.withColumn("family", F.col("node")), source, settings))
         tokens = rest.select("node", "member").join(classes.select("member", "sketch"), "member").select("node", "member", "sketch")
         nodes = tokens.mapInArrow(_branched(settings), _NODES_DDL).distinct()
 
