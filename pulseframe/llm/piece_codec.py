@@ -31,8 +31,12 @@ from pulseframe.llm.words import Words, find_runs, mix64, text_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-PORTION_BYTES = 4_000_000
+PORTION_BYTES = 1_500_000
 KNOWN_SEGMENTS = 400_000
+#: Rows encoded at once.
+ROWS = 500
+#: Places for pairs of pieces whose answer is remembered; a pair that falls on a taken place replaces the older one.
+KNOWN_PAIRS = 1 << 20
 _NOT_SPACE = np.ones(256, dtype=bool)
 _NOT_SPACE[0x20] = False
 _END = 0xFF
@@ -53,10 +57,7 @@ class PieceModel:
     merge_ranks: np.ndarray
     byte_ids: np.ndarray
     unknown: int
-
-    @property
-    def lengths(self) -> np.ndarray:
-        return np.array([len(p) for p in self.pieces])
+    shown: tuple | None = None
 
 
 def _merged(parts: list[str], ids: dict[str, int], order: dict[int, int]) -> tuple[list[str], tuple[str, str] | None]:
@@ -152,7 +153,7 @@ def _words_of(data: np.ndarray) -> np.ndarray:
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(places sorted by the `depth` bytes from there on, 8-byte words). Ranks of 8 bytes are doubled until they cover the depth."""
     words = _words_of(data)
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words)
     rank = np.empty(len(data), dtype=np.int64)
     rank[order] = np.cumsum(np.concatenate([[0], words[order][1:] != words[order][:-1]]))
     width = 8
@@ -161,38 +162,45 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         if width < len(data):
             ahead[:-width] = rank[width:] + 1
         code = rank * (len(data) + 1) + ahead
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         rank[order] = np.cumsum(np.concatenate([[0], code[order][1:] != code[order][:-1]]))
         width *= 2
     return order, words
 
 
-def occurrence_ranges(order: np.ndarray, words: np.ndarray, pieces: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def piece_words(pieces: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in the list, 8-byte words, masks) of the pieces, by their number of words."""
+    wide = np.array([-(-len(p) // 8) for p in pieces])
+    out = []
+    for steps in np.unique(wide).tolist():
+        at = np.flatnonzero(wide == steps)
+        some = [pieces[i] for i in at.tolist()]
+        words, masks = (np.frombuffer(b"".join(x.ljust(8 * steps, b"\0") for x in c), dtype=">u8").reshape(len(at), steps).astype(np.uint64) for c in (some, [b"\xff" * len(p) for p in some]))
+        out.append((at, words, masks))
+    return out
+
+
+def occurrence_ranges(order: np.ndarray, words: np.ndarray, pieces: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """For each piece the range of the suffix array whose suffixes begin with it, by bisection of all pieces at once."""
-    steps = -(-depth // 8)
-    longest = steps * 8
-    flat = b"".join(p.ljust(longest, b"\0") for p in pieces)
-    low = np.frombuffer(flat, dtype=">u8").reshape(len(pieces), steps).astype(np.uint64)
-    mask = np.frombuffer(b"".join(b"\xff" * len(p) + b"\0" * (longest - len(p)) for p in pieces), dtype=">u8").reshape(len(pieces), steps).astype(np.uint64)
-    padded = np.concatenate([words, np.zeros(longest, dtype=np.uint64)])
-
-    def bound(after: bool) -> np.ndarray:
-        lo, hi = np.zeros(len(pieces), dtype=np.int64), np.full(len(pieces), len(order), dtype=np.int64)
-        while (lo < hi).any():
-            open_ = lo < hi
-            mid = (lo + hi) // 2
-            place = order[np.minimum(mid, len(order) - 1)]
-            less, equal = np.zeros(len(pieces), dtype=bool), np.ones(len(pieces), dtype=bool)
-            for j in range(steps):
-                word = padded[place + 8 * j] & mask[:, j]
-                less |= equal & (word < low[:, j])
-                equal &= word == low[:, j]
-            right = (less | (equal & after)) & open_
-            lo = np.where(right, mid + 1, lo)
-            hi = np.where(open_ & ~right, mid, hi)
-        return lo
-
-    return bound(False), bound(True)
+    n = sum(len(at) for at, _, _ in pieces)
+    out = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for at, low, mask in pieces:
+        padded = np.concatenate([words, np.zeros(8 * low.shape[1], dtype=np.uint64)])
+        for bound, after in zip(out, (False, True), strict=True):
+            lo, hi = np.zeros(len(at), dtype=np.int64), np.full(len(at), len(order), dtype=np.int64)
+            while (lo < hi).any():
+                mid = (lo + hi) // 2
+                place = order[np.minimum(mid, len(order) - 1)]
+                less, equal = np.zeros(len(at), dtype=bool), np.ones(len(at), dtype=bool)
+                for j in range(low.shape[1]):
+                    word = padded[place + 8 * j] & mask[:, j]
+                    less |= equal & (word < low[:, j])
+                    equal &= word == low[:, j]
+                open_ = lo < hi
+                right = (less | (equal & after)) & open_
+                lo, hi = np.where(right, mid + 1, lo), np.where(open_ & ~right, mid, hi)
+            bound[at] = lo
+    return out
 
 
 class Encoder:
@@ -202,12 +210,13 @@ class Encoder:
         self.model = model
         usable = [i for i in np.flatnonzero(model.matchable).tolist() if model.pieces[i]]
         self.ids = np.array(usable, dtype=np.int64)
-        self.pieces = [model.pieces[i] for i in usable]
-        self.sizes = np.array([len(p) for p in self.pieces], dtype=np.int64)
+        pieces = [model.pieces[i] for i in usable]
+        self.words = piece_words(pieces)
+        self.sizes = np.array([len(p) for p in pieces], dtype=np.int64)
         self.depth = int(self.sizes.max(initial=1))
         self.length_of = np.zeros(len(model.pieces) + 1, dtype=np.int64)
         self.length_of[self.ids] = self.sizes
-        self.pair_codes, self.pair_ok = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+        self.pair_codes, self.pair_ok = np.full(KNOWN_PAIRS, -1, dtype=np.int64), np.zeros(KNOWN_PAIRS, dtype=bool)
         self._forget()
 
     def _forget(self) -> None:
@@ -221,24 +230,21 @@ class Encoder:
         out = np.ones(len(code), dtype=bool)
         ask = np.flatnonzero((a >= 0) & (b >= 0))
         code = code[ask]
-        at = np.searchsorted(self.pair_codes, code)
-        known = np.zeros(len(code), dtype=bool)
-        inside = at < len(self.pair_codes)
-        known[inside] = self.pair_codes[at[inside]] == code[inside]
+        place = (mix64(code.view(np.uint64)) & np.uint64(KNOWN_PAIRS - 1)).astype(np.int64)
+        known = self.pair_codes[place] == code
+        ok = self.pair_ok[place]
         if not known.all():
-            new = np.unique(code[~known])
-            ok = may_follow(self.model, new // len(self.model.rank), new % len(self.model.rank))
-            codes = np.concatenate([self.pair_codes, new])
-            order = np.argsort(codes, kind="stable")
-            self.pair_codes, self.pair_ok = codes[order], np.concatenate([self.pair_ok, ok])[order]
-            at = np.searchsorted(self.pair_codes, code)
-        out[ask] = self.pair_ok[at] if len(code) else out[ask]
+            new, of = np.unique(code[~known], return_inverse=True)
+            answer = may_follow(self.model, new // len(self.model.rank), new % len(self.model.rank))
+            ok[~known] = answer[of]
+            self.pair_codes[place[~known]], self.pair_ok[place[~known]] = code[~known], ok[~known]
+        out[ask] = ok
         return out
 
     def segments(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces, number of pieces by segment) of the segments data[edges[i]:edges[i + 1]], each ended by a byte that no text has."""
-        order, words = suffix_array(data, self.depth)
-        lo, hi = occurrence_ranges(order, words, self.pieces, self.depth)
+        order, words = suffix_array(data, min(self.depth, int(np.diff(edges).max(initial=1))))
+        lo, hi = occurrence_ranges(order, words, self.words)
         n = hi - lo
         piece = np.repeat(np.arange(len(n)), n)
         begin = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
@@ -257,9 +263,10 @@ class Encoder:
         alone = ~single[start]
         begin, stop = np.concatenate([begin, start[alone]]), np.concatenate([stop, (start + width)[alone]])
         token = np.concatenate([token, np.full(int(alone.sum()), _NONE)])
-        segment = np.searchsorted(edges, begin, side="right") - 1
-        reach = stop - edges[segment]
-        by_reach = np.argsort(reach, kind="stable")
+        origin = np.repeat(edges[:-1], np.diff(edges))
+        reach = stop - origin[begin]
+        # Numbers of 16 bits are sorted by radix.
+        by_reach = np.argsort(reach.astype(np.uint16) if reach.max(initial=0) < 65_536 else reach, kind="stable")
         begin, stop, token, reach = begin[by_reach], stop[by_reach], token[by_reach], reach[by_reach]
         last = np.full(len(data) + 1, _NONE, dtype=np.int64)
         back = np.zeros(len(data) + 1, dtype=np.int64)
@@ -354,8 +361,8 @@ def encode_column(encoder: Encoder, column: pa.Array) -> pa.Array:
     return pc.if_else(nulls, pa.scalar(None, out.type), out) if nulls.true_count else out
 
 
-def decode_column(model: PieceModel, column: pa.Array) -> pa.Array:
-    """Texts of a column of pieces."""
+def _shown(model: PieceModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all pieces, first byte, number of bytes) as they are shown in a text."""
     names = list(model.pieces)
     for byte, i in enumerate(model.byte_ids.tolist()):
         if i != model.unknown:
@@ -365,7 +372,14 @@ def decode_column(model: PieceModel, column: pa.Array) -> pa.Array:
     names = [p.replace(mark, b" ") for p in names]
     size = np.array([len(p) for p in names], dtype=np.int64)
     first = np.cumsum(size) - size
-    pool = np.frombuffer(b"".join(names), dtype=np.uint8)
+    return np.frombuffer(b"".join(names), dtype=np.uint8), first, size
+
+
+def decode_column(model: PieceModel, column: pa.Array) -> pa.Array:
+    """Texts of a column of pieces."""
+    if model.shown is None:
+        model.shown = _shown(model)
+    pool, first, size = model.shown
     out: list[str | None] = []
     edges = np.asarray(column.offsets)
     ids = column.values.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -385,16 +399,24 @@ def _tables(model: PieceModel):
 
 
 def encoded(text: Column, model: PieceModel) -> Column:
-    """array<int> of piece ids."""
+    """struct<pieces: array<int>, round_trip: boolean>: piece ids, and whether decoding them gives the text back."""
     shared = _tables(model)
     state: dict = {}
 
     def run(column: pa.Array) -> pa.Array:
         if "encoder" not in state:
             state["encoder"] = Encoder(PieceModel(*shared.value))
-        return encode_column(state["encoder"], column)
+        out = [[], []]
+        for a in range(0, len(column), ROWS):
+            texts = column.slice(a, ROWS)
+            pieces = encode_column(state["encoder"], texts)
+            same = pc.equal(decode_column(state["encoder"].model, pieces), texts.cast(pa.string())).fill_null(True)
+            out[0].append(pieces)
+            out[1].append(same)
+        arrays = [pa.concat_arrays(o) if o else pa.array([], type=t) for o, t in zip(out, (pa.list_(pa.int32()), pa.bool_()), strict=True)]
+        return pa.StructArray.from_arrays(arrays, names=["pieces", "round_trip"])
 
-    return F.arrow_udf(run, "array<int>")(text)
+    return F.arrow_udf(run, "struct<pieces: array<int>, round_trip: boolean>")(text)
 
 
 def decoded(pieces: Column, model: PieceModel) -> Column:
@@ -408,7 +430,6 @@ def decoded(pieces: Column, model: PieceModel) -> Column:
 
 
 def tokenized(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, pieces, n_pieces, round_trip) of each row; round_trip tells whether decoding gives the text back."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("pieces", encoded(F.col("text"), model))
-    same = decoded(F.col("pieces"), model).eqNullSafe(F.col("text"))
-    return rows.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), same.alias("round_trip"))
+    """(doc_id, pieces, n_pieces, round_trip) of each row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), encoded(F.col(text_col), model).alias("found"))
+    return rows.select("doc_id", "found.pieces", F.size("found.pieces").cast("long").alias("n_pieces"), "found.round_trip")

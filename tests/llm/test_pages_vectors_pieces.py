@@ -19,7 +19,7 @@ import __spark_entry__ as contract
 import corpus_pipeline
 from pulseframe.llm.block_ann import TileSettings, nearest
 from pulseframe.llm.html_extract import extract_pages, main_text
-from pulseframe.llm.piece_codec import MODEL, Encoder, decode_column, encode_column, occurrence_ranges, read_model, suffix_array, tokenized
+from pulseframe.llm.piece_codec import MODEL, Encoder, decode_column, encode_column, occurrence_ranges, piece_words, read_model, suffix_array, tokenized
 from pulseframe.llm.pivot_search import PivotSettings, top_products
 from pulseframe.llm.registry import llm_oracles, llm_queries
 from tests.llm import cases
@@ -147,7 +147,7 @@ def test_suffix_array_and_ranges():
     order, found = suffix_array(data, 24)
     assert [text[i : i + 24] for i in order] == sorted(text[i : i + 24] for i in range(len(text)))
     pieces = [bytes(draw.choice(b"abcd") for _ in range(draw.randrange(1, 20))) for _ in range(200)]
-    lo, hi = occurrence_ranges(order, found, pieces, 24)
+    lo, hi = occurrence_ranges(order, found, piece_words(pieces))
     for piece, a, b in zip(pieces, lo, hi, strict=True):
         assert sorted(order[a:b]) == [i for i in range(len(text)) if text.startswith(piece, i)]
 
