@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pulseframe.llm.frames import checkpointed
 from pulseframe.llm.language_id import fit_language_model
 from pulseframe.llm.minhash_dedup import without_near_duplicates
-from pulseframe.llm.piece_codec import decoded, encoded, read_model
+from pulseframe.llm.piece_codec import encoded, read_model
 from pulseframe.llm.secret_scan import redacted, secrets
 from pulseframe.llm.source_mix import mixed
 
@@ -45,10 +45,8 @@ def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of each document; round_trip tells whether decoding gives the text back."""
-    model = read_model()
-    rows = docs.select("doc_id", "source", "lang", "text").withColumn("pieces", encoded(F.col("text"), model))
-    same = decoded(F.col("pieces"), model).eqNullSafe(F.col("text"))
-    return rows.select("doc_id", "source", "lang", "pieces", F.size("pieces").cast("long").alias("n_pieces"), same.alias("round_trip"))
+    rows = docs.select("doc_id", "source", "lang", encoded(F.col("text"), read_model()).alias("found"))
+    return rows.select("doc_id", "source", "lang", "found.pieces", F.size("found.pieces").cast("long").alias("n_pieces"), "found.round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
