@@ -33,14 +33,14 @@ from pulseframe.llm.words import grams, mix64, text_chunks, whole_grams
 
 PHRASE = 4
 #: Text whose copies are settled together inside a task.
-PORTION_BYTES = 8_000_000
+PORTION_BYTES = 5_000_000
 #: Words that one reference block takes on average.
-BLOCK_WORDS = 100_000
+BLOCK_WORDS = 150_000
 #: Documents looked at to find very frequent phrases and the length of texts, the share that makes a phrase frequent, and at most so many phrases.
 SAMPLE_DOCUMENTS = 20_000
 FREQUENT_SHARE = 0.002
 FREQUENT_PHRASES = 50_000
-#: Bytes of a window's hash that are kept beside the 8 bytes of its anchor.
+#: Bytes of a window's hash that are kept beside 4 bytes of its anchor and the number of its block.
 WINDOW_BYTES = 5
 
 _RUNS = pa.schema([("block", pa.int64()), ("anchors", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("sizes", pa.binary()), ("windows", pa.binary())])
@@ -92,7 +92,7 @@ def _packed(docs, places, anchors, windows, blocks: int, frequent: np.ndarray) -
     low, ends = np.ascontiguousarray(low[taken]), np.concatenate([[0], np.cumsum(sizes[order])])
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         runs = starts[order[a:b]]
-        parts = (int(block[order[a]]), binary(anchors[runs]), binary(docs[runs]), binary(places[runs]), binary(sizes[order[a:b]].astype(np.uint16)), binary(low[ends[a] : ends[b]]))
+        parts = (int(block[order[a]]), binary(anchors[runs].astype(np.uint32)), binary(docs[runs]), binary(places[runs]), binary(sizes[order[a:b]].astype(np.uint16)), binary(low[ends[a] : ends[b]]))
         for column, value in zip(rows, parts, strict=True):
             column.append(value)
     return batch(_RUNS, *rows)
@@ -153,7 +153,7 @@ def _parse_block(window: int):
             columns = [joined(rows.column(c).to_pylist(), t) for c, t in (("docs", "i8"), ("places", "i4"), ("sizes", "i4"))]
             return pa.Table.from_batches([batch(_SPANS, *columns)])
         sizes = joined(rows.column("sizes").to_pylist(), "u2").astype(np.int64)
-        run_anchors, run_docs, run_places = (joined(rows.column(c).to_pylist(), t) for c, t in (("anchors", "u8"), ("docs", "i8"), ("places", "i4")))
+        run_anchors, run_docs, run_places = (joined(rows.column(c).to_pylist(), t) for c, t in (("anchors", "u4"), ("docs", "i8"), ("places", "i4")))
         # Only anchors of two documents or more can have a match.
         order = np.argsort(run_anchors, kind="stable")
         starts = run_starts(run_anchors[order])
