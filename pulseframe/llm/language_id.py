@@ -26,8 +26,8 @@ from pulseframe.llm.frames import run_starts
 from pulseframe.llm.words import find_words, lowered, mix64, text_batches
 
 UNKNOWN = "und"
-#: Text of the sample whose features are found at once: training runs on the driver.
-TRAINING_BYTES = 300_000
+#: Text whose features are found at once: each byte has several, of 16 bytes each.
+PORTION_BYTES = 300_000
 _BLANKS = np.zeros(256, dtype=bool)
 _BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 _LETTERS = np.zeros(256, dtype=bool)
@@ -110,7 +110,7 @@ class LanguageModel:
             model = LanguageModel(LanguageSettings(buckets=buckets, grams=grams), *rest)
             names = np.array([*model.names, UNKNOWN], dtype=object)
             langs, scores = [], []
-            for data, offsets in text_batches(column):
+            for data, offsets in text_batches(column, PORTION_BYTES):
                 found = model.scores(data, offsets)
                 best = found.argmax(axis=1)
                 score = found[np.arange(len(best)), best]
@@ -143,7 +143,7 @@ def train(texts: pa.Array, labels: list[str], settings: LanguageSettings) -> Lan
     names = sorted(set(labels))
     target = np.array([names.index(x) for x in labels])
     rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for data, offsets in text_batches(texts, TRAINING_BYTES):
+    for data, offsets in text_batches(texts, PORTION_BYTES):
         bucket, owner = _features(data, offsets, settings)
         order = np.lexsort((bucket, owner))
         bucket, owner = bucket[order], owner[order]
