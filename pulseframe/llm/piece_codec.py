@@ -31,10 +31,10 @@ from pulseframe.llm.words import Words, find_runs, mix64, text_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-PORTION_BYTES = 1_500_000
-KNOWN_SEGMENTS = 400_000
+PORTION_BYTES = 500_000
+KNOWN_SEGMENTS = 200_000
 #: Rows encoded at once.
-ROWS = 500
+ROWS = 250
 #: Places for pairs of pieces whose answer is remembered; a pair that falls on a taken place replaces the older one.
 KNOWN_PAIRS = 1 << 20
 _NOT_SPACE = np.ones(256, dtype=bool)
