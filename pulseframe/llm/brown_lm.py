@@ -1,22 +1,21 @@
 """Language-model scores by a class-based bigram model over exchange clusters (Brown classes).
 
-The `class_words` commonest words are assigned to `classes` classes by exchange: each word in turn moves to the class that raises the likelihood of
-the training bigrams most, over several rounds; the classes are then exchanged once more into `groups` groups. All other words form one
-more class, the rare one; the end of a text is a class of its own. With h the history (the class of the last common word, and whether rare
-words followed it) the model is
+Every training word has one of `classes` classes. The `class_words` commonest words of all training rows are assigned by exchange: each
+word in turn moves to the class that raises the likelihood of the training bigrams most, over several rounds. Each other word then takes the
+class of greatest likelihood given its own counts of left and right neighbours (classes of common words, another word, or an end
+of the text) against the table of transitions between those. The end of a text is a class of its own, and so are words without a training
+count. The model is
 
-  P(word | h) = P(class | h) * P(word | class)       for a common word,
-  P(word | h) = P(rare | h) * P(word | rare, group)  for any other, with the group of the history's class.
+  P(word | h) = P(class | h) * P(word | class),  with h the class of the word before, or the beginning of the text.
 
-P(class | h) is the transition count smoothed towards the class's share by `transition_prior` counts. P(word | class) adds a half to each count.
-P(word | rare, group) = (n(word, group) + w (c(word) + 1/2)) / (n(rare, group) + w (N_rare + (V_rare + 1) / 2)), which leaves a share
-for one unknown word, as the base model does.
+P(class | h) is counted over all training words and smoothed by `transition_prior` counts towards the transitions of h's group (the classes
+are exchanged once more into `groups` groups), and those towards the class's share. P(word | class) adds a half to each count. One unknown word
+has half a count of all, about the share that the base model leaves for it, whatever its history.
 
-Counts cover all training rows. Common words are counted in each task and added up (at most class_words squared bigrams reach the
-driver, where the exchange runs). Occurrences of other words are dealt to blocks by the word's hash, packed, with the place of their text
-in its portion; a block counts its words, scores each occurrence and sends sums per text back to the portion, so no table of
-all words is ever gathered or broadcast. The common words are chosen from a bounded sample of training rows (`sample` rows): that
-decides which words get a class of their own; what is counted for them covers everything.
+Counts cover all training rows. Bigrams of common words are counted in each task and added up (at most class_words squared reach the
+driver, where the exchange runs). The other words of a portion of texts, with their neighbours, are dealt to blocks by the word's hash; a block
+gives each of its words a class and a count and sends both back to the portion, which then knows the classes of all its words.
+No table of all words is ever gathered or broadcast.
 
 Words are longest runs of bytes other than ASCII blanks, with A-Z as a-z, known by 64-bit hashes (48 bits and the block for rare ones). A null
 or empty text has no words and one end. A row with a null id is scored and not learned from. Repeated rows count each time. Without
@@ -45,8 +44,6 @@ class BrownSettings:
     groups: int = 8
     rounds: int = 6
     transition_prior: float = 50.0
-    rare_weight: float = 0.2
-    sample: int = 20_000
     #: Text of a portion, rows of a portion at most, and occurrences that one block takes on average.
     portion_bytes: int = 8_000_000
     portion_rows: int = 60_000
@@ -54,11 +51,17 @@ class BrownSettings:
 
 
 _COUNTS = pa.schema([("code", pa.int64()), ("n", pa.int64())])
-_ENTRIES = pa.schema([("block", pa.int64()), ("portion", pa.int64()), ("words", pa.binary()), ("rows", pa.binary()), ("marks", pa.binary()), ("texts", pa.binary())])
-_ENTRIES_DDL = "block long, portion long, words binary, rows binary, marks binary, texts binary"
-_ANSWERS_DDL = "portion long, rows binary, known binary, base binary, model binary, texts binary, new_words long, training long"
-_ANSWERS = pa.schema([("portion", pa.int64()), *[(c, pa.binary()) for c in ("rows", "known", "base", "model", "texts")], ("new_words", pa.int64()), ("training", pa.int64())])
+_ENTRIES = pa.schema([("block", pa.int64()), ("portion", pa.int64()), *[(c, pa.binary()) for c in ("words", "seen", "left", "right", "texts", "kinds", "places")]])
+_ENTRIES_DDL = "block long, portion long, words binary, seen binary, left binary, right binary, texts binary, kinds binary, places binary"
+_ANSWERS = pa.schema([("block", pa.int64()), ("portion", pa.int64()), *[(c, pa.binary()) for c in ("classes", "counts", "texts", "kinds", "places")], ("sums", pa.list_(pa.int64()))])
+_ANSWERS_DDL = "block long, portion long, classes binary, counts binary, texts binary, kinds binary, places binary, sums array<long>"
+_PORTIONS = pa.schema([("texts", pa.binary()), ("kinds", pa.binary())])
+_SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_TEXT = np.dtype([("id", "i8"), ("no_id", "?"), ("held", "?"), ("learn", "?"), ("tokens", "i8"), ("known", "i8"), ("base", "f8")])
 _WORD_BYTES = 6
+#: Words that get a class together, so many rows of likelihoods.
+_ASSIGNED = 8_192
 
 
 # --- exchange clustering, on bounded tables
@@ -110,7 +113,7 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int) -> np.ndarray:
 
 
 class _Tokens:
-    """Classes and histories of the words and ends of a chunk. Class numbers: 0.. of common words, then rare, then end."""
+    """Words and ends of a chunk. Kinds: 0.. are classes of common words, then other words, then ends; before a text's first is an end."""
 
     def __init__(self, words, common: np.ndarray, class_of: np.ndarray, classes: int):
         n_texts = len(words.first) - 1
@@ -128,29 +131,20 @@ class _Tokens:
         self.kind = np.full(len(self.text), classes, dtype=np.int64)
         self.kind[word_at[is_common]] = class_of[at[is_common]]
         self.kind[self.end_at] = classes + 1
-        begin = (words.first[:-1] + np.arange(n_texts))[self.text]
-        here = np.arange(len(self.text))
-        seen = np.maximum.accumulate(np.where(self.kind < classes, here, -1))
-        before = np.concatenate([[-1], seen[:-1]])
-        known = before >= begin
-        #: Class of the last common word, or `classes` if there is none yet.
-        self.last = np.where(known, self.kind[np.maximum(before, 0)], classes)
-        previous_rare = (here > begin) & (before != here - 1)
-        self.history = np.where(here == begin, 0, 1 + 2 * self.last + previous_rare)
+        self.history = _histories(self.kind, classes + 1)
         self.rare = self.kind == classes
 
 
-def _histories(classes: int) -> int:
-    return 1 + 2 * (classes + 1)
+def _histories(kinds: np.ndarray, end: int) -> np.ndarray:
+    """The kind before each; the last one of another text is an end."""
+    return np.concatenate([[end], kinds[:-1]])[: len(kinds)].astype(np.int64)
 
 
 # --- passes over the corpus
 
 
-def _common_words(rows: DataFrame, settings: BrownSettings) -> np.ndarray:
-    """Hashes of the commonest words of a bounded sample of training rows, by falling count."""
-    training = rows.where("learn")
-    every = max(1, -(-training.count() // settings.sample))
+def _common_words(rows: DataFrame, settings: BrownSettings) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the commonest words of all training rows, by falling count, and their counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -158,47 +152,58 @@ def _common_words(rows: DataFrame, settings: BrownSettings) -> np.ndarray:
                 found, n = np.unique(words.hashes(lower=True), return_counts=True)
                 yield batch(_COUNTS, found.view(np.int64), n)
 
-    counts = training.where(F.pmod(F.xxhash64("id", F.lit(31)), F.lit(every)) == 0).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = rows.where("learn").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "code").limit(settings.class_words).toArrow()
-    return top.column("code").to_numpy().astype(np.int64).view(np.uint64)
+    return top.column("code").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy().astype(np.int64)
+
+
+def _total(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of (code, n) by code. Codes are bounded by the caller."""
+    total = counts.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    return total.column("code").to_numpy().astype(np.int64), total.column("n").to_numpy().astype(np.int64)
 
 
 def _count(rows: DataFrame, counted) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over the training rows of (code, n) that `counted(words)` gives for each chunk. Codes are bounded by the caller."""
+    """Sums over the training rows of the codes that `counted(words)` gives for each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             for _, _, words in text_chunks(part.column("text")):
-                codes = counted(words)
-                found, n = np.unique(codes, return_counts=True)
+                found, n = np.unique(counted(words), return_counts=True)
                 yield batch(_COUNTS, found, n)
 
-    total = rows.where("learn").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    return total.column("code").to_numpy().astype(np.int64), total.column("n").to_numpy().astype(np.int64)
+    return _total(rows.where("learn").mapInArrow(run, "code long, n long"))
 
 
 @dataclass
-class BrownModel:
-    """Common words (sorted hashes), their classes and log10 emissions, counts, groups of classes, and log10 transitions by history."""
+class CommonWords:
+    """Common words (sorted hashes), their classes and counts, and counts of transitions between kinds: classes, other words, end."""
 
     common: np.ndarray
     class_of: np.ndarray
     counts: np.ndarray
-    group_of: np.ndarray
-    emission: np.ndarray
-    transition: np.ndarray
     classes: int
-    n_tokens: int
-    n_ends: int
-    n_rare: np.ndarray
+    moves: np.ndarray
+
+    @property
+    def n_tokens(self) -> int:
+        return int(self.moves.sum())
 
+    @property
+    def n_rare(self) -> int:
+        return int(self.moves[:, self.classes].sum())
 
-def fit_brown_model(rows: DataFrame, settings: BrownSettings) -> BrownModel:
-    """The model from rows (id, text, learn); counts of rare words are left to the blocks."""
-    ranked = _common_words(rows, settings)
+    @property
+    def n_ends(self) -> int:
+        return int(self.moves[:, self.classes + 1].sum())
+
+
+def fit_common_words(rows: DataFrame, settings: BrownSettings) -> CommonWords:
+    """Classes of the common words of rows (id, text, learn)."""
+    ranked, n_ranked = _common_words(rows, settings)
     size = len(ranked)
     order = np.argsort(ranked)
-    common = ranked[order]
+    common, counts = ranked[order], n_ranked[order]
     none = np.zeros(size, dtype=np.int64)
 
     def bigrams(words) -> np.ndarray:
@@ -212,55 +217,47 @@ def fit_brown_model(rows: DataFrame, settings: BrownSettings) -> BrownModel:
     table.ravel()[codes] = n
     place = np.empty(size, dtype=np.int64)
     place[order] = np.arange(size)  # of the word of each rank among the sorted hashes
-    by_rank = table[np.ix_(place, place)]
     class_of = np.zeros(size, dtype=np.int64)
-    class_of[place] = exchange(by_rank, settings.classes, settings.rounds) if size else none
+    class_of[place] = exchange(table[np.ix_(place, place)], settings.classes, settings.rounds) if size else none
     classes = int(class_of.max()) + 1 if size else 1
-    between = np.zeros((classes, classes))
-    np.add.at(between, (np.repeat(class_of, size), np.tile(class_of, size)), table.ravel())
-    busy = np.argsort(-between.sum(axis=1), kind="stable")
-    group_of = np.zeros(classes + 1, dtype=np.int64)
-    group_of[busy] = exchange(between[np.ix_(busy, busy)], settings.groups, settings.rounds)
-    group_of[classes] = group_of[:classes].max() + 1  # no common word yet
-    outcomes = classes + 2
+    kinds = classes + 2
 
     def transitions(words) -> np.ndarray:
         t = _Tokens(words, common, class_of, classes)
-        seen = t.common[t.common >= 0]
-        rare = group_of[t.last[t.rare]]
-        return np.concatenate([t.history * outcomes + t.kind, -1 - seen, -1 - size - rare])
+        return t.history * kinds + t.kind
 
     codes, n = _count(rows, transitions)
-    moves = np.zeros(_histories(classes) * outcomes)
-    moves[codes[codes >= 0]] = n[codes >= 0]
-    moves = moves.reshape(-1, outcomes)
-    other = np.zeros(size + int(group_of[classes]) + 1, dtype=np.int64)
-    other[-1 - codes[codes < 0]] = n[codes < 0]
-    counts, n_rare = other[:size], other[size:]
-    share = (moves.sum(axis=0) + 0.5) / (moves.sum() + 0.5 * outcomes)
-    prior = settings.transition_prior
-    transition = np.log10((moves + prior * share) / (moves.sum(axis=1, keepdims=True) + prior))
-    in_class = np.bincount(class_of, weights=counts + 0.5, minlength=classes)
-    emission = np.log10((counts + 0.5) / in_class[class_of]) if size else np.zeros(0)
-    return BrownModel(common, class_of, counts, group_of, emission, transition, classes, int(moves.sum()), int(moves[:, -1].sum()), n_rare)
-
-
-def _deal(model: BrownModel, blocks: int, settings: BrownSettings):
-    """Map side: what common words and ends give each text, and packed occurrences of rare words for the blocks."""
-    tables = {k: getattr(model, k) for k in ("common", "class_of", "counts", "group_of", "emission", "transition", "classes", "n_ends")}
+    moves = np.zeros(kinds * kinds)
+    moves[codes] = n
+    return CommonWords(common, class_of, counts, classes, moves.reshape(kinds, kinds))
+
+
+def _deal(model: CommonWords, blocks: int, settings: BrownSettings):
+    """Map side: the kinds of each text's words, and for the blocks the other words of a portion with the neighbours of each occurrence in
+    training rows."""
+    common, class_of, counts, classes, n_ends = model.common, model.class_of, model.counts, model.classes, model.n_ends
     portion_bytes, portion_rows = settings.portion_bytes, settings.portion_rows
-    groups = len(model.n_rare)
 
     def portion(number: int, parts: list) -> Iterator[pa.RecordBatch]:
-        hashes, rows, marks, texts = (np.concatenate(c) for c in zip(*parts, strict=True))
-        block = (hashes % np.uint64(blocks)).astype(np.int64)
-        low = np.ascontiguousarray((hashes // np.uint64(blocks)).view(np.uint8).reshape(-1, 8)[:, :_WORD_BYTES])
+        hashes, learn, left, right, kinds, texts = (np.concatenate(c) for c in zip(*parts, strict=True))
+        words, place = np.unique(hashes, return_inverse=True)
+        block = (words % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(block, kind="stable")
-        bounds = np.append(run_starts(block[order]), len(order))
-        out = [[-1 - number], [number], [b""], [b""], [b""], [binary(texts)]]
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        words, block, place = words[order], block[order], rank[place]
+        low = np.ascontiguousarray((words // np.uint64(blocks)).view(np.uint8).reshape(-1, 8)[:, :_WORD_BYTES])
+        seen = np.bincount(place[learn], minlength=len(words))
+        by_word = np.argsort(place[learn], kind="stable")
+        left, right = left[learn][by_word], right[learn][by_word]
+        first = np.append(0, np.cumsum(seen))
+        yield batch(_ENTRIES, [-1 - number], [number], [b""], [b""], [b""], [b""], [binary(texts)], [binary(kinds)], [binary(place.astype(np.uint32))])
+        bounds = np.append(run_starts(block), len(block))
+        out: list[list] = [[] for _ in _ENTRIES]
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            at = order[a:b]
-            for column, value in zip(out, (int(block[at[0]]), number, binary(low[at]), binary(rows[at]), binary(marks[at]), b""), strict=True):
+            near = slice(first[a], first[b])
+            values = (int(block[a]), number, binary(low[a:b]), binary(seen[a:b].astype(np.uint32)), binary(left[near]), binary(right[near]), b"", b"", b"")
+            for column, value in zip(out, values, strict=True):
                 column.append(value)
         yield batch(_ENTRIES, *out)
 
@@ -272,30 +269,22 @@ def _deal(model: BrownModel, blocks: int, settings: BrownSettings):
             no_id = part.column("id").is_null().to_numpy(zero_copy_only=False)
             learn, held = (part.column(c).to_numpy(zero_copy_only=False) for c in ("learn", "held_out"))
             for a, b, words in text_chunks(part.column("text")):
-                t = _Tokens(words, tables["common"], tables["class_of"], tables["classes"])
-                if b - a + n_rows > portion_rows and parts:
+                t = _Tokens(words, common, class_of, classes)
+                n = b - a
+                if n + n_rows > portion_rows and parts:
                     yield from portion(number, parts)
                     number, parts, size, n_rows = number + 1, [], 0, 0
                 is_common = t.common >= 0
-                score = tables["transition"][t.history, t.kind] if len(t.kind) else np.zeros(0)
-                score[is_common] += tables["emission"][t.common[is_common]]
-                base = np.zeros(len(score))
-                base[is_common] = np.log10(tables["counts"][t.common[is_common]] + 0.5)
-                base[t.end_at] = np.log10(tables["n_ends"] + 0.5)
-                n = b - a
-                group = tables["group_of"][t.last[t.rare]]
-                row = np.zeros(n, dtype=_text_type(groups))
-                row["id"], row["no_id"], row["held"] = ids[a:b], no_id[a:b], held[a:b]
+                base = np.zeros(len(t.kind))
+                base[is_common] = np.log10(counts[t.common[is_common]] + 0.5)
+                base[t.end_at] = np.log10(n_ends + 0.5)
+                row = np.zeros(n, dtype=_TEXT)
+                row["id"], row["no_id"], row["held"], row["learn"] = ids[a:b], no_id[a:b], held[a:b], learn[a:b]
                 row["tokens"] = words.counts + 1
-                known = np.zeros(len(score))
-                known[is_common] = tables["counts"][t.common[is_common]] > 0
-                known[t.end_at] = tables["n_ends"] > 0
-                row["known"] = np.bincount(t.text, weights=known, minlength=n)
+                row["known"] = np.bincount(t.text, weights=is_common, minlength=n) + (n_ends > 0)
                 row["base"] = np.bincount(t.text, weights=base, minlength=n)
-                row["model"] = np.bincount(t.text, weights=score, minlength=n)
-                row["rare"] = np.bincount(t.text[t.rare] * groups + group, minlength=n * groups).reshape(n, groups)
-                marks = group.astype(np.uint8) | (learn[a:b][t.text[t.rare]].astype(np.uint8) << 7)
-                parts.append((mix64(t.hash[t.rare] + np.uint64(41)), (t.text[t.rare] + n_rows).astype(np.uint16), marks, row))
+                after = np.append(t.kind[1:], classes + 1)
+                parts.append((mix64(t.hash[t.rare] + np.uint64(41)), learn[a:b][t.text[t.rare]], t.history[t.rare].astype(np.uint8), after[t.rare].astype(np.uint8), t.kind.astype(np.uint8), row))
                 n_rows += n
                 size += len(words.data)
                 if size >= portion_bytes:
@@ -307,65 +296,131 @@ def _deal(model: BrownModel, blocks: int, settings: BrownSettings):
     return run
 
 
-def _text_type(groups: int) -> np.dtype:
-    return np.dtype([("id", "i8"), ("no_id", "?"), ("held", "?"), ("tokens", "i8"), ("known", "i8"), ("base", "f8"), ("model", "f8"), ("rare", "i4", (groups,))])
-
-
-def _block(groups: int, weight: float):
-    """One block of rare words: counts, and sums of logarithms by text of each portion."""
+def likeliest_classes(left: np.ndarray, right: np.ndarray, owner: np.ndarray, total: np.ndarray, moves: np.ndarray, prior: float) -> np.ndarray:
+    """Class of each word from the kinds beside its occurrences (owner: the word of each); words without an occurrence get the number of
+    classes. moves: transitions between classes, other words and ends."""
+    kinds = len(moves)
+    classes = kinds - 2
+    share = (moves.sum(axis=0) + 0.5) / (moves.sum() + 0.5 * kinds)
+    logs = np.log((moves + prior * share) / (moves.sum(axis=1, keepdims=True) + prior))
+    held = moves.sum(axis=0)[:classes]
+    out = np.full(len(total), classes, dtype=np.uint8)
+    cells = [np.unique(owner * kinds + near, return_counts=True) for near in (left, right)]
+    tables = [logs[:, :classes], np.ascontiguousarray(logs[:classes].T)]
+    words = np.flatnonzero(total)
+    for at in range(0, len(words), _ASSIGNED):
+        some = words[at : at + _ASSIGNED]
+        score = -total[some, None] * np.log(held + total[some, None])
+        for (code, n), table in zip(cells, tables, strict=True):
+            a, b = np.searchsorted(code, (some[0] * kinds, (some[-1] + 1) * kinds))
+            of = code[a:b] // kinds
+            score += np.add.reduceat(n[a:b, None] * table[code[a:b] % kinds], run_starts(of))
+        out[some] = score.argmax(axis=1)
+    return out
+
+
+def _block(model: CommonWords, prior: float):
+    """One block of words: the class and the count of each word of each portion."""
+    moves, classes = model.moves, model.classes
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
+        n = rows.num_rows
+        whole = [rows.column(c).to_pylist() for c in ("texts", "kinds", "places")]
         if key[0].as_py() < 0:
-            n = rows.num_rows
-            empty = [b""] * n
-            columns = [rows.column("portion").to_pylist(), empty, empty, empty, empty, rows.column("texts").to_pylist(), [0] * n, [0] * n]
-            return pa.Table.from_batches([batch(_ANSWERS, *columns)])
+            return pa.Table.from_batches([batch(_ANSWERS, rows.column("block").to_pylist(), rows.column("portion").to_pylist(), [b""] * n, [b""] * n, *whole, [[]] * n)])
         raw = joined(rows.column("words").to_pylist(), "u1").reshape(-1, _WORD_BYTES)
         wide = np.zeros((len(raw), 8), dtype=np.uint8)
         wide[:, :_WORD_BYTES] = raw
         _, word = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
-        sizes = np.array([len(x) for x in rows.column("marks").to_pylist()])
-        marks, text = joined(rows.column("marks").to_pylist(), "u1"), joined(rows.column("rows").to_pylist(), "u2").astype(np.int64)
-        learn, group = (marks >> 7).astype(bool), (marks & 127).astype(np.int64)
-        total = np.bincount(word[learn], minlength=word.max(initial=-1) + 1)
-        cell, at = np.unique(word * groups + group, return_inverse=True)
-        by_group = np.bincount(at[learn], minlength=len(cell))[at]
-        count = total[word]
-        base = np.log10(count + 0.5)
-        model = np.log10(by_group + weight * (count + 0.5))
-        # Sums by text, portion by portion.
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((text, owner))
-        starts = run_starts(owner[order], text[order])
-        sums = [np.add.reduceat(x[order], starts) if len(starts) else x[:0] for x in ((count > 0).astype(np.int64), base, model)]
-        bounds = np.searchsorted(owner[order][starts], np.arange(len(sizes) + 1))
-        texts = text[order][starts].astype(np.uint16)
-        out = [[], [], [], [], [], [], [], []]
-        for i, (portion, a, b) in enumerate(zip(rows.column("portion").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            values = (portion, binary(texts[a:b]), binary(sums[0][a:b].astype(np.uint32)), binary(sums[1][a:b]), binary(sums[2][a:b]), b"", int((total > 0).sum()) if i == 0 else 0, int(learn.sum()) if i == 0 else 0)
-            for column, value in zip(out, values, strict=True):
-                column.append(value)
-        return pa.Table.from_batches([batch(_ANSWERS, *out)])
+        sizes = [len(x) // _WORD_BYTES for x in rows.column("words").to_pylist()]
+        seen = joined(rows.column("seen").to_pylist(), "u4").astype(np.int64)
+        left, right = (joined(rows.column(c).to_pylist(), "u1") for c in ("left", "right"))
+        total = np.bincount(word, weights=seen, minlength=word.max(initial=-1) + 1).astype(np.int64)
+        class_of = likeliest_classes(left, right, np.repeat(word, seen), total, moves, prior)
+        bounds = np.cumsum([0, *sizes]).tolist()
+        of, count = class_of[word], total[word].astype(np.uint32)
+        known = class_of < classes
+        sums = np.concatenate([np.bincount(class_of[known], weights=x, minlength=classes) for x in (total[known], np.ones(known.sum()))]).astype(np.int64).tolist()
+        parts = [[binary(x[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] for x in (of, count)]
+        return pa.Table.from_batches([batch(_ANSWERS, rows.column("block").to_pylist(), rows.column("portion").to_pylist(), *parts, *whole, [sums, *[[]] * (n - 1)])])
 
     return run
 
 
-def _gathered(groups: int, rare_bottom: np.ndarray, log_bottom: float, n_training: int):
-    """One portion: its texts' own parts and the blocks' sums."""
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+def _gathered(classes: int):
+    """One portion: its texts, and the classes of all their words."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        texts = joined(rows.column("texts").to_pylist(), "u1").view(_text_type(groups))
-        place = joined(rows.column("rows").to_pylist(), "u2").astype(np.int64)
-        n = len(texts)
-        known, base, model = (joined(rows.column(c).to_pylist(), t) for c, t in (("known", "u4"), ("base", "f8"), ("model", "f8")))
-        # Blocks arrive in any order; sorted sums make the result the same each time.
-        order = np.lexsort((model, base, place))
-        known, base, model = (np.bincount(place[order], weights=x[order], minlength=n) for x in (known, base, model))
-        base = texts["base"] + base - texts["tokens"] * log_bottom
-        score = texts["model"] + model - texts["rare"] @ rare_bottom
-        ids = pa.array(texts["id"].astype(np.int64), mask=texts["no_id"].astype(bool))
-        return pa.table([ids, pa.array(texts["held"].astype(bool)), pa.array(texts["tokens"].astype(np.int64)), pa.array((texts["known"] + known).astype(np.int64)), pa.array(np.full(n, n_training)), pa.array(base), pa.array(score)], schema=schema)
+        order = np.argsort(rows.column("block").to_numpy(), kind="stable")
+        of, count = (joined([x[i] for i in order], t) for x, t in ((rows.column("classes").to_pylist(), "u1"), (rows.column("counts").to_pylist(), "u4")))
+        texts = joined(rows.column("texts").to_pylist(), "u1").view(_TEXT).copy()
+        kinds = joined(rows.column("kinds").to_pylist(), "u1").copy()
+        place = joined(rows.column("places").to_pylist(), "u4")
+        rare = kinds == classes
+        text = np.repeat(np.arange(len(texts)), texts["tokens"])[rare]
+        kinds[rare] = of[place]
+        n = count[place].astype(np.int64)
+        texts["known"] += np.bincount(text, weights=n > 0, minlength=len(texts)).astype(np.int64)
+        texts["base"] += np.bincount(text, weights=np.log10(n + 0.5), minlength=len(texts))
+        return pa.Table.from_batches([batch(_PORTIONS, [binary(texts)], [binary(kinds)])])
+
+    return run
+
+
+def _moves(classes: int):
+    """Transitions of the training texts of portions."""
+    kinds = classes + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(kinds * kinds, dtype=np.int64)
+        for part in batches:
+            for texts, row in zip(part.column("texts").to_pylist(), part.column("kinds").to_pylist(), strict=True):
+                texts, row = np.frombuffer(texts, dtype=_TEXT), np.frombuffer(row, dtype=np.uint8)
+                learn = np.repeat(texts["learn"], texts["tokens"])
+                total += np.bincount((_histories(row, classes + 1) * kinds + row)[learn], minlength=len(total))
+        found = np.flatnonzero(total)
+        yield batch(_COUNTS, found, total[found])
+
+    return run
+
+
+def _log_steps(moves: np.ndarray, mass: np.ndarray, unknown: float, settings: BrownSettings) -> np.ndarray:
+    """log10 of P(class | h) / mass(class) by kind before and kind; of P(end | h); and of the share of one unknown word."""
+    kinds = len(moves)
+    classes = kinds - 2
+    between = moves[:classes, :classes]
+    busy = np.argsort(-between.sum(axis=1), kind="stable")
+    group_of = np.zeros(kinds, dtype=np.int64)
+    group_of[busy] = exchange(between[np.ix_(busy, busy)], settings.groups, settings.rounds)
+    group_of[classes:] = group_of[:classes].max() + np.array([1, 2])
+    by_group = np.zeros((int(group_of.max()) + 1, kinds))
+    np.add.at(by_group, group_of, moves)
+    prior, some = settings.transition_prior, np.arange(kinds) != classes
+    share = np.where(some, moves.sum(axis=0) + 0.5, 0.0)
+    share /= share.sum()
+    by_group = (by_group + prior * share) / (by_group.sum(axis=1, keepdims=True) + prior)
+    steps = (moves + prior * by_group[group_of]) / (moves.sum(axis=1, keepdims=True) + prior) * (1 - unknown)
+    steps[:, :classes] /= np.where(mass > 0, mass, 1.0)
+    steps[:, classes] = unknown
+    return np.log10(steps)
+
+
+def _scored(classes: int, steps: np.ndarray, log_bottom: float, n_training: int, n_ends: int):
+    """Scores of the texts of portions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for texts, row in zip(part.column("texts").to_pylist(), part.column("kinds").to_pylist(), strict=True):
+                texts, row = np.frombuffer(texts, dtype=_TEXT), np.frombuffer(row, dtype=np.uint8)
+                n = len(texts)
+                text = np.repeat(np.arange(n), texts["tokens"])
+                unknown = np.bincount(text, weights=row == classes, minlength=n)
+                # The base has log(count + 1/2) of all words and the end; that of known words is the emission's upper part.
+                words = texts["base"] - unknown * np.log10(0.5) - np.log10(n_ends + 0.5)
+                score = words + np.bincount(text, weights=steps[_histories(row, classes + 1), row], minlength=n)
+                ids = pa.array(texts["id"].astype(np.int64), mask=texts["no_id"].astype(bool))
+                base = texts["base"] - texts["tokens"] * log_bottom
+                yield batch(_SCORES, ids, texts["held"].astype(bool), texts["tokens"].astype(np.int64), texts["known"].astype(np.int64), np.full(n, n_training), base, score)
 
     return run
 
@@ -377,14 +432,21 @@ def brown_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(fold != 1, F.lit(False)).alias("learn"), F.coalesce(fold == 1, F.lit(False)).alias("held_out")
     )
-    model = fit_brown_model(rows, settings)
-    groups = len(model.n_rare)
-    blocks = max(1, -(-int(model.n_rare.sum()) * 5 // 4 // settings.block))
+    model = fit_common_words(rows, settings)
+    classes = model.classes
+    blocks = max(1, -(-model.n_rare * 5 // 4 // settings.block))
     entries = rows.mapInArrow(_deal(model, blocks, settings), _ENTRIES_DDL)
-    answers = checkpointed(entries.groupBy("block").applyInArrow(_block(groups, settings.rare_weight), _ANSWERS_DDL))
-    rare_words = answers.agg(F.coalesce(F.sum("new_words"), F.lit(0)).alias("v"), F.coalesce(F.sum("training"), F.lit(0)).alias("n")).first()
-    types = rare_words.v + int((model.counts > 0).sum()) + (model.n_ends > 0)
-    log_bottom = float(np.log10(model.n_tokens + 0.5 * (types + 1)))
-    rare_bottom = np.log10(model.n_rare + settings.rare_weight * (rare_words.n + 0.5 * (rare_words.v + 1)))
-    finished = _gathered(groups, rare_bottom, log_bottom, model.n_tokens)
-    return answers.groupBy("portion").applyInArrow(finished, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    answers = checkpointed(entries.groupBy("block").applyInArrow(_block(model, settings.transition_prior), _ANSWERS_DDL))
+    sums = np.zeros(2 * classes, dtype=np.int64)
+    for r in answers.select(F.posexplode("sums").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():
+        sums[r.at] = r.n
+    tokens, types = sums[:classes], sums[classes:]
+    mass = tokens + 0.5 * types + np.bincount(model.class_of, weights=model.counts + 0.5, minlength=classes)
+    bottom = model.n_tokens + 0.5 * (int(types.sum()) + len(model.common) + (model.n_ends > 0) + 1)
+    portions = checkpointed(answers.drop("sums").groupBy("portion").applyInArrow(_gathered(classes), "texts binary, kinds binary"))
+    codes, n = _total(portions.mapInArrow(_moves(classes), "code long, n long"))
+    moves = np.zeros((classes + 2) ** 2)
+    moves[codes] = n
+    # Half a count more than in the base: without training rows the end keeps a share.
+    steps = _log_steps(moves.reshape(classes + 2, -1), mass, 0.5 / (bottom + 0.5), settings)
+    return portions.mapInArrow(_scored(classes, steps, float(np.log10(bottom)), model.n_tokens, model.n_ends), _SCORES_DDL)

@@ -234,6 +234,33 @@ def test_exchange_ends_where_no_move_helps():
                 assert likelihood([*of[:w], c, *of[w + 1 :]]) <= best + 1e-6
 
 
+def test_words_outside_the_commonest_get_classes(spark):
+    """Each text is of one of two kinds, with rare words, or a common one, in a frame of common ones: in a kind's frame a rare word of the kind scores higher."""
+    import random
+
+    draw = random.Random(8)
+    kinds = {"x": [f"xa{i}" for i in range(150)], "y": [f"yb{i}" for i in range(150)]}
+    rows = [(i, " ".join(f"{k}l {draw.choice([*kinds[k], *[f'{k}m'] * 50])} {k}r" for k in draw.choice("xy") * 20)) for i in range(600)]
+    held = [j for j in range(10_000, 30_000) if zlib.crc32(str(j).encode()) % 5 == 1]
+    asked = [f"{k}l {w} {k}r" for k in "xy" for o in "xy" for w in kinds[o][:50]]
+    frame = spark.createDataFrame([*rows, *zip(held, asked, strict=False)], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in brown_scores(frame, settings=BrownSettings(class_words=6, classes=6, groups=2)).collect()}
+    of = [scores[i] for i in held[: len(asked)]]
+    own, other = of[:50] + of[150:], of[50:150]
+    assert sum(own) / 100 > sum(other) / 100 + 1
+
+
+def test_commonest_words_of_all_rows(spark):
+    """Words are counted over every training row, also above the size of any sample."""
+    from pyspark.sql import functions as F
+
+    from pulseframe.llm.brown_lm import fit_common_words
+
+    rows = spark.range(45_000).select("id", F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("text"), F.lit(True).alias("learn"))
+    model = fit_common_words(rows, BrownSettings())
+    assert sorted(model.counts.tolist()) == [22_500, 22_500] and model.n_tokens == 90_000
+
+
 # --- languages
 
 
