@@ -4,21 +4,24 @@ Each source's rows are cut into blocks of equal size. A source of weight w may r
 must have placed it by slot ceil((i + 1) / w). In each slot the released block of the earliest deadline is placed. Since the weights sum to
 1, all deadlines are met, and after any number t of slots a source of weight w has placed more than w * t - 1 and fewer than w * t + 1 blocks.
 
-Weights are rounded to multiples of 1 / `grid` (largest remainders; every source with rows gets one multiple at least), so the
-schedule repeats after at most `grid` slots: one period is scheduled on the driver, whatever the number of rows, and a row's slot follows
-from its block's number by arithmetic. When a source has no full period left, the rest of all sources is mixed anew, with
-the weights of the sources that still have blocks. There are at most as many such phases as sources.
+Weights are rounded to multiples of 1 / `grid` (largest remainders; every source with rows gets one multiple at least). The default
+grid is so fine that a billion blocks deviate by less than a hundredth of a block more from the exact targets. A schedule repeats after `grid`
+slots; with a coarse grid one period is scheduled, with a fine one the slots until the first source has no block left. Then the
+rest of all sources is mixed anew, with the weights of the sources that still have blocks. There are at most as many such phases as
+sources. The driver schedules blocks, not rows: 8 bytes and some microseconds each.
 
 Nothing is dropped or repeated: the order changes, and the share of a source holds for as long as it has rows. A null source is a source of
 its own. Sources without a target weight get the least target weight; without targets, weights follow the `power` of the number
 of rows. Rows are numbered inside a source by a hash of id and text over bounded buckets, so that no task sorts a whole source; equal
 rows are numbered one after the other. An empty table gives an empty result.
 
-There may be at most `grid` sources, as many as a period has slots; more raise an error.
+A caller who sets a coarse grid may have at most `grid` sources, as many as a period has slots; more raise an error.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -30,12 +33,15 @@ from pulseframe.llm.frames import checkpointed
 
 #: Rows of the table of buckets that may be broadcast: 40 bytes each, so 4 MB at most.
 _BROADCAST_BUCKETS = 100_000
+#: Blocks of a row of the schedule, and blocks of a schedule that may be broadcast: 8 bytes each, so 4 MB at most.
+_SEGMENT = 1_024
+_BROADCAST_BLOCKS = 500_000
 
 
 @dataclass(frozen=True)
 class MixSettings:
     block: int = 32
-    grid: int = 1_000
+    grid: int = 2**40
     power: float = 0.5
     #: Rows that are numbered together by one sort.
     bucket: int = 4_096
@@ -45,8 +51,8 @@ def rounded_weights(targets: dict, grid: int) -> dict:
     """Whole numbers that sum to grid, one at least for each name, in proportion to the targets."""
     if len(targets) > grid:
         raise ValueError(f"{len(targets)} sources, but a period has {grid} slots")
-    total = sum(targets.values())
-    exact = {name: Fraction(value) / Fraction(total) * grid for name, value in targets.items()}
+    total = sum(map(Fraction, targets.values()))
+    exact = {name: Fraction(value) / total * grid for name, value in targets.items()}
     out = {name: max(1, int(x)) for name, x in exact.items()}
     order = sorted(exact, key=lambda name: (-(exact[name] - int(exact[name])), str(name)))
     left = grid - sum(out.values())
@@ -57,23 +63,27 @@ def rounded_weights(targets: dict, grid: int) -> dict:
     return out
 
 
-def period(weights: dict) -> list:
+def scheduled(weights: dict) -> Iterator:
     """The source of each slot of one period: earliest deadline first among released blocks. Weights are whole numbers."""
     slots = sum(weights.values())
-    placed = dict.fromkeys(weights, 0)
     order = sorted(weights, key=str)
-    out = []
+    placed = [0] * len(order)
+    waiting = [(0, k) for k in range(len(order))]  # (release, source) of sources whose next block isn't released
+    ready: list[tuple[int, int]] = []  # (deadline, source) of the others
     for t in range(slots):
-        best = None
-        for name in order:
-            i, w = placed[name], weights[name]
-            if i < w and i * slots // w <= t:
-                deadline = -(-(i + 1) * slots // w)
-                if best is None or deadline < best[0]:
-                    best = (deadline, name)
-        out.append(best[1])
-        placed[best[1]] += 1
-    return out
+        while waiting and waiting[0][0] <= t:
+            k = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(placed[k] + 1) * slots // weights[order[k]]), k))
+        k = heapq.heappop(ready)[1]
+        placed[k] += 1
+        if placed[k] < weights[order[k]]:
+            heapq.heappush(waiting, (placed[k] * slots // weights[order[k]], k))
+        yield order[k]
+
+
+def period(weights: dict) -> list:
+    """All slots of scheduled(weights)."""
+    return list(scheduled(weights))
 
 
 def phases(blocks: dict, targets: dict, grid: int) -> list[dict]:
@@ -83,18 +93,18 @@ def phases(blocks: dict, targets: dict, grid: int) -> list[dict]:
     while left:
         weights = rounded_weights({n: targets[n] for n in left}, grid)
         rounds = min(left[n] // weights[n] for n in left)
-        order = period(weights)
+        places: dict = {n: [] for n in left}
         if rounds:
-            taken, last = {n: rounds * weights[n] for n in left}, rounds * len(order)
+            for t, name in enumerate(scheduled(weights)):
+                places[name].append(t)
+            taken, last = {n: rounds * weights[n] for n in left}, rounds * grid
         else:  # part of a period, until the first source has no block left
-            taken, last = dict.fromkeys(left, 0), 0
-            for name in order:
-                if taken[name] == left[name]:
+            for t, name in enumerate(scheduled(weights)):
+                places[name].append(t)
+                if len(places[name]) == left[name]:
                     break
-                taken[name] += 1
-                last += 1
-        places = {n: [i for i, name in enumerate(order) if name == n] for n in left}
-        out.append({"first_slot": slot, "slots": len(order), "sources": {n: (used[n], taken[n], weights[n], places[n]) for n in left}})
+            taken, last = {n: len(x) for n, x in places.items()}, t + 1
+        out.append({"first_slot": slot, "slots": grid, "sources": {n: (used[n], taken[n], weights[n], places[n]) for n in left}})
         slot += last
         for n, k in taken.items():
             used[n] += k
@@ -103,14 +113,15 @@ def phases(blocks: dict, targets: dict, grid: int) -> list[dict]:
     return out
 
 
-def _plan_rows(plan: list[dict]) -> list[tuple]:
-    """(source, first block, block after the last, first slot, slots of a period, blocks of a period, places) of each phase and source."""
-    return [
-        (name, first, first + taken, p["first_slot"], p["slots"], weight, places)
-        for p in plan
-        for name, (first, taken, weight, places) in p["sources"].items()
-        if taken
-    ]
+def _plan_rows(plan: list[dict]) -> Iterator[tuple]:
+    """(source, segment, slots of its blocks) of each source, _SEGMENT blocks in each segment."""
+    slots: dict = {}
+    for p in plan:
+        for name, (_, taken, weight, places) in p["sources"].items():
+            slots.setdefault(name, []).extend(p["first_slot"] + i // weight * p["slots"] + places[i % weight] for i in range(taken))
+    for name, of in slots.items():
+        for k in range(0, len(of), _SEGMENT):
+            yield name, k // _SEGMENT, of[k : k + _SEGMENT]
 
 
 def _slots(rows: DataFrame, source: str, keys: list[str], targets: dict | None, settings: MixSettings) -> DataFrame:
@@ -119,13 +130,14 @@ def _slots(rows: DataFrame, source: str, keys: list[str], targets: dict | None,
     buckets = max(1, -(-rows.count() // settings.bucket))
     rows = rows.withColumn("mix_bucket", F.pmod("mix_spread", F.lit(buckets)))
     counts = checkpointed(rows.groupBy(F.col(source).alias("mix_of"), F.col("mix_bucket").alias("mix_in")).agg(F.count(F.lit(1)).alias("n")))
-    sizes = {r.mix_of: r.n for r in counts.groupBy("mix_of").agg(F.sum("n").alias("n")).limit(settings.grid + 1).collect()}
+    limit = min(settings.grid + 1, 2**31 - 1)
+    sizes = {r.mix_of: r.n for r in counts.groupBy("mix_of").agg(F.sum("n").alias("n")).limit(limit).collect()}
     least = min(targets.values()) if targets else None
     wanted = {name: targets.get(name, least) if targets else n**settings.power for name, n in sizes.items()}
-    plan = phases({name: -(-n // settings.block) for name, n in sizes.items()}, wanted, settings.grid)
-    # One or two phases per source and one period per phase, so grid * grid * 16 bytes at most.
-    schema = "p_source string, p_first long, p_stop long, p_slot long, p_slots long, p_weight long, p_places array<long>"
-    table = F.broadcast(rows.sparkSession.createDataFrame(_plan_rows(plan), schema))
+    blocks = {name: -(-n // settings.block) for name, n in sizes.items()}
+    table = rows.sparkSession.createDataFrame(list(_plan_rows(phases(blocks, wanted, settings.grid))), "p_source string, p_segment long, p_slots array<long>")
+    if sum(blocks.values()) <= _BROADCAST_BLOCKS:
+        table = F.broadcast(table)
 
     # A row's number inside its source: the rows of lesser buckets, then its place in its own.
     lesser = F.sum("n").over(Window.partitionBy("mix_of").orderBy("mix_in").rowsBetween(Window.unboundedPreceding, -1))
@@ -136,12 +148,10 @@ def _slots(rows: DataFrame, source: str, keys: list[str], targets: dict | None,
     rows = rows.withColumn("mix_inside", inside - 1)
     rows = rows.join(before, F.col(source).eqNullSafe(F.col("mix_of")) & (F.col("mix_bucket") == F.col("mix_in")))
     rows = rows.withColumn("mix_number", F.col("mix_before") + F.col("mix_inside")).withColumn("mix_block", F.expr(f"mix_number div {settings.block}"))
-    in_phase = (F.col("mix_block") >= F.col("p_first")) & (F.col("mix_block") < F.col("p_stop"))
-    rows = rows.join(table, F.col(source).eqNullSafe(F.col("p_source")) & in_phase)
-    place = F.get("p_places", F.expr("(mix_block - p_first) % p_weight").cast("int"))
-    rows = rows.withColumn("mix_slot", F.col("p_slot") + F.expr("(mix_block - p_first) div p_weight") * F.col("p_slots") + place)
+    rows = rows.join(table, F.col(source).eqNullSafe(F.col("p_source")) & (F.expr(f"mix_block div {_SEGMENT}") == F.col("p_segment")))
+    rows = rows.withColumn("mix_slot", F.get("p_slots", F.expr(f"mix_block % {_SEGMENT}").cast("int")))
     rows = rows.withColumn("mix_position", F.col("mix_slot") * settings.block + F.expr(f"mix_number % {settings.block}"))
-    return rows.drop("mix_spread", "mix_bucket", "mix_inside", "mix_number", "mix_of", "mix_in", "mix_before", "p_source", "p_first", "p_stop", "p_slot", "p_slots", "p_weight", "p_places")
+    return rows.drop("mix_spread", "mix_bucket", "mix_inside", "mix_number", "mix_of", "mix_in", "mix_before", "p_source", "p_segment", "p_slots")
 
 
 def mix_positions(docs: DataFrame, targets: dict | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", settings: MixSettings = MixSettings()) -> DataFrame:

@@ -380,6 +380,24 @@ def test_mixed_rows(odd):
     assert out.columns == odd.columns and Counter(map(str, out.collect())) == Counter(map(str, odd.collect()))
 
 
+@pytest.mark.parametrize("blocks", [{"big": 3000} | {f"s{i}": 300 for i in range(20)}, {"big": 20_000, "small": 4}, {f"s{i}": 2 for i in range(1_500)}])
+def test_deviation_from_unrounded_targets(blocks):
+    """Less than a block from the exact targets until the first source is used up, however many blocks or sources there are."""
+    total = sum(n**0.5 for n in blocks.values())
+    first = phases(blocks, {name: n**0.5 for name, n in blocks.items()}, MixSettings().grid)[0]["sources"]
+    end = max(places[-1] for _, _, _, places in first.values() if places) + 1
+    for name, (_, taken, _, places) in first.items():
+        assert taken == len(places)
+        share = blocks[name] ** 0.5 / total
+        assert all(abs(k - share * t) < 1 + 1e-6 for i, t in enumerate(places) for k, t in ((i, t), (i + 1, t + 1)))
+        assert abs(taken - share * end) < 1 + 1e-6
+
+
+def test_mix_of_many_sources(spark):
+    frame = spark.range(1_200).selectExpr("id AS doc_id", "'t' AS text", "concat('s', id) AS source")
+    assert sorted(r.mix_slot for r in mix_positions(frame).collect()) == list(range(1_200))
+
+
 def test_mix_of_too_many_sources(odd):
     with pytest.raises(ValueError, match="sources"):
         mix_positions(odd, settings=MixSettings(grid=2))
