@@ -15,7 +15,7 @@ from pulseframe.llm.language_id import fit_language_model
 from pulseframe.llm.minhash_dedup import without_near_duplicates
 from pulseframe.llm.piece_codec import encoded, read_model
 from pulseframe.llm.secret_scan import redacted, secrets
-from pulseframe.llm.source_mix import mixed
+from pulseframe.llm.source_mix import mixed, numbered
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +44,10 @@ def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each document; round_trip tells whether decoding gives the text back."""
-    rows = docs.select("doc_id", "source", "lang", encoded(F.col("text"), read_model()).alias("found"))
-    return rows.select("doc_id", "source", "lang", "found.pieces", F.size("found.pieces").cast("long").alias("n_pieces"), "found.round_trip")
+    """The pieces of each document; round_trip tells whether decoding gives the text back. Files are read in any order, so mix_position, by
+    which the rows are in mixed order, is found anew: it depends on the rows only."""
+    rows = numbered(docs).select("mix_position", "row.doc_id", "row.source", "row.lang", encoded(F.col("row.text"), read_model()).alias("found"))
+    return rows.select("mix_position", "doc_id", "source", "lang", "found.pieces", F.size("found.pieces").cast("long").alias("n_pieces"), "found.round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

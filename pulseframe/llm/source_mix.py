@@ -161,11 +161,17 @@ def mix_positions(docs: DataFrame, targets: dict | None = None, id_col: str = "d
     return _slots(rows, "source", ["key", "doc_id"], targets, settings).drop("key")
 
 
-def mixed(docs: DataFrame, targets: dict | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", settings: MixSettings = MixSettings()) -> DataFrame:
-    """The rows and columns of docs in mixed order: partition after partition, and inside each partition."""
+def numbered(docs: DataFrame, targets: dict | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", settings: MixSettings = MixSettings()) -> DataFrame:
+    """(mix_position, row) of each row of docs; the same rows get the same positions, in whatever order or files they lie."""
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     # Rows of one key that differ elsewhere keep an order of their own, so that a repeated task finds the same positions.
     whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
     rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), whole, F.col(source_col).cast("string").alias("source"), kept)
-    placed = _slots(rows, "source", ["key", "whole"], targets, settings).select("mix_position", "row")
+    return _slots(rows, "source", ["key", "whole"], targets, settings).select("mix_position", "row")
+
+
+def mixed(docs: DataFrame, targets: dict | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", settings: MixSettings = MixSettings()) -> DataFrame:
+    """The rows and columns of docs in mixed order: partition after partition, and inside each partition. A written table need not be read
+    in this order again; whoever reads it finds the positions by numbered()."""
+    placed = numbered(docs, targets, id_col, text_col, source_col, settings)
     return placed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select("row.*")

@@ -222,6 +222,20 @@ def test_pipeline(spark):
     assert {r.doc_id for r in out} == {i for i, _, _, kept in near_components(letters) if kept}
 
 
+def test_mix_survives_files(spark, tmp_path):
+    """Rows written to several files and read again in another order carry positions by which the sources keep their shares."""
+    sizes = {"hot": 3600, "a": 400, "b": 400}
+    rows = [(f"{s} {i}", s, "en") for s, n in sizes.items() for i in range(n)]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, source string, lang string")
+    corpus_pipeline.in_mixed_order(spark, docs, FOLDER).repartition(7, "doc_id").write.parquet(str(tmp_path / "mixed"))
+    out = corpus_pipeline.as_pieces(spark, spark.read.parquet(str(tmp_path / "mixed")), FOLDER).select("mix_position", "source").collect()
+    assert len({r.mix_position for r in out}) == len(out) == 4400
+    order = [r.source for r in sorted(out)]
+    shares = {s: n**0.5 / 100 for s, n in sizes.items()}
+    for t in range(32, 1600, 32):
+        assert all(abs(order[:t].count(s) - share * t) <= 64 for s, share in shares.items())
+
+
 # --- queries against SQL
 
 
