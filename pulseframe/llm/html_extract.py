@@ -4,9 +4,9 @@ A page is read into text blocks, each with its path of open elements from the ro
 `div` of adverts and a `div` of text differ. For each path the page's blocks are aggregated: characters of text outside links and
 punctuation marks, each per block. The two ratios are scaled to the page's greatest, smoothed over neighbouring paths (near in page
 order, and alike in their first elements) and fused by their geometric mean. Paths whose fused score reaches a share of the scores'
-standard deviation are content. The content root is the deepest element that holds most of the content's characters; blocks below it belong
-to the article even where they are short (a heading, a one-word paragraph), and content paths count elsewhere only if the root is the
-whole page.
+standard deviation are content. The content root is the deepest element that holds all content; blocks below it belong to the
+article even where they are short (a heading, a one-word paragraph). If the root is the whole page, the blocks from the first
+content to the last belong to the article, with the headings right before the first.
 
 Elements that by name, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms or comments get no score
 and are never part of the text; scripts, styles, templates and markup comments are not read as text at all. A `header` inside
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html
 import math
+import os
 import re
 from dataclasses import dataclass, field
 
@@ -58,6 +59,7 @@ ASIDE_WORDS = frozenset(
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.DOTALL)
 _MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+|\d+")
+_HEADING = re.compile(r"h[1-6](?:\.|\Z)")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 
 
@@ -66,8 +68,6 @@ class RatioSettings:
     #: Width of smoothing in blocks, and share of the standard deviation that content reaches.
     width: float = 2.0
     threshold: float = 0.5
-    #: Share of the content's characters that the content root holds.
-    root_share: float = 0.8
 
 
 @dataclass
@@ -229,26 +229,19 @@ def main_text(page: str | None, settings: RatioSettings = RatioSettings()) -> st
     content = [i for i, b in enumerate(found) if not b.aside and b.path in paths]
     if not content:
         return ""
-    weights: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    for i in content:
-        for d, n in enumerate(found[i].numbers):
-            weights[n] = weights.get(n, 0) + sizes[i]
-            depth[n] = d
-    enough = settings.root_share * sum(sizes[i] for i in content)
-    # The deepest element with most of the content that holds more than one block of it, or else its parent.
-    counts: dict[int, int] = {}
-    for i in content:
-        for n in found[i].numbers:
-            counts[n] = counts.get(n, 0) + 1
-    root = max((n for n in weights if weights[n] >= enough and (counts[n] > 1 or len(content) == 1)), key=lambda n: depth[n], default=0)
-    holder = next((b for b in found if root in b.numbers), None)
-    if holder is not None and len(content) == 1:
-        root = holder.numbers[max(0, holder.numbers.index(root) - 1)]
-    label = next((b.path[b.numbers.index(root)] for b in found if root in b.numbers), "")
-    whole_page = label.split(".")[0] in ("", "html", "body")
-    chosen = set(content)
-    return "\n".join(t for i, (b, t) in enumerate(zip(found, texts, strict=True)) if t and not b.aside and (i in chosen if whole_page else root in b.numbers))
+    # The deepest element with all content; the parent of the only block.
+    shared = len(os.path.commonprefix([found[i].numbers for i in content]))
+    at = max(0, shared - (2 if len(content) == 1 else 1))
+    holder = found[content[0]]
+    root, label = holder.numbers[at], holder.path[at]
+    first, last = content[0], content[-1]
+    if label.split(".")[0] in ("", "html", "body"):
+        while first and (texts[first - 1] == "" or (not found[first - 1].aside and any(map(_HEADING.match, found[first - 1].path)))):
+            first -= 1
+        kept = range(first, last + 1)
+    else:
+        kept = [i for i, b in enumerate(found) if root in b.numbers]
+    return "\n".join(texts[i] for i in kept if texts[i] and not found[i].aside)
 
 
 def _main_texts(pages: pa.Array) -> pa.Array:

@@ -68,6 +68,18 @@ def test_articles_amid_boilerplate(text):
         assert main_text(page) == want
 
 
+PARAGRAPHS = [f"Paragraph {i}, of some length. It ends here, at last." for i in range(12)]
+
+
+def test_nested_and_unwrapped_articles():
+    lead, body = PARAGRAPHS[:2], PARAGRAPHS[2:]
+    marked = ["".join(f"<p>{p}</p>" for p in x) for x in (lead, body)]
+    nested = f"<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><div class=lead>{marked[0]}</div><div class=body>{marked[1]}</div></article><footer>End, of all.</footer></body>"
+    assert main_text(nested) == "\n".join(["Title", *PARAGRAPHS])
+    unwrapped = f"<body><nav><a href=/>Home</a></nav><h1>Title</h1>{marked[0]}<h2>Part</h2><ul><li>one<li>two</ul><table><tr><td>cell</table>{marked[1]}<footer>End, of all.</footer></body>"
+    assert main_text(unwrapped) == "\n".join(["Title", *lead, "Part", "one", "two", "cell", *body])
+
+
 @pytest.mark.parametrize(("page", "want"), [(None, ""), ("", ""), ("   ", ""), ("plain text", "plain text"), ("<p>a", "a"), ("<b>x</b> &amp; y", "x & y"), ("<<<>", "<<<>"), ("<p>" * 3000, ""), ("<div>" * 400 + "deep, text." + "</div>" * 400, "deep, text.")])
 def test_odd_pages(page, want):
     assert main_text(page) == want
