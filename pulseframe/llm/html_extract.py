@@ -8,9 +8,12 @@ standard deviation are content. The content root is the deepest element that hol
 article even where they are short (a heading, a one-word paragraph). If the root is the whole page, the blocks from the first
 content to the last belong to the article, with the headings right before the first.
 
-Elements that by name, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms or comments get no score
-and are never part of the text; scripts, styles, templates and markup comments are not read as text at all. A `header` inside
-an `article` or `main` is the article's own and stays.
+Elements that by name or role are menus, headers, footers, sidebars, notices, adverts, forms or comments get no score and are never
+part of the text; scripts, styles, templates and markup comments are not read as text at all. A `header` inside an `article` or `main`
+is the article's own and stays. Words in a class or id that name such parts lower the score of the paths below; where these still reach the
+threshold they are content, and where not their blocks don't belong to the article, but for headings under words for a head. The words
+don't count on an element that holds most of the page's text outside links. Only an attribute `hidden`, or `aria-hidden` set to true,
+makes an element silent.
 
 Inside a block white space becomes one space; blocks are joined by a line feed in page order; character references are decoded. Block
 boundaries are the start and end tags of block elements; a `br` is white space. Missing end tags are supplied as browsers do for
@@ -56,8 +59,11 @@ ASIDE_WORDS = frozenset(
     "sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
 
+#: Those that may also name the head of an article.
+HEAD_WORDS = frozenset("banner header masthead topbar".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.DOTALL)
-_MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
 _PART = re.compile(r"[a-z]+|\d+")
 _HEADING = re.compile(r"h[1-6](?:\.|\Z)")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
@@ -68,6 +74,8 @@ class RatioSettings:
     #: Width of smoothing in blocks, and share of the standard deviation that content reaches.
     width: float = 2.0
     threshold: float = 0.5
+    #: What the score of a path with words for boilerplate is multiplied by.
+    lowered: float = 0.05
 
 
 @dataclass
@@ -75,6 +83,7 @@ class _Element:
     tag: str
     label: str
     aside: bool
+    words: frozenset[str]
     silent: bool
     number: int
 
@@ -84,28 +93,29 @@ class _Block:
     path: tuple[str, ...]
     numbers: tuple[int, ...]
     aside: bool
+    words: list[tuple[int, frozenset[str]]]  # numbers and words of the open elements with words for boilerplate
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
 
-def _marks(attributes: str) -> tuple[str, bool, bool]:
-    """(class and id for the label, whether they mark boilerplate, whether hidden)."""
+def _marks(attributes: str) -> tuple[str, frozenset[str], bool, bool]:
+    """(class and id for the label, their words for boilerplate, whether the role is such, whether hidden)."""
     names, aside, hidden = [], False, False
-    for m in _MARK.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "role":
             aside |= value.strip() in ASIDE_ROLES
-        elif key == "hidden" or (key == "aria-hidden" and value == "true"):
+        elif key == "hidden" or (key == "aria-hidden" and value.strip() == "true"):
             hidden = True
-        elif key != "aria-hidden":
+        elif key in ("class", "id"):
             names.append(value)
-            aside |= any(part in ASIDE_WORDS for part in _PART.findall(value))
-    return ".".join(names), aside, hidden
+    label = ".".join(names)
+    return label, ASIDE_WORDS.intersection(_PART.findall(label)), aside, hidden
 
 
 def blocks(page: str) -> list[_Block]:
     """Text blocks of a page in order."""
-    stack = [_Element("", "", False, False, 0)]
+    stack = [_Element("", "", False, frozenset(), False, 0)]
     out: list[_Block] = []
     current: _Block | None = None
     links, number, at = 0, 0, 0
@@ -118,7 +128,7 @@ def blocks(page: str) -> list[_Block]:
             if not value.strip():
                 return
             shown = [e for e in stack if e.tag not in INLINE]
-            current = _Block(tuple(e.label for e in shown), tuple(e.number for e in shown), stack[-1].aside)
+            current = _Block(tuple(e.label for e in shown), tuple(e.number for e in shown), stack[-1].aside, [(e.number, e.words) for e in stack if e.words])
             out.append(current)
         current.parts.append(value)
         if links:
@@ -161,14 +171,14 @@ def blocks(page: str) -> list[_Block]:
                     del stack[i:]
                 elif stack[i].tag in SCOPES and tag not in ENDED_BY.get(stack[i].tag, ()):
                     break
-        label, aside, hidden = _marks(m[3]) if m[3].strip() else ("", False, False)
+        label, words, aside, hidden = _marks(m[3]) if m[3].strip() else ("", frozenset(), False, False)
         if tag in ("html", "body", "main", "article"):
-            aside = False
+            aside, words = False, frozenset()
         inside = any(e.tag in ("article", "main") for e in stack)
         aside |= tag in ASIDE_TAGS or (tag == "header" and not inside)
         number += 1
         top = stack[-1]
-        stack.append(_Element(tag, f"{tag}.{label}" if label else tag, top.aside or aside, top.silent or tag in SILENT or hidden, number))
+        stack.append(_Element(tag, f"{tag}.{label}" if label else tag, top.aside or aside, words, top.silent or tag in SILENT or hidden, number))
         links += tag == "a"
         if tag in RAW:  # no markup up to its end tag
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
@@ -190,10 +200,22 @@ def _alike(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return same / max(len(a), len(b))
 
 
-def content_paths(found: list[_Block], sizes: list[int], marks: list[int], settings: RatioSettings) -> set[tuple[str, ...]]:
+def boilerplate_words(found: list[_Block], sizes: list[int]) -> list[frozenset[str]]:
+    """The words for boilerplate that count for each block, without those of elements that hold most of the page's text outside links."""
+    held: dict[int, int] = {}
+    plain = [0 if b.aside else max(0, size - b.linked) for b, size in zip(found, sizes, strict=True)]
+    for block, n in zip(found, plain, strict=True):
+        for number, _ in block.words:
+            held[number] = held.get(number, 0) + n
+    most = sum(plain) / 2
+    return [frozenset().union(*(w for n, w in b.words if held[n] <= most)) for b in found]
+
+
+def content_paths(found: list[_Block], sizes: list[int], marks: list[int], words: list[frozenset[str]], settings: RatioSettings) -> set[tuple[str, ...]]:
     """Paths that hold content."""
     totals: dict[tuple[str, ...], list[float]] = {}
     places: dict[tuple[str, ...], float] = {}
+    named: dict[tuple[str, ...], int] = {}
     for i, block in enumerate(found):
         if not block.aside:
             row = totals.setdefault(block.path, [0.0, 0.0, 0.0])
@@ -201,6 +223,7 @@ def content_paths(found: list[_Block], sizes: list[int], marks: list[int], setti
             row[1] += marks[i]
             row[2] += 1
             places[block.path] = places.get(block.path, 0.0) + i
+            named[block.path] = named.get(block.path, 0) + bool(words[i])
     if not totals:
         return set()
     paths = list(totals)
@@ -211,7 +234,7 @@ def content_paths(found: list[_Block], sizes: list[int], marks: list[int], setti
     for i, p in enumerate(paths):
         near = [(_alike(p, q) ** 2 * math.exp(-(((middle[i] - middle[j]) / settings.width) ** 2) / 2) if i != j else 1.0) for j, q in enumerate(paths)]
         smooth.append([sum(w * r[k] for w, r in zip(near, ratios, strict=True)) / sum(near) / tops[k] for k in (0, 1)])
-    fused = [math.sqrt(a * b) if b else a / 2 for a, b in smooth]
+    fused = [(math.sqrt(a * b) if b else a / 2) * (1 - (1 - settings.lowered) * named[p] / totals[p][2]) for p, (a, b) in zip(paths, smooth, strict=True)]
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
     least = max(settings.threshold * spread, 0.1 * max(fused))
@@ -225,7 +248,8 @@ def main_text(page: str | None, settings: RatioSettings = RatioSettings()) -> st
     found = blocks(page)
     texts = [" ".join(html.unescape("".join(b.parts)).split()) for b in found]
     sizes = [len(t) for t in texts]
-    paths = content_paths(found, sizes, [len(_PUNCTUATION.findall(t)) for t in texts], settings)
+    words = boilerplate_words(found, sizes)
+    paths = content_paths(found, sizes, [len(_PUNCTUATION.findall(t)) for t in texts], words, settings)
     content = [i for i, b in enumerate(found) if not b.aside and b.path in paths]
     if not content:
         return ""
@@ -235,13 +259,15 @@ def main_text(page: str | None, settings: RatioSettings = RatioSettings()) -> st
     holder = found[content[0]]
     root, label = holder.numbers[at], holder.path[at]
     first, last = content[0], content[-1]
+    heading = [any(map(_HEADING.match, b.path)) for b in found]
+    own = [not b.aside and (b.path in paths or not w or (h and w <= HEAD_WORDS)) for b, w, h in zip(found, words, heading, strict=True)]
     if label.split(".")[0] in ("", "html", "body"):
-        while first and (texts[first - 1] == "" or (not found[first - 1].aside and any(map(_HEADING.match, found[first - 1].path)))):
+        while first and (texts[first - 1] == "" or (own[first - 1] and heading[first - 1])):
             first -= 1
         kept = range(first, last + 1)
     else:
         kept = [i for i, b in enumerate(found) if root in b.numbers]
-    return "\n".join(texts[i] for i in kept if texts[i] and not found[i].aside)
+    return "\n".join(texts[i] for i in kept if texts[i] and own[i])
 
 
 def _main_texts(pages: pa.Array) -> pa.Array:

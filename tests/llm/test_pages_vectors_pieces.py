@@ -80,6 +80,19 @@ def test_nested_and_unwrapped_articles():
     assert main_text(unwrapped) == "\n".join(["Title", *lead, "Part", "one", "two", "cell", *body])
 
 
+@pytest.mark.parametrize("attribute", ['class="content has-sidebar"', 'id="search-results"', 'class="skip social"', 'style="overflow: hidden"', 'data-hidden="false"', 'title="the hidden valley"', "aria-hidden=false", 'data-class="menu"'])
+def test_marked_article(attribute):
+    inside = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    page = f'<body><nav><a href=/>Home</a></nav><div {attribute}><div class="entry-header"><h1>Title</h1></div>{inside}<div class="share"><a href=/s>Share this</a></div></div><div class="sidebar"><p>Some side text, of a length. Truly.</p></div></body>'
+    assert main_text(page) == "\n".join(["Title", *PARAGRAPHS])
+
+
+def test_hidden_parts_stay_silent():
+    inside = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    for hidden in ("hidden", 'hidden=""', "aria-hidden='true'", 'class=x HIDDEN'):
+        assert main_text(f"<body><article>{inside}<p {hidden}>Not shown, at all. Never.</p></article></body>") == "\n".join(PARAGRAPHS)
+
+
 @pytest.mark.parametrize(("page", "want"), [(None, ""), ("", ""), ("   ", ""), ("plain text", "plain text"), ("<p>a", "a"), ("<b>x</b> &amp; y", "x & y"), ("<<<>", "<<<>"), ("<p>" * 3000, ""), ("<div>" * 400 + "deep, text." + "</div>" * 400, "deep, text.")])
 def test_odd_pages(page, want):
     assert main_text(page) == want
