@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from pulseframe.llm import sql
 from pulseframe.llm.block_ann import nearest
 from pulseframe.llm.brown_lm import brown_scores
+from pulseframe.llm.fill_in_middle import fill_in_middle, middle_digests
 from pulseframe.llm.html_extract import extract_pages
 from pulseframe.llm.language_id import fit_language_model, predict_languages
 from pulseframe.llm.minhash_dedup import near_duplicate_components
+from pulseframe.llm.negative_mining import hard_negatives
 from pulseframe.llm.piece_codec import read_model, tokenized
 from pulseframe.llm.pivot_search import top_products
 from pulseframe.llm.secret_scan import secret_report
+from pulseframe.llm.sequence_packing import packed, piece_checksums
 from pulseframe.llm.source_mix import mix_positions
 from pulseframe.llm.substring_dedup import kept_digest, remove_duplicate_passages
 
@@ -75,6 +78,22 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_report(_table(spark, folder, "documents"))
 
 
+def op11_negative_mining(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives for each vector whose id is divisible by 100; labels of ids divisible by 7 are moved by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_sequence_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of each document in sequences of 4,096 tokens."""
+    return piece_checksums(packed(_table(spark, folder, "documents")))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document in fill-in-middle order, and restored from it."""
+    return middle_digests(fill_in_middle(_table(spark, folder, "documents")))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
@@ -87,6 +106,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mix": op8_source_mix,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_secret_scan": op10_secret_scan,
+        "op11_negative_mining": op11_negative_mining,
+        "op12_sequence_packing": op12_sequence_packing,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
@@ -96,4 +118,6 @@ def llm_oracles() -> dict[str, str]:
         "op6_block_ann": sql.BLOCK_ANN,
         "op7_pivot_search": sql.PIVOT_SEARCH,
         "op9_substring_dedup": sql.SUBSTRING_DEDUP,
+        "op11_negative_mining": sql.NEGATIVE_MINING,
+        "op13_fill_in_middle": sql.FILL_IN_MIDDLE,
     }
