@@ -12,10 +12,10 @@ Each placement is one record: a length, a range of ranks, and where the first of
 length and rank: a document's rank among those of its length is its place in a bucket (of bounded size, by hash) and the number of those in
 earlier buckets; a search in the sorted records then gives pack and offset, and again for the rest of a cut document.
 
-Tokens: texts are cut at ASCII blanks, and between ASCII letters or digits and the common marks of punctuation. No token of the tokenizer
-crosses these places (it drops white space and keeps letters, digits and marks apart), so a text's ids are those of its segments, A-Z as
-a-z; each task looks up the distinct segments of a portion and keeps those of about `known_words` met before. The end id is added to each
-document. A tokenizer that doesn't treat segments alone like segments in a text is refused.
+Tokens: texts are cut at ASCII blanks, and between Latin letters, digits and the common marks of punctuation. No token of the tokenizer
+crosses these places (it drops white space and keeps letters, digits and marks apart), so a text's ids are those of its segments, Latin
+capitals as small letters; each task looks up the distinct segments of a portion and keeps those of about `known_words` met before. The end
+id is added to each document. A tokenizer that doesn't treat segments alone like segments in a text is refused.
 
 Scale: tokens are written once, as 2 or 4 bytes each, and shuffled once, by length and bucket. The driver holds one row per length (4,096 at
 most by default) and the records, some for each length and group; they are broadcast. Their number depends on the number of lengths and on
@@ -29,17 +29,19 @@ table gives an empty result. Other columns of the table have no influence, whate
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseframe.llm.frames import checkpointed
-from pulseframe.llm.words import lowered, text_batches
+from pulseframe.llm.frames import checkpointed, run_starts
+from pulseframe.llm.words import lowered, mix64, text_batches
 
 
 @dataclass(frozen=True)
@@ -49,85 +51,169 @@ class PackSettings:
     #: Documents of one length that are ranked by one sort.
     bucket: int = 4_096
     #: Words, and bytes of words, whose ids a task remembers.
-    known_words: int = 600_000
-    known_bytes: int = 32_000_000
+    known_words: int = 250_000
+    known_bytes: int = 16_000_000
 
 
 #: Rows of the table of buckets that may be broadcast: 40 bytes each, so 4 MB at most.
 _BROADCAST_BUCKETS = 100_000
 _RANKS = 1 << 42
 #: Text whose segments are looked up at once.
-PORTION_BYTES = 4_000_000
-#: Words that are encoded as one text.
-_AT_ONCE = 1_000
-_BEYOND_LATIN = "\u0100"
+PORTION_BYTES = 2_000_000
 _PIECES = "array<struct<start: long, length: long, sequence_id: long, offset: long, ids: array<int>>>"
 
 
 # ---- tokens
 
-#: Kinds of bytes: 0 blanks, 1 ASCII letters and digits, 2 common punctuation, 4 others.
+#: Kinds of bytes: 0 blanks, 1 Latin letters, 2 common punctuation, 3 digits, 4 others. Between two of the first four kinds a token ends.
 _KINDS = np.full(256, 4, dtype=np.uint8)
 _KINDS[[0x20, *range(0x09, 0x0E)]] = 0
-_KINDS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+_KINDS[[*range(65, 91), *range(97, 123)]] = 1
 _KINDS[[ord(c) for c in ",.!?;:"]] = 2
+_KINDS[48:58] = 3
+#: Second bytes, behind 0xC3, of letters; the first half are capitals, which lie 32 places before their small letters.
+_LATIN = np.zeros(256, dtype=bool)
+_LATIN[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, or else the next one from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+class WordMerges:
+    """Merges many words side by side: in each round, the first of each word's pairs of least rank."""
+
+    _SIZE = 18
+
+    def __init__(self, model: dict) -> None:
+        vocabulary, end = model["vocab"], model["end_of_word_suffix"]
+        self.inner, self.last = (np.array([vocabulary.get(c + suffix, -1) for c in _byte_letters()], dtype=np.int64) for suffix in ("", end))
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.merged = np.array([vocabulary[a + b] for a, b in pairs], dtype=np.int64)
+        self.codes, self.ranks = np.full(1 << self._SIZE, -1, dtype=np.int64), np.zeros(1 << self._SIZE, dtype=np.int64)
+        for rank, (a, b) in enumerate(pairs):
+            code = vocabulary[a] << 32 | vocabulary[b]
+            at = int(self._place(np.array([code]))[0])
+            while self.codes[at] >= 0 and self.codes[at] != code:
+                at = (at + 1) % len(self.codes)
+            if self.codes[at] < 0:
+                self.codes[at], self.ranks[at] = code, rank
+        self.none = len(pairs)
+
+    def _place(self, codes: np.ndarray) -> np.ndarray:
+        return (mix64(codes.view(np.uint64)) >> np.uint64(64 - self._SIZE)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; the number of merges if there is none."""
+        codes = left << 32 | right
+        at, out = self._place(codes), np.full(len(codes), self.none, dtype=np.int64)
+        open_ = np.arange(len(codes))
+        while len(open_):
+            here = self.codes[at]
+            hit = here == codes[open_]
+            out[open_[hit]] = self.ranks[at[hit]]
+            go = ~hit & (here >= 0)
+            open_, at = open_[go], (at[go] + 1) % len(self.codes)
+        return out
+
+    def encode(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids) of the words data[edges[i]:edges[i + 1]], none of which is empty."""
+        symbol = self.inner[data]
+        symbol[edges[1:] - 1] = self.last[data[edges[1:] - 1]]
+        word = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        rank = np.full(len(symbol), self.none, dtype=np.int64)  # of each symbol and the next one of its word
+        pair = np.flatnonzero(word[:-1] == word[1:])
+        rank[pair] = self.rank(symbol[pair], symbol[pair + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(word):
+            starts = run_starts(word)
+            best = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(np.append(starts, len(word)))
+            over = np.repeat(best == self.none, sizes)
+            done.append((word[over], symbol[over]))
+            least = np.repeat(best, sizes)[~over]
+            word, symbol, rank = word[~over], symbol[~over], rank[~over]
+            first = np.flatnonzero(rank == least)
+            first = first[run_starts(word[first])]
+            symbol[first] = self.merged[rank[first]]
+            keep = np.ones(len(word), dtype=bool)
+            keep[first + 1] = False
+            at = first - np.arange(len(first))  # places once the second symbols are gone
+            word, symbol, rank = word[keep], symbol[keep], rank[keep]
+            rank[at] = self.none
+            right = at[(at + 1 < len(word))]
+            right = right[word[right] == word[right + 1]]
+            left = at[at > 0] - 1
+            left = left[word[left] == word[left + 1]]
+            for pair in (right, left):
+                rank[pair] = self.rank(symbol[pair], symbol[pair + 1])
+        words, symbols = (np.concatenate([d[c] for d in done]) if done else np.zeros(0, dtype=np.int64) for c in (0, 1))
+        return symbols[np.argsort(words, kind="stable")].astype(np.int32), np.bincount(words, minlength=len(edges) - 1)
 
 
 class WordTokens:
-    """Token ids of texts, looked up by word."""
+    """Token ids of texts, looked up by segment. Words of Latin letters that a task has not met are merged side by side, other segments are
+    given to the tokenizer."""
 
     def __init__(self, model: str, settings: PackSettings) -> None:
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer, self.plain = Tokenizer.from_str(model), Tokenizer.from_str(model)
-        # A word of lower-case Latin letters alone needs neither normalisation nor cuts.
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokenizer = Tokenizer.from_str(model)
+        kind = json.loads(model)["model"]
+        merging = kind.get("type") == "BPE" and kind.get("end_of_word_suffix") and not kind.get("dropout") and not kind.get("ignore_merges")
+        self.merges = WordMerges(kind) if merging else None
         self.settings = settings
-        self.zero = self.tokenizer.encode("0", add_special_tokens=False).ids[0]
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.bytes = 0
-        self.size = np.zeros(0, dtype=np.int64)
+        self.size = np.zeros(0, dtype=np.int32)
         self.first = np.zeros(0, dtype=np.int64)
         self.pool = np.zeros(0, dtype=np.int32)
 
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if not new:
+    def _learn(self, words: list[bytes], plain: np.ndarray) -> None:
+        new = [w not in self.known for w in words]
+        if not any(new):
             return
-        plain = [w for w in new if w.isalpha() and (w.isascii() or max(w) < _BEYOND_LATIN)]
-        odd = [w for w in new if not (w.isalpha() and (w.isascii() or max(w) < _BEYOND_LATIN))]
-        new = plain + odd
-        # Many plain words are encoded as one text, with a digit between them that none of them holds.
-        texts = ["0 " + " 0 ".join(plain[a : a + _AT_ONCE]).lower() for a in range(0, len(plain), _AT_ONCE)]
-        found = [np.array(e.ids, dtype=np.int32) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
-        joined = np.concatenate([*found, np.array([self.zero], dtype=np.int32)])
-        others = [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
-        size = np.concatenate([np.diff(np.flatnonzero(joined == self.zero)) - 1, np.array([len(ids) for ids in others], dtype=np.int64)])
+        fast, slow = (list(compress(words, (np.array(new) & side).tolist())) for side in (plain, ~plain))
+        others = [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast([w.decode() for w in slow], add_special_tokens=False)]
+        ids, size = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+        if fast:
+            edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, fast), dtype=np.int64, count=len(fast)))])
+            ids, size = self.merges.encode(np.frombuffer(b"".join(fast), dtype=np.uint8), edges)
+        size = np.concatenate([size, np.array([len(i) for i in others], dtype=np.int64)])
         self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.pool = np.concatenate([self.pool, joined[joined != self.zero], *others])
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.bytes += sum(map(len, new))
+        self.size = np.concatenate([self.size, size.astype(np.int32)])
+        self.pool = np.concatenate([self.pool, ids, *others])
+        self.known.update(zip(fast + slow, range(len(self.known), len(self.known) + len(size)), strict=True))
+        self.bytes += sum(map(len, fast)) + sum(map(len, slow))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, edges) of the texts data[offsets[i]:offsets[i + 1]]: those of text i are ids[edges[i]:edges[i + 1]], with the end id last."""
-        kind = _KINDS[data]
+        kind = _kinds(data)
         start, end = _segments(kind, offsets)
-        plain = data if _may_hold_mark(data) else lowered(data)
+        whole = _may_hold_mark(data)
         # Without blanks, segments lie side by side.
         edges = np.concatenate([[0], np.cumsum(end - start)])
-        segments = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(edges), pa.py_buffer(plain[kind != 0]))
+        segments = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer((data if whole else _small(data))[kind != 0])])
         distinct = segments.dictionary_encode()
+        indices = distinct.indices.to_numpy()
         names = distinct.dictionary.to_pylist()
-        self._learn(names)
-        number = np.fromiter(map(self.known.__getitem__, names), dtype=np.int64, count=len(names))[distinct.indices.to_numpy()]
+        # Kinds change inside a segment only around bytes of the last kind.
+        plain = np.zeros(len(names), dtype=bool)
+        if self.merges and not whole:
+            foreign = np.concatenate([[0], np.cumsum(kind != 1)])
+            plain[indices] = foreign[end] == foreign[start]
+        self._learn(names, plain)
+        number = np.fromiter(map(self.known.__getitem__, names), dtype=np.int64, count=len(names))[indices]
         size = self.size[number]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(self.first[number] - ends[:-1], size) + np.arange(ends[-1])
+        ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        at = np.repeat(self.first[number] - ends[:-1], size)
+        at += np.arange(ends[-1])
         edges = ends[np.searchsorted(start, offsets)] + np.arange(len(offsets))
         ids = np.full(edges[-1], self.settings.end_id, dtype=np.int32)
         own = np.ones(len(ids), dtype=bool)
@@ -138,11 +224,28 @@ class WordTokens:
         return ids, edges
 
 
+def _kinds(data: np.ndarray) -> np.ndarray:
+    kind = _KINDS[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = second[_LATIN[data[second]]]
+    kind[second] = kind[second - 1] = 1
+    return kind
+
+
+def _small(data: np.ndarray) -> np.ndarray:
+    """Latin capital letters as small ones."""
+    low = lowered(data)
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = second[_LATIN[data[second]] & (data[second] < 0x9F)]
+    low[second] += 32
+    return low
+
+
 def _segments(kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of the segments that can be encoded alone: cut at blanks, and between ASCII letters or digits and marks of punctuation."""
+    """(start, end) of the segments that can be encoded alone."""
     change = np.zeros(len(kind) + 1, dtype=bool)
     a, b = kind[:-1], kind[1:]
-    change[1:-1] = (a != b) & ((a == 0) | (b == 0) | (a + b == 3))
+    change[1:-1] = (a != b) & (((a != 4) & (b != 4)) | (a == 0) | (b == 0))
     change[offsets] = True
     cuts = np.flatnonzero(change)
     solid = kind[cuts[:-1]] != 0
