@@ -4,11 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+#: Rows that go to a Python worker at once while a table is written, in bytes; a single larger row is a batch of its own.
+BATCH_BYTES = 4_000_000
+
+
+@contextmanager
+def batches_of(session: SparkSession, size: int) -> Iterator[None]:
+    """Arrow batches of at most this many bytes for what is executed inside."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = session.conf.get(name)
+    session.conf.set(name, f"{size}b")
+    try:
+        yield
+    finally:
+        session.conf.set(name, before)
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
@@ -20,7 +37,8 @@ def checkpointed(frame: DataFrame) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="pulseframe-checkpoint-")
         session.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/pulseframe-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    with batches_of(session, BATCH_BYTES):
+        frame.write.parquet(path)
     return session.read.schema(frame.schema).parquet(path)
 
 

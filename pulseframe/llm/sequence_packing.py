@@ -93,14 +93,14 @@ class WordMerges:
         self.inner, self.last = (np.array([vocabulary.get(c + suffix, -1) for c in _byte_letters()], dtype=np.int64) for suffix in ("", end))
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merged = np.array([vocabulary[a + b] for a, b in pairs], dtype=np.int64)
-        self.codes, self.ranks = np.full(1 << self._SIZE, -1, dtype=np.int64), np.zeros(1 << self._SIZE, dtype=np.int64)
-        for rank, (a, b) in enumerate(pairs):
-            code = vocabulary[a] << 32 | vocabulary[b]
-            at = int(self._place(np.array([code]))[0])
-            while self.codes[at] >= 0 and self.codes[at] != code:
-                at = (at + 1) % len(self.codes)
-            if self.codes[at] < 0:
-                self.codes[at], self.ranks[at] = code, rank
+        codes = np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in pairs], dtype=np.int64)
+        table, ranks = [-1] * (1 << self._SIZE), [0] * (1 << self._SIZE)
+        for rank, (code, at) in enumerate(zip(codes.tolist(), self._place(codes).tolist(), strict=True)):
+            while table[at] >= 0 and table[at] != code:
+                at = (at + 1) % len(table)
+            if table[at] < 0:
+                table[at], ranks[at] = code, rank
+        self.codes, self.ranks = np.array(table), np.array(ranks)
         self.none = len(pairs)
 
     def _place(self, codes: np.ndarray) -> np.ndarray:
@@ -154,18 +154,21 @@ class WordMerges:
         return symbols[np.argsort(words, kind="stable")].astype(np.int32), np.bincount(words, minlength=len(edges) - 1)
 
 
+def word_merges(model: str) -> WordMerges | None:
+    """Merges of a tokenizer of the kind that ends words by a suffix; none of others."""
+    kind = json.loads(model)["model"]
+    merging = kind.get("type") == "BPE" and kind.get("end_of_word_suffix") and not kind.get("dropout") and not kind.get("ignore_merges")
+    return WordMerges(kind) if merging else None
+
+
 class WordTokens:
     """Token ids of texts, looked up by segment. Words of Latin letters that a task has not met are merged side by side, other segments are
     given to the tokenizer."""
 
-    def __init__(self, model: str, settings: PackSettings) -> None:
+    def __init__(self, model: str, merges: WordMerges | None, settings: PackSettings) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(model)
-        kind = json.loads(model)["model"]
-        merging = kind.get("type") == "BPE" and kind.get("end_of_word_suffix") and not kind.get("dropout") and not kind.get("ignore_merges")
-        self.merges = WordMerges(kind) if merging else None
-        self.settings = settings
+        self.tokenizer, self.merges, self.settings = Tokenizer.from_str(model), merges, settings
         self._forget()
 
     def _forget(self) -> None:
@@ -273,25 +276,25 @@ def _check_words_alone(model: str) -> None:
     """Refuse a tokenizer for which segments in a text differ from segments alone."""
     from tokenizers import Tokenizer
 
-    tokens = WordTokens(model, PackSettings())
+    tokens, whole = WordTokens(model, word_merges(model), PackSettings()), Tokenizer.from_str(model)
     words = ["Two", "words,", "it's", "12.5", "é", "(x)", "na\u00efve\u2026", "\u0301a", "\u6771\u4eac", "#a_b", "so..!?;:no", "0", "\u00c9t\u00e9", "\u00b5\u00df", "007", "<|A", "\u0130I"]
     for blank in (" ", "\n", "\t \r\n", "\x0b", "\x0c"):
         text = blank + blank.join(words) + blank
         raw = np.frombuffer(text.encode(), dtype=np.uint8)
         found, _ = tokens.encode(raw, np.array([0, len(raw)]))
-        if Tokenizer.from_str(model).encode(text, add_special_tokens=False).ids != found[:-1].tolist():
+        if whole.encode(text, add_special_tokens=False).ids != found[:-1].tolist():
             raise ValueError("the tokenizer needs more than single words")
 
 
-def token_ids(text: Column, model: str, settings: PackSettings = PackSettings()) -> Column:
-    """Token ids of a text column with the end id, as little-endian whole numbers of `id_bytes(model)` bytes."""
-    width = id_bytes(model)
-    shared = SparkSession.active().sparkContext.broadcast(model)
-    state: dict = {}
+def token_ids(text: Column, model: str, width: int, settings: PackSettings = PackSettings()) -> Column:
+    """Token ids of a text column with the end id, as little-endian whole numbers of `width` bytes."""
+    # A worker keeps a broadcast's value from task to task, and with it the words that it has met.
+    shared = SparkSession.active().sparkContext.broadcast({"model": model, "merges": word_merges(model)})
 
     def run(column: pa.Array) -> pa.Array:
+        state = shared.value
         if "tokens" not in state:
-            state["tokens"] = WordTokens(shared.value, settings)
+            state["tokens"] = WordTokens(state["model"], state["merges"], settings)
         out = []
         for data, offsets in text_batches(column, PORTION_BYTES):
             ids, edges = state["tokens"].encode(data, offsets)
@@ -427,7 +430,7 @@ def packed(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     piece, offset the ids before it in its sequence. model is the text of a tokenizer file."""
     model = model or read_tokenizer()
     width, capacity = id_bytes(model), settings.capacity
-    rows = docs.select(F.col(id_col).alias("doc_id"), token_ids(F.coalesce(F.col(text_col).cast("string"), F.lit("")), model, settings).alias("tokens"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), token_ids(F.coalesce(F.col(text_col).cast("string"), F.lit("")), model, width, settings).alias("tokens"))
     size = F.expr(f"octet_length(tokens) div {width}").cast("long")
     rows = rows.select("doc_id", "tokens", size.alias("n"), F.xxhash64("doc_id", "tokens").alias("mark"))
     rows = checkpointed(rows.withColumns({"rest": F.col("n") % capacity, "full": F.expr(f"n div {capacity}")}))
