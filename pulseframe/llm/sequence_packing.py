@@ -32,6 +32,7 @@ import heapq
 import json
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import compress
 
@@ -39,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulseframe.llm.frames import checkpointed, run_starts
 from pulseframe.llm.words import lowered, mix64, text_batches
@@ -51,8 +53,8 @@ class PackSettings:
     #: Documents of one length that are ranked by one sort.
     bucket: int = 4_096
     #: Words, and bytes of words, whose ids a task remembers.
-    known_words: int = 250_000
-    known_bytes: int = 16_000_000
+    known_words: int = 150_000
+    known_bytes: int = 8_000_000
 
 
 #: Rows of the table of buckets that may be broadcast: 40 bytes each, so 4 MB at most.
@@ -60,7 +62,8 @@ _BROADCAST_BUCKETS = 100_000
 _RANKS = 1 << 42
 #: Text whose segments are looked up at once.
 PORTION_BYTES = 2_000_000
-_PIECES = "array<struct<start: long, length: long, sequence_id: long, offset: long, ids: array<int>>>"
+#: Bytes of tokens that are cut to pieces at once.
+PIECE_BYTES = 2_000_000
 
 
 # ---- tokens
@@ -397,32 +400,40 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> Patterns:
 
 
 def _pieces(patterns, capacity: int, width: int):
-    """Pieces of documents, with their ids."""
-    schema = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    """Pieces of documents with their ids, for rows (doc_id, tokens, rank, full_rank); some rows at a time."""
 
-    def run(tokens: pa.Array, rank: pa.Array, full_rank: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Patterns(*patterns.value)
-        edges = np.frombuffer(tokens.buffers()[1], dtype=np.int32)[tokens.offset : tokens.offset + len(tokens) + 1].astype(np.int64)
-        raw = tokens.buffers()[2]
-        ids = np.frombuffer(raw, dtype=np.uint8)[edges[0] : edges[-1]].view(f"<u{width}").astype(np.int32) if len(tokens) else np.zeros(0, dtype=np.int32)
-        n = np.diff(edges) // width
-        full, rest = n // capacity, n % capacity
-        row, start, length, pack, offset = table.place(rest, rank.to_numpy(zero_copy_only=False))
-        whole_of = np.repeat(np.arange(len(n)), full)
-        nth = np.arange(len(whole_of)) - np.repeat(np.cumsum(full) - full, full)
-        sequence = table.packs + full_rank.to_numpy(zero_copy_only=False)[whole_of] + nth
-        columns = [
-            np.concatenate([whole_of, row]), np.concatenate([nth * capacity, start + full[row] * capacity]), np.concatenate([np.full(len(nth), capacity), length]),
-            np.concatenate([sequence, pack]), np.concatenate([np.zeros(len(nth), dtype=np.int64), offset]),
-        ]
-        order = np.lexsort((columns[1], columns[0]))
-        of, start, length, sequence, offset = (c[order] for c in columns)
-        # Pieces in order cover each document's ids, so lists are cuts of the one array.
-        inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(ids))
-        parts = pa.StructArray.from_arrays([*[pa.array(c) for c in (start, length, sequence, offset)], inner], fields=list(schema))
-        return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(n) + 1)).astype(np.int32)), parts)
-
-    return F.arrow_udf(run, _PIECES)
+        for rows in batches:
+            tokens = rows.column("tokens")
+            edges = np.frombuffer(tokens.buffers()[1], dtype=np.int32)[tokens.offset : tokens.offset + len(tokens) + 1].astype(np.int64)
+            raw = np.frombuffer(tokens.buffers()[2], dtype=np.uint8) if len(tokens) else np.zeros(0, dtype=np.uint8)
+            a = 0
+            while a < len(tokens):
+                b = max(a + 1, int(np.searchsorted(edges, edges[a] + PIECE_BYTES, side="right")) - 1)
+                ids = raw[edges[a] : edges[b]].view(f"<u{width}").astype(np.int32)
+                yield _cut(rows.slice(a, b - a), ids, np.diff(edges[a : b + 1]) // width, table, capacity)
+                a = b
+
+    return run
+
+
+def _cut(rows: pa.RecordBatch, ids: np.ndarray, n: np.ndarray, table: Patterns, capacity: int) -> pa.RecordBatch:
+    full, rest = n // capacity, n % capacity
+    row, start, length, pack, offset = table.place(rest, rows.column("rank").to_numpy(zero_copy_only=False))
+    whole_of = np.repeat(np.arange(len(n)), full)
+    nth = np.arange(len(whole_of)) - np.repeat(np.cumsum(full) - full, full)
+    sequence = table.packs + rows.column("full_rank").to_numpy(zero_copy_only=False)[whole_of] + nth
+    columns = [
+        np.concatenate([whole_of, row]), np.concatenate([nth * capacity, start + full[row] * capacity]), np.concatenate([np.full(len(nth), capacity), length]),
+        np.concatenate([sequence, pack]), np.concatenate([np.zeros(len(nth), dtype=np.int64), offset]),
+    ]
+    order = np.lexsort((columns[1], columns[0]))
+    of, start, length, sequence, offset = (c[order] for c in columns)
+    # Pieces in order cover each document's ids, so lists are cuts of the one array.
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(ids))
+    doc = rows.column("doc_id").take(pa.array(of))
+    return pa.RecordBatch.from_arrays([doc, *[pa.array(c) for c in (n[of], start, length, sequence, offset)], lists], names=["doc_id", "doc_tokens", "start", "length", "sequence_id", "offset", "ids"])
 
 
 def packed(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", settings: PackSettings = PackSettings()) -> DataFrame:
@@ -455,8 +466,9 @@ def packed(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     rows = rows.withColumn("full_place", F.coalesce(F.sum("full").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.join(counts, keys)
     rank, full_rank = F.col("n_before") + F.col("place"), F.col("full_base") + F.col("full_before") + F.col("full_place")
-    found = rows.select("doc_id", F.col("n").alias("doc_tokens"), _pieces(shared, capacity, width)("tokens", rank, full_rank).alias("pieces"))
-    return found.select("doc_id", "doc_tokens", F.inline("pieces"))
+    rows = rows.select("doc_id", "tokens", rank.alias("rank"), full_rank.alias("full_rank"))
+    schema = T.StructType([rows.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("doc_tokens", "start", "length", "sequence_id", "offset")], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(_pieces(shared, capacity, width), schema)
 
 
 def _checksums(ids: pa.Array) -> pa.Array:
