@@ -34,7 +34,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -180,12 +180,32 @@ class WordTokens:
         self.size = np.zeros(0, dtype=np.int32)
         self.first = np.zeros(0, dtype=np.int64)
         self.pool = np.zeros(0, dtype=np.int32)
+        self.again = np.zeros(0, dtype=bool)
 
-    def _learn(self, words: list[bytes], plain: np.ndarray) -> None:
-        new = [w not in self.known for w in words]
-        if not any(new):
-            return
-        fast, slow = (list(compress(words, (np.array(new) & side).tolist())) for side in (plain, ~plain))
+    def _keep_common(self) -> None:
+        """Forget the words that were met in one portion only; all if that leaves many."""
+        keep, words = np.flatnonzero(self.again), list(self.known)
+        size, first, pool = self.size[keep], self.first[keep], self.pool
+        self._forget()
+        if 2 * len(keep) <= self.settings.known_words:
+            self.known = {words[i]: k for k, i in enumerate(keep.tolist())}
+            self.bytes = sum(map(len, self.known))
+            self.size, self.again = size, np.zeros(len(keep), dtype=bool)
+            self.first = np.cumsum(size, dtype=np.int64) - size
+            self.pool = pool[np.repeat(first - self.first, size) + np.arange(size.sum())]
+
+    def _numbers(self, words: list[bytes], plain: np.ndarray) -> np.ndarray:
+        """Numbers of distinct segments; those not met yet get the next ones."""
+        found = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = found < 0
+        self.again[found[~new]] = True
+        if new.any():
+            self._learn(*(list(compress(words, (new & side).tolist())) for side in (plain, ~plain)))
+            found[new & plain] = np.arange((new & plain).sum()) + (len(self.known) - new.sum())
+            found[new & ~plain] = np.arange((new & ~plain).sum()) + (len(self.known) - (new & ~plain).sum())
+        return found
+
+    def _learn(self, fast: list[bytes], slow: list[bytes]) -> None:
         others = [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast([w.decode() for w in slow], add_special_tokens=False)]
         ids, size = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
         if fast:
@@ -195,6 +215,7 @@ class WordTokens:
         self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size.astype(np.int32)])
         self.pool = np.concatenate([self.pool, ids, *others])
+        self.again = np.concatenate([self.again, np.zeros(len(size), dtype=bool)])
         self.known.update(zip(fast + slow, range(len(self.known), len(self.known) + len(size)), strict=True))
         self.bytes += sum(map(len, fast)) + sum(map(len, slow))
 
@@ -204,18 +225,17 @@ class WordTokens:
         start, end = _segments(kind, offsets)
         whole = _may_hold_mark(data)
         # Without blanks, segments lie side by side.
-        edges = np.concatenate([[0], np.cumsum(end - start)])
-        segments = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer((data if whole else _small(data))[kind != 0])])
+        edges = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+        segments = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer((data if whole else _small(data))[kind != 0])])
         distinct = segments.dictionary_encode()
         indices = distinct.indices.to_numpy()
-        names = distinct.dictionary.to_pylist()
+        names = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
         # Kinds change inside a segment only around bytes of the last kind.
         plain = np.zeros(len(names), dtype=bool)
         if self.merges and not whole:
             foreign = np.concatenate([[0], np.cumsum(kind != 1)])
             plain[indices] = foreign[end] == foreign[start]
-        self._learn(names, plain)
-        number = np.fromiter(map(self.known.__getitem__, names), dtype=np.int64, count=len(names))[indices]
+        number = self._numbers(names, plain)[indices]
         size = self.size[number]
         ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         at = np.repeat(self.first[number] - ends[:-1], size)
@@ -226,7 +246,7 @@ class WordTokens:
         own[edges[1:] - 1] = False
         ids[own] = self.pool[at]
         if len(self.known) > self.settings.known_words or self.bytes > self.settings.known_bytes:
-            self._forget()
+            self._keep_common()
         return ids, edges
 
 
