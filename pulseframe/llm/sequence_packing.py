@@ -64,6 +64,8 @@ _RANKS = 1 << 42
 PORTION_BYTES = 2_000_000
 #: Bytes of tokens that are cut to pieces at once.
 PIECE_BYTES = 2_000_000
+#: Longest word that is merged beside others, a round for each merge; longer ones are given to the tokenizer.
+MERGED_BYTES = 64
 
 
 # ---- tokens
@@ -91,23 +93,29 @@ class WordMerges:
 
     _SIZE = 18
 
-    def __init__(self, model: dict) -> None:
+    def __init__(self, inner: np.ndarray, last: np.ndarray, merged: np.ndarray, codes: np.ndarray, ranks: np.ndarray) -> None:
+        self.inner, self.last, self.merged, self.codes, self.ranks = inner, last, merged, codes, ranks
+        self.none = len(merged)
+
+    @classmethod
+    def tables(cls, model: dict) -> tuple[np.ndarray, ...]:
+        """Arguments of a new object for the model of a tokenizer file."""
         vocabulary, end = model["vocab"], model["end_of_word_suffix"]
-        self.inner, self.last = (np.array([vocabulary.get(c + suffix, -1) for c in _byte_letters()], dtype=np.int64) for suffix in ("", end))
+        inner, last = (np.array([vocabulary.get(c + suffix, -1) for c in _byte_letters()], dtype=np.int64) for suffix in ("", end))
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merged = np.array([vocabulary[a + b] for a, b in pairs], dtype=np.int64)
+        merged = np.array([vocabulary[a + b] for a, b in pairs], dtype=np.int64)
         codes = np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in pairs], dtype=np.int64)
-        table, ranks = [-1] * (1 << self._SIZE), [0] * (1 << self._SIZE)
-        for rank, (code, at) in enumerate(zip(codes.tolist(), self._place(codes).tolist(), strict=True)):
+        table, ranks = [-1] * (1 << cls._SIZE), [0] * (1 << cls._SIZE)
+        for rank, (code, at) in enumerate(zip(codes.tolist(), cls._place(codes).tolist(), strict=True)):
             while table[at] >= 0 and table[at] != code:
                 at = (at + 1) % len(table)
             if table[at] < 0:
                 table[at], ranks[at] = code, rank
-        self.codes, self.ranks = np.array(table), np.array(ranks)
-        self.none = len(pairs)
+        return inner, last, merged, np.array(table), np.array(ranks)
 
-    def _place(self, codes: np.ndarray) -> np.ndarray:
-        return (mix64(codes.view(np.uint64)) >> np.uint64(64 - self._SIZE)).astype(np.int64)
+    @classmethod
+    def _place(cls, codes: np.ndarray) -> np.ndarray:
+        return (mix64(codes.view(np.uint64)) >> np.uint64(64 - cls._SIZE)).astype(np.int64)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; the number of merges if there is none."""
@@ -157,21 +165,22 @@ class WordMerges:
         return symbols[np.argsort(words, kind="stable")].astype(np.int32), np.bincount(words, minlength=len(edges) - 1)
 
 
-def word_merges(model: str) -> WordMerges | None:
-    """Merges of a tokenizer of the kind that ends words by a suffix; none of others."""
+def word_merges(model: str) -> tuple[np.ndarray, ...] | None:
+    """Tables of WordMerges for a tokenizer of the kind that ends words by a suffix; none for others."""
     kind = json.loads(model)["model"]
     merging = kind.get("type") == "BPE" and kind.get("end_of_word_suffix") and not kind.get("dropout") and not kind.get("ignore_merges")
-    return WordMerges(kind) if merging else None
+    return WordMerges.tables(kind) if merging else None
 
 
 class WordTokens:
     """Token ids of texts, looked up by segment. Words of Latin letters that a task has not met are merged side by side, other segments are
     given to the tokenizer."""
 
-    def __init__(self, model: str, merges: WordMerges | None, settings: PackSettings) -> None:
+    def __init__(self, model: str, merges: tuple[np.ndarray, ...] | None, settings: PackSettings) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.merges, self.settings = Tokenizer.from_str(model), merges, settings
+        self.tokenizer, self.settings = Tokenizer.from_str(model), settings
+        self.merges = WordMerges(*merges) if merges else None
         self._forget()
 
     def _forget(self) -> None:
@@ -234,7 +243,7 @@ class WordTokens:
         plain = np.zeros(len(names), dtype=bool)
         if self.merges and not whole:
             foreign = np.concatenate([[0], np.cumsum(kind != 1)])
-            plain[indices] = foreign[end] == foreign[start]
+            plain[indices] = (foreign[end] == foreign[start]) & (end - start <= MERGED_BYTES)
         number = self._numbers(names, plain)[indices]
         size = self.size[number]
         ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
