@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -11,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from pulseframe.session import shared_folder
+
 
 #: Rows that go to a Python worker at once while a table is written, in bytes; a single larger row is a batch of its own.
 BATCH_BYTES = 4_000_000
@@ -30,12 +31,9 @@ def batches_of(session: SparkSession, size: int) -> Iterator[None]:
 
 def checkpointed(frame: DataFrame) -> DataFrame:
     """The frame, computed once and read back from a Parquet table, so that a lost executor costs no rerun of what led to it. The table
-    lies in the folder the cluster names in spark.checkpoint.dir; only where that is unset (as in tests) a folder is made here."""
+    lies in the folder the cluster names in spark.checkpoint.dir; only a session in local mode may leave that unset."""
     session = frame.sparkSession
-    folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="pulseframe-checkpoint-")
-        session.sparkContext.setCheckpointDir(folder)
+    folder = session.conf.get("spark.checkpoint.dir", None) or session.sparkContext.getCheckpointDir() or shared_folder(session)
     path = f"{folder.rstrip('/')}/pulseframe-{uuid.uuid4().hex}"
     with batches_of(session, BATCH_BYTES):
         frame.write.parquet(path)

@@ -4,25 +4,30 @@ Features are byte n-grams inside words (A-Z as a-z; a blank may be the first or
 and whole words, hashed to `buckets` embeddings. A text is the mean of all its features' embeddings, classified by a linear softmax.
 Once trained, embedding times weights is one row of logits per bucket, so that a text's logits are a mean of rows.
 
-The model is fitted on a bounded sample of labelled rows: about `per_language` of each of the at most `languages` commonest labels, chosen
-by a hash of the id. A fifth of the sample calibrates it: a temperature by least log loss, and the lowest score from which on
-the share of right predictions reaches `precision`, but `sure` at most; texts below it are rejected. Every row is predicted, from its
-whole text.
-
-A null text, and one without a letter, gets `und` with score 0 and is rejected. So does every text if there was nothing to learn from.
-Long texts are read in whole; repeated rows get equal results.
+The model is fitted on a bounded sample of labelled rows: excerpts of at most `sample_chars` code points from about `per_language` rows of each
+label, fewer if there are so many labels that this would be more than `most_texts`; rows and places are chosen by hashes of the id. All
+labels are learned. Every row is predicted, from its whole text.
+
+Rejection: the score of a text is the probability of its language times its familiarity, the share of its n-grams that occur in the sample
+(`prior` more count as known, so that a short text is not judged by a handful). A fifth of the sample calibrates both, beside the same texts
+with their bytes shuffled, which are in no language: the temperature has the least log loss, with equal shares as the target of shuffled texts;
+the least score that is accepted lies between the highest scores of shuffled texts (`unlike` of them) and the lowest of the others, nearer to
+the former (`doubt` of the way) so that odd but clean texts stay; or at the lowest of the others if they overlap.
+
+A null text, and one without a letter, gets `und` with score 0 and is rejected. So does every text if there was nothing to learn from. A
+single label is learned too: then only familiarity tells. Rows with a null id are never held out. Long texts are read in whole; repeated rows
+get equal results. Other columns of the table have no influence, whatever their names.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm.frames import run_starts
 from pulseframe.llm.words import find_words, lowered, mix64, text_batches
 
 UNKNOWN = "und"
@@ -40,24 +45,29 @@ class LanguageSettings:
     size: int = 16
     grams: tuple[int, ...] = (2, 3, 4)
     per_language: int = 500
-    languages: int = 100
+    most_texts: int = 20_000
+    sample_chars: int = 6_000
     epochs: int = 4
     rate: float = 0.5
-    precision: float = 0.98
-    #: A text whose calibrated score is this or more is never rejected, whatever the labels are worth.
-    sure: float = 0.5
+    #: Places of the table of known n-grams, and n-grams that count as known in any text.
+    known: int = 1 << 20
+    prior: int = 8
+    #: Share of the shuffled texts that the least score is to lie above, and its way from there to the lowest score of the others.
+    unlike: float = 0.95
+    doubt: float = 0.25
     seed: int = 11
 
 
-def _features(data: np.ndarray, offsets: np.ndarray, settings: LanguageSettings) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, number of the text) of all features, sorted by text within each kind of feature."""
+def _features(data: np.ndarray, offsets: np.ndarray, grams: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hash, number of the text) of all features, sorted by text within each kind of feature, and how many of them are n-grams; these come
+    first."""
     if not len(data):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), 0
     low = np.where(_BLANKS[data], np.uint8(32), lowered(data))
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     blank = low == 32
-    buckets, owners = [], []
-    for n in settings.grams:
+    hashes, owners = [], []
+    for n in grams:
         count = max(0, len(low) - n + 1)
         code = np.zeros(count, dtype=np.uint64)
         whole = text[:count] == text[n - 1 :][:count]
@@ -67,53 +77,71 @@ def _features(data: np.ndarray, offsets: np.ndarray, settings: LanguageSettings)
                 whole &= ~blank[j : j + count]
         whole &= ~(blank[:count] & blank[n - 1 : n - 1 + count])
         code = code[whole]
-        buckets.append((mix64(code * np.uint64(5) + np.uint64(n)) % np.uint64(settings.buckets)).astype(np.int64))
+        hashes.append(mix64(code * np.uint64(5) + np.uint64(n)))
         owners.append(text[:count][whole])
     words = find_words(data, offsets)
-    buckets.append((mix64(words.hashes(lower=True) + np.uint64(1)) % np.uint64(settings.buckets)).astype(np.int64))
+    hashes.append(mix64(words.hashes(lower=True) + np.uint64(1)))
     owners.append(words.text_of)
-    return np.concatenate(buckets), np.concatenate(owners)
+    return np.concatenate(hashes), np.concatenate(owners), sum(map(len, hashes[:-1]))
+
+
+def _places(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes % np.uint64(size)).astype(np.int64)
 
 
 @dataclass
 class LanguageModel:
-    """Languages, a row of logits per bucket, a bias, a temperature and the score below which a text is rejected."""
+    """Languages, embeddings, output weights, a bias, a table of known n-grams, a temperature and the least score that is accepted."""
 
     settings: LanguageSettings
     names: list[str]
-    logits: np.ndarray
+    embed: np.ndarray
+    out: np.ndarray
     bias: np.ndarray
+    seen: np.ndarray
     temperature: float = 1.0
     least_score: float = 0.0
 
-    def raw(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Uncalibrated logits of each text."""
+    def __post_init__(self) -> None:
+        # Few languages: a row of logits per bucket; many: a row of the embedding, which is shorter.
+        few = len(self.names) <= self.embed.shape[1]
+        self.rows, self.weights = (self.embed @ self.out, None) if few else (self.embed, self.out)
+
+    def raw(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Uncalibrated logits, and the familiarity, of each text."""
         n = len(offsets) - 1
-        bucket, owner = _features(data, offsets, self.settings)
+        hashes, owner, grams = _features(data, offsets, self.settings.grams)
+        bucket = _places(hashes, self.settings.buckets)
         total = np.maximum(np.bincount(owner, minlength=n), 1)
-        out = np.empty((n, len(self.names)))
-        for k in range(len(self.names)):
-            out[:, k] = np.bincount(owner, weights=self.logits[:, k][bucket], minlength=n) / total
-        return out + self.bias
-
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return _softmax(self.raw(data, offsets) / self.temperature)
+        mean = np.empty((n, self.rows.shape[1]))
+        for k in range(self.rows.shape[1]):
+            mean[:, k] = np.bincount(owner, weights=self.rows[:, k][bucket], minlength=n) / total
+        known = self.seen[_places(hashes[:grams] >> np.uint64(20), len(self.seen))]
+        familiar = np.bincount(owner[:grams], weights=known, minlength=n) + self.settings.prior
+        familiar /= np.bincount(owner[:grams], minlength=n) + self.settings.prior
+        return (mean if self.weights is None else mean @ self.weights) + self.bias, familiar
+
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the likeliest language, score) of each text."""
+        raw, familiar = self.raw(data, offsets)
+        found = _softmax(raw / self.temperature)
+        best = found.argmax(axis=1)
+        return best, found[np.arange(len(best)), best] * familiar
 
     def predict(self, text: Column) -> Column:
         """struct<lang, score, accepted> of a text column."""
         if not self.names:
             return F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
-        shared = SparkSession.active().sparkContext.broadcast((self.settings.buckets, self.settings.grams, self.names, self.logits, self.bias, self.temperature, self.least_score))
+        fields = (self.names, self.embed, self.out, self.bias, self.seen, self.temperature, self.least_score)
+        shared = SparkSession.active().sparkContext.broadcast((asdict(self.settings), *fields))
 
         def run(column: pa.Array) -> pa.Array:
-            buckets, grams, *rest = shared.value
-            model = LanguageModel(LanguageSettings(buckets=buckets, grams=grams), *rest)
+            settings, *rest = shared.value
+            model = LanguageModel(LanguageSettings(**settings), *rest)
             names = np.array([*model.names, UNKNOWN], dtype=object)
             langs, scores = [], []
             for data, offsets in text_batches(column, PORTION_BYTES):
-                found = model.scores(data, offsets)
-                best = found.argmax(axis=1)
-                score = found[np.arange(len(best)), best]
+                best, score = model.scores(data, offsets)
                 none = ~_has_letter(data, offsets)
                 best[none], score[none] = len(model.names), 0.0
                 langs += names[best].tolist()
@@ -141,16 +169,15 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def train(texts: pa.Array, labels: list[str], settings: LanguageSettings) -> LanguageModel:
     """Stochastic gradient descent, one text at a time; then calibration on every fifth text."""
     names = sorted(set(labels))
-    target = np.array([names.index(x) for x in labels])
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for data, offsets in text_batches(texts, PORTION_BYTES):
-        bucket, owner = _features(data, offsets, settings)
-        order = np.lexsort((bucket, owner))
-        bucket, owner = bucket[order], owner[order]
-        starts = run_starts(owner, bucket)
-        counts = np.diff(np.append(starts, len(owner)))
-        edges = np.searchsorted(owner[starts], np.arange(len(offsets)))
-        rows += [(bucket[starts[a:b]].astype(np.int32), (counts[a:b] / counts[a:b].sum()).astype(np.float32)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    number = {name: i for i, name in enumerate(names)}
+    target = np.array([number[x] for x in labels])
+    raw = [t.encode() for t in texts.to_pylist()]
+    rows, seen = [], []
+    for text in raw:
+        hashes, _, grams = _features(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), settings.grams)
+        bucket, counts = np.unique(_places(hashes, settings.buckets), return_counts=True)
+        rows.append((bucket, (counts / max(1, counts.sum())).astype(np.float32)))
+        seen.append(np.unique(_places(hashes[:grams] >> np.uint64(20), settings.known)))
     random = np.random.default_rng(settings.seed)
     place = random.permutation(len(rows))
     held, learn = place[: len(rows) // 5], place[len(rows) // 5 :]
@@ -175,40 +202,64 @@ def train(texts: pa.Array, labels: list[str], settings: LanguageSettings) -> Lan
             bias -= rate * error
             # The mean spreads the step thinly over many rows; scaling by their number keeps them learning at the output's pace.
             embed[bucket] -= rate * np.float32(np.sqrt(len(bucket))) * np.outer(share_of, back)
-    model = LanguageModel(settings, names, embed @ out, bias.astype(np.float64))
-    _calibrate(model, [rows[i] for i in held], target[held])
+    known = np.zeros(settings.known, dtype=bool)
+    for i in learn:
+        known[seen[i]] = True
+    model = LanguageModel(settings, names, embed, out, bias.astype(np.float64), known)
+    _calibrate(model, [raw[i] for i in held], target[held])
     return model
 
 
-def _calibrate(model: LanguageModel, rows: list, target: np.ndarray) -> None:
-    use = [i for i, r in enumerate(rows) if len(r[0])]
+def _shuffled(text: bytes, random: np.random.Generator) -> bytes:
+    """The text with all its bytes but blanks in random order."""
+    out = np.frombuffer(text, dtype=np.uint8).copy()
+    solid = ~_BLANKS[out]
+    out[solid] = random.permutation(out[solid])
+    return out.tobytes()
+
+
+def _calibrate(model: LanguageModel, texts: list[bytes], target: np.ndarray) -> None:
+    def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(parts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    use = [i for i, t in enumerate(texts) if t.strip()]
     if not use:
         return
-    raw = np.stack([rows[i][1] @ model.logits[rows[i][0]] for i in use]) + model.bias
+    random = np.random.default_rng(model.settings.seed)
+    like = joined([texts[i] for i in use])
+    unlike = joined([_shuffled(texts[i], random) for i in use])
+    (own, _), (other, _) = model.raw(*like), model.raw(*unlike)
     target = target[use]
-    losses = {t: -np.log(np.maximum(_softmax(raw / t)[np.arange(len(use)), target], 1e-12)).mean() for t in np.geomspace(0.02, 20, 61)}
-    model.temperature = float(min(losses, key=losses.get))
-    found = _softmax(raw / model.temperature)
-    score, right = found.max(axis=1), found.argmax(axis=1) == target
-    order = np.argsort(-score, kind="stable")
-    precise = np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= model.settings.precision
-    last = int(np.flatnonzero(precise).max()) if precise.any() else -1
-    # All texts pass where even the last one keeps the precision.
-    model.least_score = 0.0 if last == len(order) - 1 else min(model.settings.sure, float(score[order[last + 1]]) + 1e-9)
+
+    def loss(t: float) -> float:
+        right, none = (np.log(np.maximum(_softmax(x / t), 1e-12)) for x in (own, other))
+        return -right[np.arange(len(use)), target].mean() - none.mean()
+
+    model.temperature = float(min(np.geomspace(0.001, 1000, 121), key=loss))
+    best, score = model.scores(*like)
+    score = score[best == target]  # a wrong prediction says nothing about texts that are to stay
+    _, shuffled = model.scores(*unlike)
+    if len(score):
+        most = np.quantile(shuffled, model.settings.unlike)
+        model.least_score = float(min(score.min(), most + model.settings.doubt * (score.min() - most)))
 
 
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: LanguageSettings = LanguageSettings()) -> LanguageModel:
     """A model from rows with text and label whose crc32(id as text) mod 3 is not 1."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     rows = rows.where(fold(F.col("id")) != 1)
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages).collect()}
-    if not counts:
-        return LanguageModel(settings, [], np.zeros((settings.buckets, 0)), np.zeros(0))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    labels = counts.count()
+    if not labels:
+        nothing = np.zeros((settings.buckets, settings.size), dtype=np.float32)
+        return LanguageModel(settings, [], nothing, np.zeros((settings.size, 0), dtype=np.float32), np.zeros(0), np.zeros(1, dtype=bool))
+    each = min(settings.per_language, max(5, settings.most_texts // labels))
     draw = F.pmod(F.xxhash64("id", F.lit(settings.seed)), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (draw < int(min(1.0, settings.per_language / n) * (1 << 30))))
-    sample = rows.where(chosen).select("id", "lang", "text").orderBy("id", "lang", "text").toArrow()
+    chosen = rows.join(counts, "lang").where(draw < F.least(F.lit(1.0), each / F.col("n")) * (1 << 30))
+    # Excerpts from anywhere in a text.
+    spare = F.greatest(F.length("text") - settings.sample_chars, F.lit(0))
+    excerpt = F.substring("text", (F.pmod(F.xxhash64("id", F.lit(settings.seed + 1)), spare + 1) + 1).cast("int"), F.lit(settings.sample_chars))
+    sample = chosen.select("id", "lang", excerpt.alias("text")).orderBy("id", "lang", "text").toArrow()
     return train(sample.column("text").combine_chunks(), sample.column("lang").to_pylist(), settings)
 
 

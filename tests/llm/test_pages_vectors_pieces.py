@@ -244,7 +244,7 @@ def test_pipeline(spark):
     from tests.llm.test_text_operators import near_components
 
     letters = [(i, r.text) for i, r in docs.items() if any(c.isalpha() for c in r.text or "")]
-    assert {r.doc_id for r in out} == {i for i, _, _, kept in near_components(letters) if kept}
+    assert {r.doc_id for r in out} == {i for i, _, _, kept in near_components(letters, 5) if kept}
 
 
 def test_mix_survives_files(spark, tmp_path):

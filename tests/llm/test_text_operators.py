@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from pulseframe.llm.brown_lm import BrownSettings, brown_scores, exchange
-from pulseframe.llm.language_id import fit_language_model, predict_languages
+from pulseframe.llm.language_id import LanguageSettings, fit_language_model, predict_languages
 from pulseframe.llm.minhash_dedup import JoinSettings, components, near_duplicate_components, without_near_duplicates
 from pulseframe.llm.secret_scan import randomness, secret_report, spans_of
 from pulseframe.llm.source_mix import MixSettings, mix_positions, mixed, period, phases, rounded_weights
@@ -100,9 +100,9 @@ def shingles(text, k=4):
     return frozenset(tuple(w[p : p + k]) for p in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def near_components(rows):
+def near_components(rows, k=4):
     """component_id and kept by row, over all pairs."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, k) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -279,6 +279,65 @@ def test_languages(spark, odd):
         assert (r.lang_pred == "und") == no_letter and (not no_letter or (r.score == 0 and not r.accepted))
 
 
+def naive_scores(model, text):
+    """(language, score) of a text by loops over its bytes and words."""
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+        return x ^ (x >> 31)
+
+    low = [32 if b in b" \t\n\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+    hashes = []
+    for n in model.settings.grams:
+        for i in range(len(low) - n + 1):
+            g = low[i : i + n]
+            if 32 not in g[1:-1] and not (g[0] == g[-1] == 32):
+                hashes.append(mixed((int.from_bytes(bytes(g), "big") * 5 + n) % 2**64))
+    known = sum(bool(model.seen[(h >> 20) % len(model.seen)]) for h in hashes)
+    familiar = (known + model.settings.prior) / (len(hashes) + model.settings.prior)
+    for word in text.encode().split():
+        _, _, one = next(text_chunks(pa.array([word.decode()])))
+        hashes.append(mixed((int(one.hashes(lower=True)[0]) + 1) % 2**64))
+    mean = sum(model.embed[h % model.settings.buckets].astype(float) for h in hashes) / max(1, len(hashes))
+    logits = [float(x) / model.temperature for x in mean @ model.out.astype(float) + model.bias]
+    top = max(logits)
+    return model.names[logits.index(top)], familiar / sum(math.exp(x - top) for x in logits)
+
+
+def test_scores_equal_loops(odd, given):
+    model = fit_language_model(given)
+    for frame in (odd.where("doc_id NOT IN (4, 5)"), given.limit(40)):
+        texts = dict(pairs(frame))
+        for r in predict_languages(frame, model).collect():
+            if r.lang_pred != "und" and len(texts[r.doc_id]) < 3000:
+                lang, score = naive_scores(model, texts[r.doc_id])
+                assert r.lang_pred == lang and math.isclose(r.score, score, rel_tol=1e-3) and r.accepted == (r.score >= model.least_score)
+
+
+def test_foreign_texts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = fit_language_model(docs)
+    foreign = ["Это обычное русское предложение, которое ни на что не похоже.", "これは日本語の文章です。長い文章もあります。", "xq zzkw qqj vvpl", "aaaa", "Dzień dobry, nazywam się Jan i mieszkam w Polsce od wielu lat."]
+    found = predict_languages(spark.createDataFrame([(i, t) for i, t in enumerate(foreign)], "doc_id long, text string"), model).collect()
+    assert not any(r.accepted for r in found) and all(r.lang_pred in model.names for r in found)
+    kept = [r.accepted for r in predict_languages(docs, model).collect() if r.lang_pred != "und"]
+    assert sum(kept) >= 0.999 * len(kept)
+    # A language that was not learned
+    model = fit_language_model(docs.where("lang <> 'de'"))
+    assert set(model.names) == {"en", "es", "fr"}
+    long = predict_languages(docs.where("lang = 'de' AND length(text) > 300"), model).collect()
+    assert sum(not r.accepted for r in long) / len(long) > 0.5
+
+
+def test_every_label_is_learned(spark):
+    rows = [(k, " ".join(f"{chr(97 + k % 26)}{chr(97 + k % 130 // 26)}{w}" for w in ("ab", "ce", "do", "ip")), f"l{k % 130}") for k in range(1_300)]
+    model = fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), settings=LanguageSettings(epochs=60))
+    assert len(model.names) == 130 and model.weights is not None
+    found = predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id % 130}" for r in found) > 0.8 * len(rows)
+
+
 def test_languages_without_labels(spark, odd):
     model = fit_language_model(odd.where("lang IS NULL"))
     assert {(r.lang_pred, r.score) for r in predict_languages(odd, model).collect()} == {("und", 0.0)}
@@ -325,7 +384,7 @@ def test_battery():
     hits = [s for s in made if any(k == "random" for k, _, _ in spans_of(f"words before {s} and after"))]
     assert len(hits) > 190
     assert sum(randomness(s) < 0.05 for s in made) < 30
-    ordinary = " ".join("".join(draw.choice(["tion", "er", "th", "ing", "ly"]) for _ in range(6)) for _ in range(300)) + " SomeCamelCaseIdentifierName AAAAAAAAAAAAAAAAAAAAAAAA a1a1a1a1a1a1a1a1a1a1a1a1a1a1a1a1zz"
+    ordinary = " ".join("".join(draw.choice(["tion", "er", "th", "ing", "ly"]) for _ in range(6)) for _ in range(300)) + " SomeCamelCaseIdentifierName AAAAAAAAAAAAAAAAAAAAAAAA z1z1z1z1z1z1z1z1z1z1z1z1z1z1z1z1zz"
     assert spans_of(ordinary) == []
 
 
