@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm.frames import checkpointed
 from pulseframe.llm.language_id import fit_language_model
-from pulseframe.llm.minhash_dedup import without_near_duplicates
+from pulseframe.llm.minhash_dedup import JoinSettings, without_near_duplicates
 from pulseframe.llm.piece_codec import encoded, read_model
 from pulseframe.llm.secret_scan import redacted, secrets
 from pulseframe.llm.source_mix import mixed, numbered
@@ -25,8 +25,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest id."""
-    return without_near_duplicates(docs)
+    """One document of each group of near duplicates (runs of five words, similarity 0.8), the one of the smallest id."""
+    return without_near_duplicates(docs, settings=JoinSettings(shingle=5))
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
