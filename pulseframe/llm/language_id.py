@@ -33,6 +33,8 @@ from pulseframe.llm.words import find_words, lowered, mix64, text_batches
 UNKNOWN = "und"
 #: Text whose features are found at once: each byte has several, of 16 bytes each.
 PORTION_BYTES = 300_000
+#: Labels whose counts may be broadcast: about 40 bytes each, so 2 MB at most.
+_BROADCAST_LABELS = 50_000
 _BLANKS = np.zeros(256, dtype=bool)
 _BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 _LETTERS = np.zeros(256, dtype=bool)
@@ -255,6 +257,8 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return LanguageModel(settings, [], nothing, np.zeros((settings.size, 0), dtype=np.float32), np.zeros(0), np.zeros(1, dtype=bool))
     each = min(settings.per_language, max(5, settings.most_texts // labels))
     draw = F.pmod(F.xxhash64("id", F.lit(settings.seed)), F.lit(1 << 30))
+    if labels <= _BROADCAST_LABELS:
+        counts = F.broadcast(counts)
     chosen = rows.join(counts, "lang").where(draw < F.least(F.lit(1.0), each / F.col("n")) * (1 << 30))
     # Excerpts from anywhere in a text.
     spare = F.greatest(F.length("text") - settings.sample_chars, F.lit(0))

@@ -164,23 +164,31 @@ def secrets(text: Column) -> Column:
     return F.arrow_udf(_secrets, "array<struct<kind: string, start: int, stop: int>>")(text)
 
 
-def _redacted(text: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for t, found in zip(text.to_pylist(), spans.to_pylist(), strict=True):
-        if found:
-            parts, at = [], 0
-            for span in found:
-                if span["stop"] > at:
-                    parts += [t[at : max(at, span["start"])], "[secret]" if span["start"] >= at else ""]
-                    at = span["stop"]
-            t = "".join(parts) + t[at:]
-        out.append(t)
-    return pa.array(out, type=pa.string())
-
-
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span (overlapping ones together) replaced by [secret]."""
-    return F.arrow_udf(_redacted, "string")(text, spans)
+def _redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
+    parts, at = [], 0
+    for _, start, stop in spans:
+        if stop > at:
+            parts += [text[at : max(at, start)], "[secret]" if start >= at else ""]
+            at = stop
+    return "".join(parts) + text[at:]
+
+
+def _without_secrets(column: pa.Array) -> pa.Array:
+    found, texts, at = [], column.to_pylist(), 0
+    for data, offsets in text_batches(column):
+        for i, may in enumerate(_may_have(data, offsets).tolist(), at):
+            spans = spans_of(texts[i]) if may else []
+            found.append(bool(spans))
+            if spans:
+                texts[i] = _redacted(texts[i], spans)
+        at += len(offsets) - 1
+    return pa.StructArray.from_arrays([pa.array(found, pa.bool_()), pa.array(texts, pa.string())], names=["found", "text"])
+
+
+def without_secrets(text: Column) -> Column:
+    """struct<found: boolean, text: string>: whether a text has a span, and the text with each span (overlapping ones together) replaced by
+    [secret]. A null text stays null."""
+    return F.arrow_udf(_without_secrets, "struct<found: boolean, text: string>")(text)
 
 
 def _count(kind: str) -> Column:
