@@ -14,7 +14,7 @@ from pulseframe.llm.frames import checkpointed
 from pulseframe.llm.language_id import fit_language_model
 from pulseframe.llm.minhash_dedup import JoinSettings, without_near_duplicates
 from pulseframe.llm.piece_codec import encoded, read_model
-from pulseframe.llm.secret_scan import redacted, secrets
+from pulseframe.llm.secret_scan import without_secrets
 from pulseframe.llm.source_mix import mixed, numbered
 
 
@@ -31,10 +31,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by [secret] and n_chars counted anew where the text has changed."""
-    rows = docs.select(F.struct("*").alias("row"), secrets(F.col("text")).alias("spans"))
-    found = F.size("spans") > 0
-    rows = rows.select("row", found.alias("found"), redacted(F.col("row.text"), F.col("spans")).alias("clean"))
-    changed = {"text": F.col("clean"), "n_chars": F.when(F.col("found"), F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))}
+    rows = docs.select(F.struct("*").alias("row"), without_secrets(F.col("text")).alias("clean"))
+    changed = {"text": F.col("clean.text"), "n_chars": F.when(F.col("clean.found"), F.length("clean.text").cast("long")).otherwise(F.col("row.n_chars"))}
     return rows.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
