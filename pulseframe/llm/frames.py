@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -40,6 +41,14 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return session.read.schema(frame.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give memory that Python workers no longer use back to the system; an executor keeps its workers from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    library = ctypes.CDLL(None)
+    if hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
+
+
 def binary(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseframe.llm.frames import release_memory
 from pulseframe.llm.words import find_words, lowered, mix64, text_batches
 
 UNKNOWN = "und"
@@ -149,6 +150,7 @@ class LanguageModel:
                 langs += names[best].tolist()
                 scores.append(score)
             score = np.concatenate(scores) if scores else np.zeros(0)
+            release_memory()
             accepted = (score >= model.least_score) & (np.array(langs, dtype=object) != UNKNOWN)
             return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(score), pa.array(accepted.astype(bool))], names=["lang", "score", "accepted"])
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseframe.llm.frames import batch, binary, checkpointed, run_starts
+from pulseframe.llm.frames import batch, binary, checkpointed, release_memory, run_starts
 from pulseframe.llm.words import grams, mix64, text_chunks, whole_grams
 
 
@@ -124,6 +124,7 @@ def _sketch(settings: JoinSettings):
                     for i in range(settings.coordinates):
                         tokens[text[starts], i] = mix64(np.minimum.reduceat(found * _ODD[i], starts)).astype(np.uint32)
                 yield batch(_SETS, rows.column("id")[a:b], rows.column("text_hash")[a:b], sizes, [binary(k) for k in keys], _lists(tokens.view(np.int32)))
+            release_memory()
 
     return run
 
@@ -178,6 +179,7 @@ def _full_sets(settings: JoinSettings):
                 edges = np.searchsorted(text, np.arange(b - a + 1))
                 items = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(found.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([rows.column("id")[a:b], pa.array([binary(k) for k in keys], pa.binary()), items], schema=schema)
+            release_memory()
 
     return run
 
@@ -326,6 +328,7 @@ def _block_links(settings: JoinSettings):
                 hits = np.flatnonzero((100 * common >= settings.percent * (len(own) + sizes - common)) & (other_of != number[root]))
                 _, first = np.unique(other_of[hits], return_index=True)
                 found += [(max(name, other_names[j]), min(name, other_names[j])) for j in hits[first].tolist()]
+        release_memory()
         columns = [[{"id": m[0], "key": m[1]} for m in c] for c in zip(*found, strict=True)] if found else [[], []]
         return pa.table([pa.array(c, type=member) for c in columns], schema=schema)
 

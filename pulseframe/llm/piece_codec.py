@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseframe.llm.frames import release_memory
 from pulseframe.llm.words import Words, find_runs, mix64, text_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -413,6 +414,7 @@ def encoded(text: Column, model: PieceModel) -> Column:
             same = pc.equal(decode_column(state["encoder"].model, pieces), texts.cast(pa.string())).fill_null(True)
             out[0].append(pieces)
             out[1].append(same)
+        release_memory()
         arrays = [pa.concat_arrays(o) if o else pa.array([], type=t) for o, t in zip(out, (pa.list_(pa.int32()), pa.bool_()), strict=True)]
         return pa.StructArray.from_arrays(arrays, names=["pieces", "round_trip"])
 
