@@ -14,12 +14,13 @@ MIN_SAMPLES = 3
 LAGS = (0, 1)
 
 
-def with_next_row(overview: DataFrame) -> DataFrame:
+def with_next_row(overview: DataFrame, *more: str) -> DataFrame:
     """Add ``next_<metric>``: the value on the user's next recorded day."""
     ahead = Window.partitionBy(USER).orderBy("day")
     return overview.select(
         USER,
         "day",
+        *more,
         *CORRELATED_METRICS,
         *[F.lead(metric, 1).over(ahead).alias(f"next_{metric}") for metric in CORRELATED_METRICS],
     )
@@ -28,9 +29,11 @@ def with_next_row(overview: DataFrame) -> DataFrame:
 PAIRS = [(first, second, lag) for first, second in combinations(CORRELATED_METRICS, 2) for lag in LAGS]
 
 
-def pair_samples(overview: DataFrame) -> DataFrame:
+def pair_samples(overview: DataFrame, fresh: str | None = None) -> DataFrame:
     """One row (user, pair, x, y) per day and pair where both values are present.
 
+    ``fresh`` names a boolean column: then only samples that end on a row where it holds are taken.
+
     ``pair`` is the place in ``PAIRS``: grouping by a number is far cheaper than by two names. The
     fan-out is a fixed 42 per day, combined again before any shuffle; rows of one user already share
     a partition here, so the aggregation above it needs no further exchange.
@@ -39,7 +42,14 @@ def pair_samples(overview: DataFrame) -> DataFrame:
         F.struct(F.lit(place).alias("pair"), F.col(first).alias("x"), F.col(f"next_{second}" if lag else second).alias("y"))
         for place, (first, second, lag) in enumerate(PAIRS)
     ]
-    fanned = with_next_row(overview).select(USER, F.inline(F.array(*samples)))
+    rows = with_next_row(overview, *([fresh] if fresh else []))
+    if fresh:
+        ends = F.lead(fresh, 1).over(Window.partitionBy(USER).orderBy("day"))
+        rows = rows.withColumn("next_fresh", F.coalesce(ends, F.lit(False)))
+        taken = F.array(*[F.col("next_fresh") if lag else F.col(fresh) for _, _, lag in PAIRS])
+        fanned = rows.select(USER, taken.alias("taken"), F.inline(F.array(*samples)))
+        return fanned.where(F.get("taken", F.col("pair")) & F.col("x").isNotNull() & F.col("y").isNotNull()).drop("taken")
+    fanned = rows.select(USER, F.inline(F.array(*samples)))
     return fanned.where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 

@@ -1,3 +1,4 @@
+from pulseframe.plans.incremental import IncrementalTables
 from pulseframe.plans.narrative import chat_context, insight_payload, user_stats
 from pulseframe.plans.read_models import (
     correlation_payload,
@@ -13,6 +14,7 @@ from pulseframe.plans.store import EventStore
 
 __all__ = [
     "EventStore",
+    "IncrementalTables",
     "chat_context",
     "correlation_payload",
     "dataset_profile",

@@ -3,10 +3,14 @@
 Every import lives in a folder of its own named by its id, and is written with ``overwrite``: doing
 the same import again after a lost driver replaces the half-done one and counts nothing twice. The
 audit row comes last.
+
+Overview and pairs are written to a new folder each time, and readers find the current folders in one small file. A refresh writes both and
+then replaces that file, so readers see the old pair or the new one, also if a refresh is stopped halfway.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseframe import schema
+from pulseframe.files import delete_folders, read_small_file, replace_small_file
 from pulseframe.operators.correlation import at_lag, correlation_pairs
 from pulseframe.operators.daily import daily_partials, finish_partials, merge_partials
 from pulseframe.operators.overview import overview_from_wide
 from pulseframe.operators.ranking import latest_user, pair_order, users
 from pulseframe.schema import USER
+from pulseframe.session import scratch
 from pulseframe.sources.loader import parse_files, sample_files
 
 BY_IMPORT: dict[str, T.StructType] = {
@@ -40,18 +46,23 @@ class EventStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
-        for table, kind in {**BY_IMPORT, **DERIVED}.items():
-            empty = spark.createDataFrame([], kind).write.mode("ignore")
-            if table in BY_IMPORT:
-                empty = empty.partitionBy(*[name for name in ("import_id", "rejected") if name in kind.names])
-            empty.parquet(self._path(table))
+        for table, kind in BY_IMPORT.items():
+            folders = [name for name in ("import_id", "rejected") if name in kind.names]
+            spark.createDataFrame([], kind).write.mode("ignore").partitionBy(*folders).parquet(self._path(table))
 
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
     def _read(self, table: str) -> DataFrame:
-        kind = {**BY_IMPORT, **DERIVED}[table]
-        return self.spark.read.schema(kind).parquet(self._path(table))
+        if table in BY_IMPORT:
+            return self.spark.read.schema(BY_IMPORT[table]).parquet(self._path(table))
+        folder = self._current().get(table)
+        return self.spark.read.schema(DERIVED[table]).parquet(folder) if folder else self.spark.createDataFrame([], DERIVED[table])
+
+    def _current(self) -> dict[str, str]:
+        """Folders of the derived tables, as the pointer names them."""
+        versions = read_small_file(self.spark, self._path("derived/current.json"))
+        return {table: f"{self._path('derived')}/{version}/{table}" for table, version in json.loads(versions or "{}").items()}
 
     def _write_import(self, frame: DataFrame, table: str, import_id: str, *folders: str) -> str:
         """Write one import's folder. A bloom filter lets a user filter skip row groups."""
@@ -64,13 +75,20 @@ class EventStore:
 
     # ---- imports ---------------------------------------------------------------------------
 
-    def append_events(self, events: DataFrame, source: str, file_count: int, import_id: str | None = None) -> dict:
+    def append_events(self, events: DataFrame, source: str, file_count: int, import_id: str | None = None, skip_known: bool = False) -> dict:
         """Add events under a fresh import id and return the audit row; no usable event is an error.
 
         Rows with a ``reject_reason`` go to a folder of their own in the same write, so the input is
-        parsed once. Counts and day totals are taken from the written files.
+        parsed once. Counts and day totals are taken from the written files. With ``skip_known``, events
+        that an earlier import or the same one holds already are left out; if none is new, nothing is
+        written and the audit row counts 0.
         """
         import_id = import_id or str(uuid.uuid4())
+        if skip_known:
+            given = self._staged(events)
+            events = self._unknown(given, import_id)
+            if events.isEmpty() and not given.isEmpty():
+                return {"import_id": import_id, "source": source, "file_count": file_count, "record_count": 0, "user_count": 0, "created_at": None}
         reason = F.col("reject_reason") if "reject_reason" in events.columns else F.lit(None).cast("string").alias("reject_reason")
         stamped = events.select(
             *schema.EVENT_COLUMNS, reason, F.current_timestamp().alias("ingested_at"), reason.isNotNull().alias("rejected")
@@ -94,9 +112,23 @@ class EventStore:
         self._write_import(self.spark.createDataFrame([row], audit.schema), "import_runs", import_id)
         return {"import_id": import_id, **row.asDict()}
 
-    def import_files(self, paths: list[str], source: str, import_id: str | None = None, strict: bool = True) -> dict:
+    def _staged(self, frame: DataFrame) -> DataFrame:
+        path = scratch(self.spark, "delivery")
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def _unknown(self, events: DataFrame, import_id: str) -> DataFrame:
+        """Events, each once, that no other import holds. Events are compared by two hashes of all their columns; of the earlier ones only
+        those in the delivery's span of time are read, which row groups are sorted by."""
+        mark = [F.xxhash64(F.lit(seed), *schema.EVENT_COLUMNS).alias(f"mark_{seed}") for seed in (1, 2)]
+        names = [f"mark_{seed}" for seed in (1, 2)]
+        span = events.agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).first()
+        known = self.raw_events().where(F.col("import_id") != import_id).where(F.col("timestamp").between(F.lit(span.first), F.lit(span.last)))
+        return events.select("*", *mark).dropDuplicates(names).join(known.select(*mark), names, "left_anti").drop(*names)
+
+    def import_files(self, paths: list[str], source: str, import_id: str | None = None, strict: bool = True, skip_known: bool = False) -> dict:
         """Parse files of one source, append the usable rows and set the others aside."""
-        return self.append_events(parse_files(self.spark, paths, source, strict), source, len(paths), import_id)
+        return self.append_events(parse_files(self.spark, paths, source, strict), source, len(paths), import_id, skip_known)
 
     def bootstrap_sample(self, folder: str) -> dict | None:
         """Load the tracker sample files into an empty store; otherwise do nothing."""
@@ -112,22 +144,38 @@ class EventStore:
     # ---- derived tables --------------------------------------------------------------------
 
     def refresh(self, rebuild: bool = False) -> None:
-        """Replace overview and pairs. ``rebuild`` goes back to the raw events; the day totals of all
+        """Replace overview and pairs together. ``rebuild`` goes back to the raw events; the day totals of all
         imports give the same result from far fewer bytes."""
         totals = daily_partials(self.raw_events()) if rebuild else merge_partials(self.day_totals())
-        self.replace_overview(overview_from_wide(finish_partials(totals)))
-        self.replace_pairs(correlation_pairs(self.overview()))
-
-    def _replace(self, frame: DataFrame, table: str) -> None:
-        names = [field.name for field in DERIVED[table].fields]
-        stamped = frame.withColumn("updated_at", F.current_timestamp()).select(*names)
-        stamped.write.mode("overwrite").option(f"parquet.bloom.filter.enabled#{USER}", "true").parquet(self._path(table))
+        version = uuid.uuid4().hex
+        overview = self._write_derived(overview_from_wide(finish_partials(totals)), "overview_daily", version)
+        self._write_derived(correlation_pairs(overview), "correlation_pairs", version)
+        self._switch(version, *DERIVED)
+
+    def _write_derived(self, frame: DataFrame, table: str, version: str) -> DataFrame:
+        """Write one version of a table, which nothing points to yet, and read it back."""
+        kind, path = DERIVED[table], f"{self._path('derived')}/{version}/{table}"
+        stamped = frame.withColumn("updated_at", F.current_timestamp()).select(*kind.fieldNames())
+        stamped.write.option(f"parquet.bloom.filter.enabled#{USER}", "true").parquet(path)
+        return self.spark.read.schema(kind).parquet(path)
+
+    def _switch(self, version: str, *tables: str) -> None:
+        """Make a version of these tables current. The one before stays for those who read it; older ones go."""
+        pointer = self._path("derived/current.json")
+        before = json.loads(read_small_file(self.spark, pointer) or "{}")
+        after = {**before, **dict.fromkeys(tables, version)}
+        replace_small_file(self.spark, pointer, json.dumps(after))
+        delete_folders(self.spark, self._path("derived"), keep={*before.values(), *after.values()})
 
     def replace_overview(self, overview: DataFrame) -> None:
-        self._replace(overview, "overview_daily")
+        version = uuid.uuid4().hex
+        self._write_derived(overview, "overview_daily", version)
+        self._switch(version, "overview_daily")
 
     def replace_pairs(self, pairs: DataFrame) -> None:
-        self._replace(pairs, "correlation_pairs")
+        version = uuid.uuid4().hex
+        self._write_derived(pairs, "correlation_pairs", version)
+        self._switch(version, "correlation_pairs")
 
     # ---- scans -----------------------------------------------------------------------------
 

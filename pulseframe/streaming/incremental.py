@@ -8,6 +8,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseframe.plans.incremental import IncrementalTables
 from pulseframe.plans.store import EventStore, NoUsableEvents
 from pulseframe.sources.infer import classify_files
 
@@ -15,9 +16,17 @@ FILE_DDL = "path string, modificationTime timestamp, length long, content binary
 
 
 def import_new_files(
-    spark: SparkSession, landing: str, store: EventStore, checkpoint: str, files_per_batch: int = 1000, refresh: bool = True
+    spark: SparkSession,
+    landing: str,
+    store: EventStore,
+    checkpoint: str,
+    files_per_batch: int = 1000,
+    refresh: bool = True,
+    tables: IncrementalTables | None = None,
+    skip_known: bool = False,
 ) -> None:
-    """Import every file not seen before, then refresh the derived tables once.
+    """Import every file not seen before, then refresh the derived tables once: those in ``tables`` by what the new files change, if given, or
+    else those of the store. With ``skip_known``, events that the store holds already are left out.
 
     The stream carries file names only; each micro-batch reads its files with the batch readers, one
     import per vendor. The import id follows from checkpoint, batch and vendor, so a batch repeated
@@ -33,7 +42,7 @@ def import_new_files(
         for source, paths in sorted(by_source.items()):
             import_id = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{checkpoint}/{batch_id}/{source}"))
             try:
-                store.import_files(sorted(paths), source, import_id, strict=False)
+                store.import_files(sorted(paths), source, import_id, strict=False, skip_known=skip_known)
             except NoUsableEvents:
                 continue
 
@@ -53,4 +62,4 @@ def import_new_files(
     )
     query.awaitTermination()
     if refresh:
-        store.refresh()
+        (tables or store).refresh()

@@ -234,6 +234,8 @@ def _sources() -> dict[str, str]:
       GROUP BY 1, 2)"""
     return {
         "s1_apple": _vendor_rows("apple", "record_type", "source_name"),
+        "s1_apple_files": _vendor_rows("apple", "record_type", "source_name"),
+        "s1_apple_asleep": _vendor_rows("apple", "record_type", "source_name") + " AND (metric <> 'sleep_minutes' OR source_user_id LIKE 'watch-%')",
         "s2_fitbit_activity": _vendor_rows("activity", "column"),
         "s3_fitbit_sleep": _vendor_rows("sleep", "column"),
         "s4_google": _vendor_rows("google", "data_type_name"),
@@ -282,6 +284,10 @@ def _store() -> dict[str, str]:
         "a7_import_users": f"""{FULL}SELECT DISTINCT 'activity_log' AS source, source_user_id FROM canon
             UNION ALL SELECT DISTINCT 'second_log', source_user_id FROM canon WHERE metric = 'hrv'""",
         "t1_incremental_import": f"{FULL}SELECT {OVERVIEW_OUT} FROM overview",
+        "t2_incremental_overview": f"{FULL}SELECT {OVERVIEW_OUT} FROM overview",
+        "t2_incremental_pairs": f"{FULL}SELECT {PAIR_OUT} FROM pairs",
+        "t1_repeated_delivery": f"""{FULL}, once AS (SELECT DISTINCT * FROM canon), parts AS (SELECT extract(hour FROM "timestamp") < 12 AS early, * FROM once)
+            SELECT 'activity_log' AS source, count(*) AS record_count, count(DISTINCT source_user_id) AS user_count FROM parts GROUP BY early""",
         "t2_refresh": f"""{FULL}, days AS (SELECT source_user_id, count(*) AS days, {r('sum(health_score)', 'score')},
             count(*) FILTER (WHERE {' OR '.join(FLAGS)}) AS anomalies FROM overview GROUP BY 1),
             found AS (SELECT source_user_id, count(*) AS pairs, CAST(sum(sample_size) AS BIGINT) AS samples FROM pairs GROUP BY 1)

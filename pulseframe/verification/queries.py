@@ -41,6 +41,7 @@ from pulseframe.operators.correlation import at_lag, matrix_wide, pair_names, wi
 from pulseframe.operators.rolling import rolling_stats
 from pulseframe.plans import (
     EventStore,
+    IncrementalTables,
     chat_context,
     correlation_payload,
     dataset_profile,
@@ -59,7 +60,7 @@ from pulseframe.plans.store import load_sample_overview
 from pulseframe.schema import ANOMALY_FLAGS, CORRELATED_METRICS, EVENT_COLUMNS, ROLLING_METRICS, TREND_METRICS, USER, WIDE_METRICS
 from pulseframe.session import scratch
 from pulseframe.sources import accepted, activity_events, classify_uploads, load_events, rejected
-from pulseframe.sources.apple import apple_events
+from pulseframe.sources.apple import apple_events, read_apple
 from pulseframe.sources.canonical import computed_once
 from pulseframe.sources.fitbit import activity_events as fitbit_activity_events
 from pulseframe.sources.fitbit import sleep_events as fitbit_sleep_events
@@ -117,6 +118,23 @@ def s1_apple(spark: SparkSession, folder: str) -> DataFrame:
     return _with_metadata(accepted(apple_events(_rows(shapes.apple_records, spark, folder))), "record_type", "source_name")
 
 
+def s1_apple_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Exports written as XML, each tenth record once more inside a group, read back in splits."""
+    records = _rows(shapes.apple_records, spark, folder)
+    path = f"{scratch(spark, 'xml')}/exports"
+    shapes.xml_lines(records).write.text(path)
+    return _with_metadata(accepted(apple_events(read_apple(spark, [path]))), "record_type", "source_name")
+
+
+def s1_apple_asleep(spark: SparkSession, folder: str) -> DataFrame:
+    """Only sleep that is marked as such; here watches tell it apart and phones record time in bed."""
+    records = _rows(shapes.apple_records, spark, folder)
+    stage = F.when(F.col("_device").isNull(), "HKCategoryValueSleepAnalysisInBed").otherwise("HKCategoryValueSleepAnalysisAsleepCore")
+    sleep = F.col("_type") == "HKCategoryTypeIdentifierSleepAnalysis"
+    records = records.withColumn("_value", F.when(sleep, stage).otherwise(F.col("_value")))
+    return _with_metadata(accepted(apple_events(records, asleep_only=True)), "record_type", "source_name")
+
+
 def s2_fitbit_activity(spark: SparkSession, folder: str) -> DataFrame:
     return _with_metadata(accepted(fitbit_activity_events(_rows(shapes.fitbit_activity, spark, folder))), "column")
 
@@ -657,6 +675,33 @@ def t2_refresh(spark: SparkSession, folder: str) -> DataFrame:
     return days.join(pairs, USER, "left")
 
 
+def _delivered(spark: SparkSession, folder: str) -> IncrementalTables:
+    """The log in two deliveries with a refresh after each: later months go on, and heart rate variability comes late for earlier ones."""
+    store, events = EventStore(spark, scratch(spark, "deliveries")), _events(spark, folder)
+    tables = IncrementalTables(store, parts=8)
+    first = (F.dayofyear("timestamp") <= 180) & (F.col("metric") != "hrv")
+    for part in (events.where(first), events.where(~first)):
+        store.append_events(part, "activity_log", 1)
+        tables.refresh()
+    return tables
+
+
+def t2_incremental_overview(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded_overview(_delivered(spark, folder).overview()).drop("updated_at")
+
+
+def t2_incremental_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return _delivered(spark, folder).pairs().withColumns(places("correlation"))
+
+
+def t1_repeated_delivery(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the log, then all of it: events that are known already are left out."""
+    store, events = EventStore(spark, scratch(spark, "repeated")), _events(spark, folder).distinct()
+    for part in (events.where(F.hour("timestamp") < 12), events, events):
+        store.append_events(part, "activity_log", 1, skip_known=True)
+    return store.import_runs().select("source", "record_count", "user_count")
+
+
 def all_queries() -> dict[str, Query]:
     """Every function above whose name starts with an operator id."""
     groups = "skfawoucrt"

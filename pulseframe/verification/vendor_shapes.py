@@ -54,6 +54,14 @@ def apple_records(log: DataFrame) -> DataFrame:
     )
 
 
+def xml_lines(records: DataFrame) -> DataFrame:
+    """Lines of an export: a tag per record, a tenth of them in a group as well."""
+    attributes = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f'{c[1:]}="'), F.col(c), F.lit('"'))) for c in records.columns]
+    tag = F.concat(F.lit("<Record "), F.concat_ws(" ", *attributes), F.lit("/>"))
+    grouped = F.concat(F.lit('<Correlation type="group">'), tag, F.lit("</Correlation>"), tag)
+    return records.select(F.when(F.pmod(F.xxhash64("*"), F.lit(10)) == 0, grouped).otherwise(tag).alias("value"))
+
+
 def _cell(kind: str) -> Column:
     return F.when(_is(kind), F.col("value").cast("string"))
 

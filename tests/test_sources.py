@@ -116,6 +116,39 @@ XML = """<?xml version="1.0" encoding="UTF-8"?>
 """
 
 
+def test_phone_export_in_splits(spark, tmp_path):
+    """One file cut anywhere gives the rows of the whole file: many groups, tags over several lines, quotes, entities, a > in a value."""
+    kind = "HKQuantityTypeIdentifierHeartRate"
+    lines, want = ["<?xml version='1.0'?>\n<HealthData>"], []
+    for i in range(400):
+        record = f"""<Record type='{kind}' sourceName="a &amp; b > {i}"
+            unit = "count/min" value="{i}" startDate="2030-02-01 08:00:00 +0000"{'/' if i % 3 else ''}>"""
+        record += "" if i % 3 else "<MetadataEntry key='x' value='y'/></Record>"
+        if i % 7 == 2:
+            lines.append(f"<Correlation type='p>q/'>\n{record}\n{record}</Correlation><Correlation a='>'/>")
+        elif i % 7 == 5:
+            lines.append(f"<Correlation>{record}" + "<MetadataEntry key='pad' value='z'/>" * 40 + f"{record}</Correlation>\n")
+        else:
+            lines.append(record)
+            want.append((f"a & b > {i}", str(i)))
+    path = write(tmp_path / "export.xml", "\n".join([*lines, "</HealthData>"]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size in ("100m", "20k", "1500"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "10")
+            rows = read_apple(spark, [path])
+            assert sorted((r._sourceName, r._value) for r in rows.collect()) == sorted(want)
+            assert all(r._unit == "count/min" and r._device is None for r in rows.collect())
+            assert read_apple(spark, [path], nested_in=None).count() > len(want)
+            tasks = spark.read.option("lineSep", "<").text(path).rdd.getNumPartitions()
+        assert tasks > 40
+        assert "XML" not in rows._jdf.queryExecution().executedPlan().toString().replace("export.xml", "")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
 def test_phone_export(spark, tmp_path):
     path = write(tmp_path / "export.xml", XML)
     parsed = parse_files(spark, [path])

@@ -65,6 +65,43 @@ def test_refresh_from_totals_equals_rebuild(store, sample):
     assert store.pairs().drop("updated_at").orderBy("metric_a", "metric_b").collect() == pairs and len(pairs) == 6
 
 
+def test_a_stopped_refresh_leaves_the_old_tables(store, sample, tmp_path, monkeypatch):
+    paths = [f"{sample}/dailyActivity_merged.csv", f"{sample}/sleepDay_merged.csv"]
+    store.import_files(paths, "fitbit")
+    store.refresh()
+    overview, pairs = (sorted(map(str, frame.collect())) for frame in (store.overview(), store.pairs()))
+    reader = store.overview()
+    store.import_files(paths, "fitbit")
+    write = EventStore._write_derived
+
+    def stop(self, frame, table, version):
+        if table == "correlation_pairs":
+            raise KeyboardInterrupt
+        return write(self, frame, table, version)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(EventStore, "_write_derived", stop)
+        with pytest.raises(KeyboardInterrupt):
+            store.refresh()
+    assert sorted(map(str, store.overview().collect())) == overview and sorted(map(str, store.pairs().collect())) == pairs
+    store.refresh()
+    assert store.overview().first().steps != reader.first().steps  # a reader of the version before goes on
+    assert sorted(map(str, store.overview().collect())) != overview
+    folders = [f.name for f in (tmp_path / "store" / "derived").iterdir() if f.is_dir()]
+    assert len(folders) == 2  # the current version and the one before
+
+
+def test_known_events_are_skipped(store, sample, tmp_path):
+    paths = [f"{sample}/dailyActivity_merged.csv", f"{sample}/sleepDay_merged.csv"]
+    store.import_files(paths, "fitbit", skip_known=True)
+    copy = write(tmp_path / "copy" / "sleepDay_merged.csv", SLEEP)
+    assert store.import_files([copy], "fitbit", skip_known=True)["record_count"] == 0
+    assert store.import_runs().count() == 1 and store.raw_events().count() == 24
+    mixed = write(tmp_path / "more" / "notes.csv", MANUAL)
+    assert store.import_files([mixed, f"{sample}/notes.csv"], "manual", skip_known=True)["record_count"] == 3  # the same file twice at once
+    assert store.import_files([mixed], "manual", skip_known=False)["record_count"] == 3
+
+
 def test_scans(store, sample, spark):
     store.import_files([f"{sample}/dailyActivity_merged.csv", f"{sample}/sleepDay_merged.csv"], "fitbit")
     store.import_files([f"{sample}/notes.csv"], "manual")
