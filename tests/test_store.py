@@ -38,11 +38,11 @@ def test_empty_store(store):
 def test_import_twice_doubles_sums(store, sample):
     paths = [f"{sample}/dailyActivity_merged.csv", f"{sample}/sleepDay_merged.csv"]
     audit = store.import_files(paths, "fitbit")
-    assert (audit["source"], audit["file_count"], audit["record_count"], audit["user_count"]) == ("fitbit", 2, 24, 1)
+    assert (audit["source"], audit["file_count"], audit["record_count"], audit["user_count"]) == ("fitbit", 2, 32, 1)
     store.import_files(paths, "fitbit")
     store.refresh()
-    assert store.import_runs().count() == 2 and store.raw_events().count() == 48
-    assert [r.steps for r in store.overview("fitbit-user").collect()] == [20000.0, 18400.0, 17400.0]
+    assert store.import_runs().count() == 2 and store.raw_events().count() == 64
+    assert [r.steps for r in store.overview("walker-7").collect()] == [15600.0, 24800.0, 10300.0, 19800.0]
     assert store.import_users().count() == 2
 
 
@@ -51,7 +51,7 @@ def test_same_import_id_replaces(store, sample):
         store.import_files([f"{sample}/notes.csv"], "manual", import_id="again")
     store.refresh()
     assert store.raw_events().count() == 3 and store.import_runs().count() == 1
-    assert store.overview().first().steps == 6500.0
+    assert store.overview().first().steps == 7300.0
 
 
 def test_refresh_from_totals_equals_rebuild(store, sample):
@@ -62,7 +62,7 @@ def test_refresh_from_totals_equals_rebuild(store, sample):
     pairs = store.pairs().drop("updated_at").orderBy("metric_a", "metric_b").collect()
     store.refresh(rebuild=True)
     assert [r.asDict() for r in store.overview().drop("updated_at").orderBy("day").collect()] == quick
-    assert store.pairs().drop("updated_at").orderBy("metric_a", "metric_b").collect() == pairs and len(pairs) == 6
+    assert store.pairs().drop("updated_at").orderBy("metric_a", "metric_b").collect() == pairs and len(pairs) == 12
 
 
 def test_a_stopped_refresh_leaves_the_old_tables(store, sample, tmp_path, monkeypatch):
@@ -96,7 +96,7 @@ def test_known_events_are_skipped(store, sample, tmp_path):
     store.import_files(paths, "fitbit", skip_known=True)
     copy = write(tmp_path / "copy" / "sleepDay_merged.csv", SLEEP)
     assert store.import_files([copy], "fitbit", skip_known=True)["record_count"] == 0
-    assert store.import_runs().count() == 1 and store.raw_events().count() == 24
+    assert store.import_runs().count() == 1 and store.raw_events().count() == 32
     mixed = write(tmp_path / "more" / "notes.csv", MANUAL)
     assert store.import_files([mixed, f"{sample}/notes.csv"], "manual", skip_known=True)["record_count"] == 3  # the same file twice at once
     assert store.import_files([mixed], "manual", skip_known=False)["record_count"] == 3
@@ -106,13 +106,13 @@ def test_scans(store, sample, spark):
     store.import_files([f"{sample}/dailyActivity_merged.csv", f"{sample}/sleepDay_merged.csv"], "fitbit")
     store.import_files([f"{sample}/notes.csv"], "manual")
     store.refresh()
-    assert store.raw_events("manual-user").count() == 3
-    assert [r.day.day for r in store.overview("fitbit-user").collect()] == [1, 2, 3]
-    strengths = [abs(r.correlation) for r in store.pairs("fitbit-user").collect()]
+    assert store.raw_events("ada").count() == 3
+    assert [r.day.day for r in store.overview("walker-7").collect()] == [9, 10, 11, 12]
+    strengths = [abs(r.correlation) for r in store.pairs("walker-7").collect()]
     assert strengths == sorted(strengths, reverse=True)
-    assert store.pairs("fitbit-user", lag_days=1).count() == 0 and store.pairs("fitbit-user", lag_days=0).count() == 6
-    assert [r[0] for r in store.users().collect()] == ["fitbit-user", "manual-user"]
-    assert store.latest_user_overview().first().source_user_id == "manual-user"
+    assert store.pairs("walker-7", lag_days=1).count() == 6 and store.pairs("walker-7", lag_days=0).count() == 6
+    assert [r[0] for r in store.users().collect()] == ["ada", "walker-7"]
+    assert store.latest_user_overview().first().source_user_id == "ada"
 
 
 def test_no_usable_rows_is_an_error(store, tmp_path):
@@ -129,9 +129,9 @@ def test_bad_rows_are_set_aside(store, tmp_path):
 
 
 def test_bootstrap_only_into_an_empty_store(store, sample):
-    assert store.bootstrap_sample(sample)["record_count"] == 24
+    assert store.bootstrap_sample(sample)["record_count"] == 32
     assert store.bootstrap_sample(sample) is None
-    assert store.raw_events().count() == 24 and store.overview().count() == 3
+    assert store.raw_events().count() == 32 and store.overview().count() == 4
 
 
 def test_bootstrap_with_one_or_no_file(store, tmp_path, sample):
@@ -139,12 +139,12 @@ def test_bootstrap_with_one_or_no_file(store, tmp_path, sample):
     write(empty / "readme.txt", "x")
     assert store.bootstrap_sample(str(empty)) is None
     write(empty / "sleepDay_merged.csv", SLEEP)
-    assert store.bootstrap_sample(str(empty))["record_count"] == 6
+    assert store.bootstrap_sample(str(empty))["record_count"] == 8
 
 
 def test_load_sample_overview(spark, sample, tmp_path):
     overview = load_sample_overview(spark, sample, str(tmp_path / "other"))
-    assert [round(r.health_score, 3) for r in overview.collect()] == [69.792, 69.108, 61.025]
+    assert [round(r.health_score, 3) for r in overview.collect()] == [66.454, 64.25, 55.112, 70.508]
 
 
 def test_stream_picks_up_each_file_once(spark, store, tmp_path):
@@ -153,17 +153,17 @@ def test_stream_picks_up_each_file_once(spark, store, tmp_path):
     write(landing / "a" / "notes.csv", MANUAL)
     write(landing / "a" / "readme.txt", "ignored")
     import_new_files(spark, str(landing), store, checkpoint)
-    assert store.raw_events().count() == 21 and store.import_runs().count() == 2
+    assert store.raw_events().count() == 27 and store.import_runs().count() == 2
     import_new_files(spark, str(landing), store, checkpoint)
-    assert store.raw_events().count() == 21
+    assert store.raw_events().count() == 27
     write(landing / "b" / "sleepDay_merged.csv", SLEEP)
-    ring = {"user_id": "r", "activity": [{"day": "2026-04-02", "steps": 5}]}
+    ring = {"user_id": "r", "activity": [{"day": "2033-01-21", "steps": 5}]}
     write(landing / "b" / "oura.json", json.dumps(ring))
     import_new_files(spark, str(landing), store, checkpoint, files_per_batch=1)
-    assert store.raw_events().count() == 28 and store.import_runs().count() == 4
+    assert store.raw_events().count() == 36 and store.import_runs().count() == 4
     direct = load_events(spark, [str(landing / "one two" / "dailyActivity_merged.csv"), str(landing / "b" / "sleepDay_merged.csv")], "fitbit")
     want = daily_overview(direct).select("day", "health_score").orderBy("day").collect()
-    assert store.overview("fitbit-user").select("day", "health_score").collect() == want
+    assert store.overview("walker-7").select("day", "health_score").collect() == want
 
 
 def test_repeated_batch_counts_once(spark, store, tmp_path):
@@ -175,7 +175,7 @@ def test_repeated_batch_counts_once(spark, store, tmp_path):
         (checkpoint / "commits" / name).unlink()
     import_new_files(spark, str(landing), store, str(checkpoint))
     assert store.raw_events().count() == 3 and store.import_runs().count() == 1
-    assert store.overview().agg(F.sum("steps")).first()[0] == 6500.0
+    assert store.overview().agg(F.sum("steps")).first()[0] == 7300.0
 
 
 def test_unreadable_files_do_not_hold_up_the_stream(spark, store, tmp_path):
