@@ -126,7 +126,9 @@ class LanguageModel:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of the likeliest language, score) of each text."""
-        raw, familiar = self.raw(data, offsets)
+        return self.scored(*self.raw(data, offsets))
+
+    def scored(self, raw: np.ndarray, familiar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = _softmax(raw / self.temperature)
         best = found.argmax(axis=1)
         return best, found[np.arange(len(best)), best] * familiar
@@ -175,16 +177,17 @@ def train(texts: pa.Array, labels: list[str], settings: LanguageSettings) -> Lan
     names = sorted(set(labels))
     number = {name: i for i, name in enumerate(names)}
     target = np.array([number[x] for x in labels])
-    raw = [t.encode() for t in texts.to_pylist()]
-    rows, seen = [], []
-    for text in raw:
-        hashes, _, grams = _features(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), settings.grams)
-        bucket, counts = np.unique(_places(hashes, settings.buckets), return_counts=True)
-        rows.append((bucket, (counts / max(1, counts.sum())).astype(np.float32)))
-        seen.append(np.unique(_places(hashes[:grams] >> np.uint64(20), settings.known)))
     random = np.random.default_rng(settings.seed)
-    place = random.permutation(len(rows))
-    held, learn = place[: len(rows) // 5], place[len(rows) // 5 :]
+    place = random.permutation(len(texts))
+    held, learn = place[: len(texts) // 5], place[len(texts) // 5 :]
+    known = np.zeros(settings.known, dtype=bool)
+    rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for i in learn.tolist():
+        text = np.frombuffer(texts[i].as_py().encode(), dtype=np.uint8)
+        hashes, _, grams = _features(text, np.array([0, len(text)]), settings.grams)
+        bucket, counts = np.unique(_places(hashes, settings.buckets), return_counts=True)
+        rows[i] = bucket.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)
+        known[_places(hashes[:grams] >> np.uint64(20), settings.known)] = True
     share = np.bincount(target[learn], minlength=len(names))
     weight = share.sum() / np.maximum(share, 1) / len(names)  # rare labels count as much as common ones
     embed = (random.random((settings.buckets, settings.size), dtype=np.float32) - 0.5) / settings.size
@@ -206,11 +209,10 @@ def train(texts: pa.Array, labels: list[str], settings: LanguageSettings) -> Lan
             bias -= rate * error
             # The mean spreads the step thinly over many rows; scaling by their number keeps them learning at the output's pace.
             embed[bucket] -= rate * np.float32(np.sqrt(len(bucket))) * np.outer(share_of, back)
-    known = np.zeros(settings.known, dtype=bool)
-    for i in learn:
-        known[seen[i]] = True
     model = LanguageModel(settings, names, embed, out, bias.astype(np.float64), known)
-    _calibrate(model, [raw[i] for i in held], target[held])
+    rows.clear()
+    _calibrate(model, [texts[i].as_py().encode() for i in held.tolist()], target[held])
+    release_memory()
     return model
 
 
@@ -223,16 +225,23 @@ def _shuffled(text: bytes, random: np.random.Generator) -> bytes:
 
 
 def _calibrate(model: LanguageModel, texts: list[bytes], target: np.ndarray) -> None:
-    def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(b"".join(parts), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    def measured(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits and familiarity, some texts at a time."""
+        found, at = [], 0
+        ends = np.cumsum([len(p) for p in parts])
+        while at < len(parts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION_BYTES, side="right")))
+            some = parts[at:stop]
+            found.append(model.raw(np.frombuffer(b"".join(some), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in some])])))
+            at = stop
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     use = [i for i, t in enumerate(texts) if t.strip()]
     if not use:
         return
     random = np.random.default_rng(model.settings.seed)
-    like = joined([texts[i] for i in use])
-    unlike = joined([_shuffled(texts[i], random) for i in use])
-    (own, _), (other, _) = model.raw(*like), model.raw(*unlike)
+    own, familiar = measured([texts[i] for i in use])
+    other, strange = measured([_shuffled(texts[i], random) for i in use])
     target = target[use]
 
     def loss(t: float) -> float:
@@ -240,9 +249,8 @@ def _calibrate(model: LanguageModel, texts: list[bytes], target: np.ndarray) ->
         return -right[np.arange(len(use)), target].mean() - none.mean()
 
     model.temperature = float(min(np.geomspace(0.001, 1000, 121), key=loss))
-    best, score = model.scores(*like)
+    (best, score), (_, shuffled) = model.scored(own, familiar), model.scored(other, strange)
     score = score[best == target]  # a wrong prediction says nothing about texts that are to stay
-    _, shuffled = model.scores(*unlike)
     if len(score):
         most = np.quantile(shuffled, model.settings.unlike)
         model.least_score = float(min(score.min(), most + model.settings.doubt * (score.min() - most)))
