@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulseframe.llm.frames import release_memory
 from pulseframe.llm.words import find_runs, text_batches
 
 KINDS = ("assign", "access", "hex", "random")
@@ -182,6 +183,7 @@ def _without_secrets(column: pa.Array) -> pa.Array:
             if spans:
                 texts[i] = _redacted(texts[i], spans)
         at += len(offsets) - 1
+    release_memory()
     return pa.StructArray.from_arrays([pa.array(found, pa.bool_()), pa.array(texts, pa.string())], names=["found", "text"])
 
 
