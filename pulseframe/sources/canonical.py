@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.functions.numbers import real
@@ -51,12 +51,12 @@ def canonical(
     return shaped.select(*EVENT_COLUMNS, reason.alias("reject_reason"))
 
 
-def unreadable(spark: SparkSession, paths: list[str], source: str) -> DataFrame:
-    """Set-aside rows that name files without a usable header."""
-    files = spark.createDataFrame([(path,) for path in paths], "path string")
+def unreadable(files: DataFrame, source: str) -> DataFrame:
+    """Set-aside rows that name files (column ``file``, as Spark escapes names) without a usable header."""
+    name = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
     empty = {field.name: F.lit(None).cast(field.dataType).alias(field.name) for field in EVENT.fields}
     empty["source"] = F.lit(source).alias("source")
-    empty["metadata_json"] = F.to_json(F.struct(F.col("path").alias("file"))).alias("metadata_json")
+    empty["metadata_json"] = F.to_json(F.struct(name.alias("file"))).alias("metadata_json")
     return files.select(*empty.values(), F.lit("header").alias("reject_reason"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulseframe.functions.clock import us_clock
 from pulseframe.functions.numbers import blank_to_null, number
 from pulseframe.sources.canonical import canonical, lookup, unreadable, with_absent
-from pulseframe.sources.csv_files import read_by_header
+from pulseframe.sources.csv_files import NAMED_FILES, read_by_header
 from pulseframe.sources.infer import ACTIVITY_FILE, SLEEP_FILE, file_name
 
 # ---- fixed values: column -> metric and unit -----------------------------------------------
@@ -29,21 +29,17 @@ SLEEP_COLUMNS = {
 # --------------------------------------------------------------------------------------------
 
 
-def _read(spark: SparkSession, paths: list[str], date_column: str, columns: dict[str, tuple[str, str]]) -> tuple[DataFrame, list[str]]:
-    frames, headless = read_by_header(
-        spark, paths, date_column, lambda fields: F.array_contains(fields, "Id") & F.array_contains(fields, date_column)
-    )
+def _read(spark: SparkSession, paths: list[str], date_column: str, columns: dict[str, tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
     needed = ["Id", date_column, *columns]
-    empty = spark.createDataFrame([], ", ".join(f"{name} string" for name in needed))
-    return reduce(DataFrame.unionByName, [with_absent(frame, needed).select(*needed) for frame in frames] or [empty]), headless
+    return read_by_header(spark, paths, needed, date_column, lambda names: F.array_contains(names, "Id") & F.array_contains(names, date_column))
 
 
-def read_activity(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+def read_activity(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """The rows, and the files that lack the id or date column."""
     return _read(spark, paths, "ActivityDate", ACTIVITY_COLUMNS)
 
 
-def read_sleep(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+def read_sleep(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     return _read(spark, paths, "SleepDay", SLEEP_COLUMNS)
 
 
@@ -84,11 +80,13 @@ def fitbit_events(spark: SparkSession, paths: list[str], strict: bool = True) ->
         if files:
             rows, without = read(spark, files)
             parts.append(shape(rows))
-            headless += without
+            headless.append(without)
     if not parts:
         raise FileNotFoundError("a tracker import needs a daily activity or a sleep CSV file")
-    if headless and strict:
-        raise ValueError(f"no Id and date columns (ActivityDate, SleepDay) in: {', '.join(headless)}")
-    if headless:
-        parts.append(unreadable(spark, headless, "fitbit"))
+    without = reduce(DataFrame.unionByName, headless)
+    if not strict:
+        return reduce(DataFrame.unionByName, [*parts, unreadable(without, "fitbit")])
+    named = without.take(NAMED_FILES)
+    if named:
+        raise ValueError(f"no Id and date columns (ActivityDate, SleepDay) in: {', '.join(row.file for row in named)}")
     return reduce(DataFrame.unionByName, parts)

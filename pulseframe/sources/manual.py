@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulseframe.functions.clock import us_clock
 from pulseframe.functions.numbers import blank_to_null, number
 from pulseframe.sources.canonical import canonical, unreadable, with_absent
-from pulseframe.sources.csv_files import header_of, read_by_header
+from pulseframe.sources.csv_files import NAMED_FILES, header_of, read_by_header
 
 # ---- fixed values: header aliases, required columns, defaults ------------------------------
 ALIASES = {"date": "timestamp", "user_id": "source_user_id"}
@@ -36,29 +36,28 @@ def require_columns(columns: list[str]) -> None:
         raise ValueError(f"manual CSV lacks required columns: {', '.join(missing)}")
 
 
-def read_manual(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+def read_manual(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """The rows, and the files that lack a required column."""
 
-    def is_header(fields):
-        names = F.transform(fields, lambda field: F.lower(F.trim(field)))
+    def is_header(names):
+        names = F.transform(names, lambda name: F.lower(F.trim(name)))
         dated = F.array_contains(names, "timestamp") | F.array_contains(names, "date")
         return dated & F.array_contains(names, "metric") & F.array_contains(names, "value")
 
-    frames, headless = read_by_header(spark, paths, "metric", is_header)
-    kept = [*REQUIRED, *DEFAULTS]
-    empty = spark.createDataFrame([], ", ".join(f"{name} string" for name in kept))
-    parts = [with_absent(normalize_headers(frame), kept).select(*kept) for frame in frames]
-    return reduce(DataFrame.unionByName, parts or [empty]), headless
+    return read_by_header(spark, paths, [*REQUIRED, *DEFAULTS], "metric", is_header, normalized_name)
 
 
 def manual_file_events(spark: SparkSession, paths: list[str], strict: bool = True) -> DataFrame:
     """A file without the required columns is an error, or is set aside where ``strict`` is off."""
     rows, headless = read_manual(spark, paths)
-    if headless and strict:
-        require_columns(header_of(spark, headless[0]))
-        raise ValueError(f"no header line in: {', '.join(headless)}")
     events = manual_events(rows)
-    return events.unionByName(unreadable(spark, headless, "manual")) if headless else events
+    if not strict:
+        return events.unionByName(unreadable(headless, "manual"))
+    named = headless.take(NAMED_FILES)
+    if named:
+        require_columns(header_of(spark, unquote(named[0].file)))
+        raise ValueError(f"no header line in: {', '.join(row.file for row in named)}")
+    return events
 
 
 def manual_events(frame: DataFrame) -> DataFrame:

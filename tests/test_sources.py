@@ -326,3 +326,40 @@ def test_unknown_sources(spark, tmp_path):
         infer_source(["notes.txt"])
     with pytest.raises(ValueError, match="not supported"):
         parse_files(spark, ["a.csv"], "abacus")
+
+
+def test_header_index(spark, tmp_path):
+    """Headers by file: after blank lines, a byte order mark or a title, said twice, of other widths and orders; names that Spark escapes."""
+    from pulseframe.sources.csv_files import header_index, read_by_header
+
+    files = {
+        "a/one.csv": "Id,Day,x\n1,2,3\n",
+        "a/b c+d.csv": '\ufeff\n\n"x", Id ,Day\n"p, q",5,6,7\nId,9\n\n8\n',
+        "c/part-1.csv": "Day,x,Id,x\nm,n,o,p\nDay,x,Id,x\n",
+        "c/none.csv": "1,2\n3,4\n",
+        "c/empty.csv": "",
+        "c/blank.csv": "\n \n",
+    }
+    for name, text in files.items():
+        write(tmp_path / name, text)
+    (tmp_path / "long").mkdir()
+    write(tmp_path / "long" / "big.csv", "Id,Day\n" + "".join(f"{i},2033-01-01 and some padding\n" for i in range(300_000)))
+    folders = [str(tmp_path / name) for name in ("a", "c", "long")]
+
+    def is_header(names):
+        return F.array_contains(names, "Id") & F.array_contains(names, "Day")
+
+    index = {r.file.rsplit("/", 1)[1]: r.header.lstrip("\ufeff") for r in header_index(spark, folders, "day", is_header).collect()}
+    assert index == {"one.csv": "Id,Day,x", "b%20c+d.csv": '"x", Id ,Day', "part-1.csv": "Day,x,Id,x", "big.csv": "Id,Day"}
+    rows, headless = read_by_header(spark, folders[:2], ["Id", "Day", "x", "y"], "day", is_header)
+    assert sorted((tuple(r) for r in rows.collect()), key=str) == sorted(
+        [("1", "2", "3", None), ("5", "6", "p, q", None), ("9", None, "Id", None), (None, None, "8", None), ("o", "m", "p", None)], key=str
+    )
+    assert sorted(r.file.rsplit("/", 1)[1] for r in headless.collect()) == ["blank.csv", "none.csv"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+        rows, _ = read_by_header(spark, folders[2:], ["Id", "y"], "day", is_header)
+        assert rows.count() == 300_000 and rows.agg(F.countDistinct("Id")).first()[0] == 300_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
