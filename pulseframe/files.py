@@ -42,3 +42,9 @@ def delete_folders(spark: SparkSession, path: str, keep: set[str]) -> None:
     for found in files.listStatus(place):
         if found.isDirectory() and found.getPath().getName() not in keep:
             files.delete(found.getPath(), True)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    files, place, _ = _file_system(spark, path)
+    files.delete(place, True)

@@ -6,19 +6,24 @@ audit row comes last.
 
 Overview and pairs are written to a new folder each time, and readers find the current folders in one small file. A refresh writes both and
 then replaces that file, so readers see the old pair or the new one, also if a refresh is stopped halfway.
+
+``compact`` merges the folders of many small imports into a few clustered files, a generation, with the import id as a column. One small file
+again names the generations, the import folders that are merged already (hidden, until they are deleted) and the imports done again since
+(their rows in generations do not count), so that every import counts once at any moment.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulseframe import schema
-from pulseframe.files import delete_folders, read_small_file, replace_small_file
+from pulseframe.files import delete_folder, delete_folders, read_small_file, replace_small_file
 from pulseframe.operators.correlation import at_lag, correlation_pairs
 from pulseframe.operators.daily import daily_partials, finish_partials, merge_partials
 from pulseframe.operators.overview import overview_from_wide
@@ -55,7 +60,9 @@ class EventStore:
 
     def _read(self, table: str) -> DataFrame:
         if table in BY_IMPORT:
-            return self.spark.read.schema(BY_IMPORT[table]).parquet(self._path(table))
+            state = self._merged_state()
+            folders = self._folders(table, state)
+            return folders.unionByName(self._generations(table, state)) if state["generations"] else folders
         folder = self._current().get(table)
         return self.spark.read.schema(DERIVED[table]).parquet(folder) if folder else self.spark.createDataFrame([], DERIVED[table])
 
@@ -64,6 +71,25 @@ class EventStore:
         versions = read_small_file(self.spark, self._path("derived/current.json"))
         return {table: f"{self._path('derived')}/{version}/{table}" for table, version in json.loads(versions or "{}").items()}
 
+    def _merged_state(self) -> dict[str, list[str]]:
+        state = read_small_file(self.spark, self._path("merged/current.json"))
+        return json.loads(state) if state else {"generations": [], "hidden": [], "again": []}
+
+    def _switch_merged(self, state: dict[str, list[str]]) -> None:
+        replace_small_file(self.spark, self._path("merged/current.json"), json.dumps(state))
+
+    def _folders(self, table: str, state: dict[str, list[str]]) -> DataFrame:
+        """Rows of the imports that have folders of their own; hidden folders are not read."""
+        rows = self.spark.read.schema(BY_IMPORT[table]).parquet(self._path(table))
+        return rows.where(~F.col("import_id").isin(state["hidden"])) if state["hidden"] else rows
+
+    def _generations(self, table: str, state: dict[str, list[str]]) -> DataFrame:
+        paths = [f"{self._path('merged')}/{generation}/{table}" for generation in state["generations"]]
+        kind = BY_IMPORT[table]
+        tables = [self.spark.read.schema(kind).parquet(path) for path in paths] or [self.spark.createDataFrame([], kind)]
+        rows = reduce(DataFrame.unionByName, tables)
+        return rows.where(~F.col("import_id").isin(state["again"])) if state["again"] else rows
+
     def _write_import(self, frame: DataFrame, table: str, import_id: str, *folders: str) -> str:
         """Write one import's folder. A bloom filter lets a user filter skip row groups."""
         path = f"{self._path(table)}/import_id={import_id}"
@@ -83,6 +109,7 @@ class EventStore:
         that an earlier import or the same one holds already are left out; if none is new, nothing is
         written and the audit row counts 0.
         """
+        merged = import_id is not None and self._hide_if_merged(import_id)
         import_id = import_id or str(uuid.uuid4())
         if skip_known:
             given = self._staged(events)
@@ -110,8 +137,65 @@ class EventStore:
             raise NoUsableEvents("the import holds no usable events")
         self._write_import(daily_partials(usable), "daily_partials", import_id)
         self._write_import(self.spark.createDataFrame([row], audit.schema), "import_runs", import_id)
+        if merged:
+            state = self._merged_state()
+            hidden = [i for i in state["hidden"] if i != import_id]
+            self._switch_merged({**state, "hidden": hidden, "again": sorted({*state["again"], import_id})})
         return {"import_id": import_id, **row.asDict()}
 
+    def _hide_if_merged(self, import_id: str) -> bool:
+        """Whether a generation holds the rows of an import; they count until the import done again is complete, its folder does not."""
+        state = self._merged_state()
+        if not state["generations"] or self._generations("import_runs", state).where(F.col("import_id") == import_id).isEmpty():
+            return False
+        self._switch_merged({**state, "hidden": sorted({*state["hidden"], import_id})})
+        return True
+
+    def compact(self, most_generations: int = 8) -> int:
+        """Merge the import folders into one generation of clustered files, and all generations once there are more than ``most_generations``;
+        returns the number of folders merged. Rows, import ids, audit rows and set-aside rows stay as they are.
+
+        Files are of the advised partition size, by user and time, so that there are as many as the bytes need, whatever the number of imports.
+        A run stopped anywhere changes nothing for readers and can be run again: a generation counts from the switch on, which also hides the
+        merged folders; they and replaced generations stay for those who read them until the next run. New imports may run meanwhile;
+        repeating a merged import or a second ``compact`` may not. Imports without an audit row are not complete and stay as they are.
+        The ids of imports not merged yet come to the driver.
+        """
+        state = self._merged_state()
+        self._drop_replaced(state)
+        state = {**state, "hidden": []}
+        done = self._folders("import_runs", state).select("import_id").distinct()
+        ids = sorted(row.import_id for row in done.collect())
+        everything = len(state["generations"]) + bool(ids) > most_generations or bool(state["again"])
+        if not ids and not everything:
+            self._switch_merged(state)
+            return 0
+        generation = uuid.uuid4().hex
+        for table, kind in BY_IMPORT.items():
+            rows = self._folders(table, state).where(F.col("import_id").isin(ids))
+            if everything:
+                rows = rows.unionByName(self._generations(table, state))
+            by_user = USER in kind.names
+            folders = [name for name in ("rejected",) if name in kind.names]
+            order = [name for name in ("rejected", USER, "timestamp", "day") if name in kind.names]
+            rows = rows.hint("rebalance", F.col(USER)) if by_user else rows.hint("rebalance")
+            writer = (rows.sortWithinPartitions(*order) if order else rows).write.partitionBy(*folders)
+            if by_user:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{USER}", "true")
+            writer.parquet(f"{self._path('merged')}/{generation}/{table}")
+        before, kept = set(state["generations"]), [] if everything else state["generations"]
+        self._switch_merged({"generations": [*kept, generation], "hidden": ids, "again": [] if everything else state["again"]})
+        delete_folders(self.spark, self._path("merged"), keep={*before, generation})
+        return len(ids)
+
+    def _drop_replaced(self, state: dict[str, list[str]]) -> None:
+        """Delete what nothing reads: hidden import folders, generations that are not current."""
+        for table in BY_IMPORT:
+            for import_id in state["hidden"]:
+                delete_folder(self.spark, f"{self._path(table)}/import_id={import_id}")
+        if state["generations"]:
+            delete_folders(self.spark, self._path("merged"), keep=set(state["generations"]))
+
     def _staged(self, frame: DataFrame) -> DataFrame:
         path = scratch(self.spark, "delivery")
         frame.write.parquet(path)

@@ -254,6 +254,8 @@ def _sources() -> dict[str, str]:
             FROM named GROUP BY folder""",
         "s9_load_files": f"""{VENDOR}SELECT source, metric, unit, count(*) AS n, count(DISTINCT source_user_id) AS users,
             {r('sum(value)', 'total', 4)} FROM ({_all_vendors()}) WHERE source IN ('fitbit', 'manual', 'apple_health') GROUP BY 1, 2, 3""",
+        "s9_load_documents": f"""{VENDOR}SELECT source, metric, unit, count(*) AS n, count(DISTINCT source_user_id) AS users,
+            {r('sum(value)', 'total', 4)} FROM ({_all_vendors()}) WHERE source IN ('google_health', 'oura', 'garmin') GROUP BY 1, 2, 3""",
         "s10_bootstrap": f"""{VENDOR}SELECT 'fitbit' AS source, count(*) AS record_count, count(DISTINCT source_user_id) AS user_count FROM sleep""",
         "s11_load_data": f"""{VENDOR}, {tracker_wide}, {overview_ctes('tracker')},
             newest AS (SELECT source_user_id FROM sleep ORDER BY "timestamp" DESC, source_user_id DESC LIMIT 1)
@@ -276,6 +278,9 @@ def _store() -> dict[str, str]:
         "k2_import_audit": f"""{FULL}SELECT 'activity_log' AS source, 1::INTEGER AS file_count, count(*) AS record_count,
             count(DISTINCT source_user_id) AS user_count FROM canon
             UNION ALL SELECT 'second_log', 2, count(*), count(DISTINCT source_user_id) FROM canon WHERE metric = 'hrv'""",
+        "k1_compacted_events": f"{FULL}SELECT {event} FROM canon",
+        "k2_compacted_audit": f"""{FULL}SELECT 'log_' || CAST(extract(hour FROM "timestamp") % 6 AS VARCHAR) AS source, 1::INTEGER AS file_count,
+            count(*) AS record_count, count(DISTINCT source_user_id) AS user_count FROM canon GROUP BY 1""",
         "k3_replace_overview": f"{FULL}SELECT {OVERVIEW_OUT} FROM overview",
         "k4_replace_pairs": f"{FULL}SELECT {PAIR_OUT} FROM pairs",
         "k5_scan_events": f"{FULL}SELECT {event} FROM canon WHERE source_user_id = '7'",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -189,6 +190,33 @@ def s9_load_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _written_documents(frame: DataFrame, path: str) -> str:
+    """One JSON document a file, from columns ``part`` and ``document``."""
+    frame.repartition("part").write.partitionBy("part").text(path)
+    return path
+
+
+def s9_load_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Takeout lists of some 500 points, ring objects of a user's readings and watch messages written from the log, then read back through the
+    loader of each source."""
+    root, log = scratch(spark, "load-documents"), _log(spark, folder)
+    rows = log.count()
+    points, rings = shapes.google_points(log), shapes.oura_documents(log)
+    part = F.pmod(F.xxhash64(*points.columns), F.lit(rows // 500 + 1))
+    lists = points.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(F.struct("*"))).alias("document"))
+    of_user = F.pmod(F.xxhash64(*rings.columns), F.lit(rows // 200_000 + 1))
+    sections = [F.flatten(F.collect_list(name)).alias(name) for name in ("sleep", "activity")]
+    users = rings.groupBy("user_id", of_user.alias("n")).agg(*sections)
+    users = users.select(F.concat_ws("-", "user_id", "n").alias("part"), F.to_json(F.struct("user_id", "sleep", "activity")).alias("document"))
+    paths = [_written_documents(lists, f"{root}/takeout.json"), _written_documents(users, f"{root}/oura.json"), f"{root}/ride.fit"]
+    shapes.garmin_messages(log).write.json(paths[2])
+    loaders = zip(paths, ("google_health", "oura", "garmin"), strict=True)
+    loaded = reduce(DataFrame.unionByName, [load_events(spark, [path], source) for path, source in loaders])
+    return loaded.groupBy("source", "metric", "unit").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(USER).alias("users"), F.round(F.sum("value"), 4).alias("total")
+    )
+
+
 def s10_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     """Sample files into an empty store; a second call finds events and adds nothing."""
     root, log = scratch(spark, "bootstrap"), _log(spark, folder)
@@ -228,6 +256,24 @@ def k2_import_audit(spark: SparkSession, folder: str) -> DataFrame:
     return store.import_runs().select("source", "file_count", "record_count", "user_count")
 
 
+def _compacted_store(spark: SparkSession, folder: str) -> EventStore:
+    """The log in six imports by hour, merged after the fourth and, generations included, after the sixth."""
+    store, events = EventStore(spark, scratch(spark, "compacted")), _events(spark, folder)
+    for part in range(6):
+        store.append_events(events.where(F.hour("timestamp") % 6 == part), f"log_{part}", 1)
+        if part in (3, 5):
+            store.compact(most_generations=1)
+    return store
+
+
+def k1_compacted_events(spark: SparkSession, folder: str) -> DataFrame:
+    return _compacted_store(spark, folder).raw_events().select(*EVENT_COLUMNS).withColumns(places("value"))
+
+
+def k2_compacted_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return _compacted_store(spark, folder).import_runs().select("source", "file_count", "record_count", "user_count")
+
+
 def k3_replace_overview(spark: SparkSession, folder: str) -> DataFrame:
     store = _filled_store(spark, folder)
     overview = daily_overview(store.raw_events())

@@ -102,6 +102,71 @@ def test_known_events_are_skipped(store, sample, tmp_path):
     assert store.import_files([mixed], "manual", skip_known=False)["record_count"] == 3
 
 
+def _parts(folder):
+    return len([p for p in folder.rglob("*.parquet") if "import_id=" in str(p) or "merged" in str(p)])
+
+
+def _contents(store):
+    tables = store.raw_events(), store.import_runs(), store.day_totals(), store.quarantine()
+    return [sorted((tuple(row[name] for name in sorted(frame.columns)) for row in frame.collect()), key=str) for frame in tables]
+
+
+def test_compaction_keeps_all_rows_in_few_files(store, sample, tmp_path):
+    """Many imports, merged twice; set-aside rows and an import without usable rows, too."""
+    assert store.compact() == 0
+    for n in range(4):
+        store.import_files([write(tmp_path / f"m{n}.csv", MANUAL.replace("ada", f"u{n}") + "soon,mood,1,,,me\n")], "manual", f"first-{n}")
+    with pytest.raises(ValueError, match="no usable"):
+        store.import_files([write(tmp_path / "none.csv", "timestamp,metric,value\nsoon,mood,1\n")], "manual", "unusable")
+    before = _contents(store)
+    assert store.compact() == 4
+    assert _contents(store) == before and store.raw_events("u2").count() == 3 and store.quarantine().count() == 5
+    store.refresh()
+    overview = [row[:-1] for row in store.overview().orderBy("source_user_id").collect()]
+    store.import_files([f"{sample}/dailyActivity_merged.csv"], "fitbit", "second")
+    before = _contents(store)
+    assert store.compact() == 1 and _contents(store) == before
+    assert store.compact(most_generations=1) == 0 and _contents(store) == before
+    assert store.compact() == 0 and _contents(store) == before
+    assert _parts(tmp_path / "store") <= 8  # raw rows in two folders, totals, runs, and those of the unusable import
+    store.refresh(rebuild=True)
+    assert [row[:-1] for row in store.overview().where("source_user_id like 'u%'").orderBy("source_user_id").collect()] == overview
+
+
+def test_imports_repeated_after_compaction(store, sample, tmp_path, monkeypatch):
+    """A repeated import replaces its merged rows only when it is complete; it is merged by the next run."""
+    path = write(tmp_path / "m.csv", MANUAL)
+    store.import_files([path], "manual", "one")
+    store.import_files([f"{sample}/sleepDay_merged.csv"], "fitbit", "two")
+    store.compact()
+    before = _contents(store)
+    write(tmp_path / "m.csv", MANUAL + "2033-01-21T06:30:00,steps,10,count,diary,ada\n")
+    with monkeypatch.context() as stopped:
+        stopped.setattr("pulseframe.plans.store.daily_partials", lambda events: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.import_files([path], "manual", "one")
+    assert _contents(store) == before
+    for _ in range(2):
+        store.import_files([path], "manual", "one")
+        assert store.raw_events().count() == 12 and store.import_runs().count() == 2
+    assert store.compact() == 1
+    assert store.raw_events().count() == 12 and store.import_runs().count() == 2
+    assert store.import_runs().where("import_id = 'one'").first().record_count == 4
+
+
+def test_a_stopped_compaction_changes_nothing(store, sample, tmp_path, monkeypatch):
+    for n in range(2):
+        store.import_files([write(tmp_path / f"m{n}.csv", MANUAL)], "manual", f"i{n}")
+    before = _contents(store)
+    for name in ("replace_small_file", "delete_folders"):
+        with monkeypatch.context() as stopped:
+            stopped.setattr(f"pulseframe.plans.store.{name}", lambda *args, **kw: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                store.compact()
+        assert _contents(store) == before
+    assert store.compact() == 0 and _contents(store) == before
+
+
 def test_scans(store, sample, spark):
     store.import_files([f"{sample}/dailyActivity_merged.csv", f"{sample}/sleepDay_merged.csv"], "fitbit")
     store.import_files([f"{sample}/notes.csv"], "manual")
