@@ -475,3 +475,101 @@ def test_empty_tables(spark):
     assert secret_report(none).count() == 0
     assert mix_positions(none).count() == 0
     assert mixed(none).count() == 0
+
+
+def _ordinary_by_definition(token):
+    """The p-value of a token from exact tails: binomial sums, Gauss, a Poisson mixture of chi-squared, Fisher."""
+    import math
+
+    def tail_of_chi(x, free):  # upper tail for an even number of degrees of freedom, or halfway between neighbours
+        if free % 2:
+            return (tail_of_chi(x, free - 1) * tail_of_chi(x, free + 1)) ** 0.5
+        return math.fsum(math.exp(-x / 2 + i * math.log(x / 2) - math.lgamma(i + 1)) for i in range(free // 2)) if free else 0.0
+
+    def below_off_centre(x, free, off):
+        weights = [math.exp(-off / 2 + i * math.log(off / 2) - math.lgamma(i + 1)) for i in range(int(off * 2) + 60)]
+        return max(1e-12, math.fsum(w * (1 - tail_of_chi(x, free + 2 * i)) for i, w in enumerate(weights)))
+
+    token = "".join(c for c in token if c.isalnum())
+    if len(token) < 8:
+        return 1.0
+    kind = ["u" if c.isupper() else "l" if c.islower() else "d" for c in token]
+    n, turns = len(token), sum(a + b in ("lu", "ld", "ud", "dl", "du") for a, b in zip(kind, kind[1:], strict=False))
+    digits = set(token)
+    if digits <= set("0123456789ABCDEF") or digits <= set("0123456789abcdef"):
+        symbols, token = "0123456789abcdef", token.lower()
+    elif set(kind) <= {"l"} or set(kind) <= {"u"}:
+        symbols, token = "abcdefghijklmnopqrstuvwxyz", token.lower()
+    elif digits <= set("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    elif digits <= set("0123456789abcdefghijklmnopqrstuvwxyz"):
+        symbols = "0123456789abcdefghijklmnopqrstuvwxyz"
+    else:
+        symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    codes = [symbols.index(c) for c in token]
+    if len(set(kind)) > 1:
+        middle = math.fsum(codes) / n
+        r = math.fsum((a - middle) * (b - middle) for a, b in zip(codes, codes[1:])) / math.fsum((c - middle) ** 2 for c in codes)
+        ps = [math.fsum(math.comb(n - 1, i) * 0.1**i * 0.9 ** (n - 1 - i) for i in range(turns, n))]
+        ps.append(0.5 * math.erfc((math.atanh(0.3) - math.atanh(r)) * math.sqrt(n - 3) / math.sqrt(2)))
+    elif kind[0] in "lu":
+        turns = sum((a in "aeiouy") != (b in "aeiouy") for a, b in zip(token, token[1:]))
+        ps = [math.fsum(math.comb(n - 1, i) * 0.58**i * 0.42 ** (n - 1 - i) for i in range(turns + 1))]
+    else:
+        return 1.0
+    off = n * (0.065 * len(symbols) - 1)
+    if off >= n / 4:
+        ps.append(below_off_centre(sum((codes.count(i) - n / len(symbols)) ** 2 for i in range(len(symbols))) * len(symbols) / n, len(symbols) - 1, off))
+    return tail_of_chi(-2 * sum(math.log(min(1 - 1e-12, max(p, 1e-300))) for p in ps), 2 * len(ps))
+
+
+def test_random_spans_by_definition():
+    """Tokens of many encodings and lengths among ordinary ones and fixed kinds: p-values against exact ones, spans against the definition."""
+    import math
+    import random
+
+    from pulseframe.llm.secret_scan import ordinary
+
+    draw, lower, seen = random.Random(8), "abcdefghijklmnopqrstuvwxyz", 0
+    alphabets = [lower, lower.upper(), lower.upper() + "234567", lower + "0123456789", lower + lower.upper() + "0123456789+/", "0123456789ABCDEF"]
+    for _ in range(40):
+        parts = []
+        for _ in range(draw.randrange(1, 30)):
+            parts.append("".join(draw.choice(draw.choice([["tion", "er", "th", "ing", "ly"], ["Get", "Name", "Of"]])) for _ in range(draw.randrange(5, 9))))
+            if draw.random() < 0.4:
+                symbols = draw.choice(alphabets)
+                parts.append("".join(draw.choice(symbols) for _ in range(draw.choice([16, 20, 32, 48, 64]))))
+            if draw.random() < 0.1:
+                parts.append("token=" + "".join(draw.choice(alphabets[4]) for _ in range(24)))
+        text = " ".join(parts)
+        tokens = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", text)]
+        for _, _, token in tokens:
+            want = _ordinary_by_definition(token)
+            if want < 1e-9:  # sums of the definition lose digits here
+                assert ordinary(token) < 1e-6, token
+            elif want < 0.5:
+                assert abs(math.log(max(ordinary(token), 1e-30)) - math.log(max(want, 1e-30))) < 0.3 - 0.15 * math.log(max(want, 1e-30)), token
+        ps = [p if (p := ordinary(t)) < 0.5 and randomness(t) >= 0.001 else 1.0 for _, _, t in tokens]
+        accepted = [p for p in ps if p <= 0.01 * sum(q <= p for q in ps) / len(ps)]
+        taken = [(s, e) for k, s, e in spans_of(text) if k != "random"]
+        finds = [(s, e) for (s, e, _), p in zip(tokens, ps, strict=True) if accepted and p <= max(accepted)]
+        want = [("random", s, e) for s, e in finds if not any(a < e and s < b for a, b in taken)]
+        assert [f for f in spans_of(text) if f[0] == "random"] == want
+        seen += len(want)
+    assert seen > 100
+
+
+def test_random_letters_of_one_case_and_many_spans():
+    import random
+    import time
+
+    draw = random.Random(6)
+    for symbols in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        made = ["".join(draw.choice(symbols) for _ in range(40)) for _ in range(200)]
+        assert sum(any(k == "random" for k, _, _ in spans_of(f"before {s} after")) for s in made) > 140
+    symbols = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    pairs = ("".join(draw.choice("0123456789abcdef") for _ in range(32)) + " " + "".join(draw.choice(symbols) for _ in range(24)) for _ in range(10_000))
+    began = time.perf_counter()
+    assert len(spans_of(" ".join(pairs))) > 19_000
+    assert time.perf_counter() - began < 30
+    assert not any(k == "random" for k, _, _ in spans_of("Donaudampfschifffahrtsgesellschaft internationalization some-long-slug-with-many-words SNAKE_CASE_CONSTANT_NAME /usr/local/share/doc/readme"))
