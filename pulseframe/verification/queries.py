@@ -190,25 +190,40 @@ def s9_load_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _written_documents(frame: DataFrame, path: str) -> str:
-    """One JSON document a file, from columns ``part`` and ``document``."""
-    frame.repartition("part").write.partitionBy("part").text(path)
+def _written_documents(documents: DataFrame, path: str) -> str:
+    """One JSON document a file, from column ``document``, all files in one folder."""
+    documents.select("document").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
+#: Readings of a ring object, at most about, and of all objects in a file.
+_OF_RING, _OF_FILE = 10_000, 20_000
+
+
+def _ring_objects(rings: DataFrame) -> DataFrame:
+    """One object a user, column ``document``, and the user's readings as ``readings``; only users of more than ``_OF_RING`` readings have several."""
+    pieces = F.floor(F.count(F.lit(1)) / _OF_RING) + 1
+    large = rings.groupBy(F.col("user_id").alias("large_id")).agg(pieces.alias("pieces")).where(F.col("pieces") > 1)
+    dealt = rings.withColumn("place", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = dealt.join(large, F.col("user_id").eqNullSafe(F.col("large_id")), "left")
+    n = F.pmod("place", F.coalesce("pieces", F.lit(1)))
+    sections = [F.flatten(F.collect_list(name)).alias(name) for name in ("sleep", "activity")]
+    users = dealt.groupBy("user_id", n.alias("n")).agg(*sections)
+    return users.select("user_id", "n", F.to_json(F.struct("user_id", "sleep", "activity")).alias("document"))
+
+
 def s9_load_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Takeout lists of some 500 points, ring objects of a user's readings and watch messages written from the log, then read back through the
-    loader of each source."""
+    loader of each source. Ring objects are many and small, so a file holds an array of them; a list of points is a file."""
     root, log = scratch(spark, "load-documents"), _log(spark, folder)
     rows = log.count()
-    points, rings = shapes.google_points(log), shapes.oura_documents(log)
+    points = shapes.google_points(log)
     part = F.pmod(F.xxhash64(*points.columns), F.lit(rows // 500 + 1))
     lists = points.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(F.struct("*"))).alias("document"))
-    of_user = F.pmod(F.xxhash64(*rings.columns), F.lit(rows // 200_000 + 1))
-    sections = [F.flatten(F.collect_list(name)).alias(name) for name in ("sleep", "activity")]
-    users = rings.groupBy("user_id", of_user.alias("n")).agg(*sections)
-    users = users.select(F.concat_ws("-", "user_id", "n").alias("part"), F.to_json(F.struct("user_id", "sleep", "activity")).alias("document"))
-    paths = [_written_documents(lists, f"{root}/takeout.json"), _written_documents(users, f"{root}/oura.json"), f"{root}/ride.fit"]
+    users = _ring_objects(shapes.oura_documents(log))
+    file = F.pmod(F.xxhash64("user_id", "n"), F.lit(rows // _OF_FILE + 1))
+    arrays = users.groupBy(file.alias("file")).agg(F.concat(F.lit("["), F.concat_ws(",\n", F.collect_list("document")), F.lit("]")).alias("document"))
+    paths = [_written_documents(lists, f"{root}/takeout.json"), _written_documents(arrays, f"{root}/oura.json"), f"{root}/ride.fit"]
     shapes.garmin_messages(log).write.json(paths[2])
     loaders = zip(paths, ("google_health", "oura", "garmin"), strict=True)
     loaded = reduce(DataFrame.unionByName, [load_events(spark, [path], source) for path, source in loaders])
