@@ -86,7 +86,7 @@ def op11_negative_mining(spark: SparkSession, folder: str) -> DataFrame:
 
 def op12_sequence_packing(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of each document in sequences of 4,096 tokens."""
-    return piece_checksums(packed(_table(spark, folder, "documents")))
+    return piece_checksums(packed(_table(spark, folder, "documents"), as_bytes=True))
 
 
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:

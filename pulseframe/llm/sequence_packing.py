@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseframe.llm.frames import checkpointed, run_starts
+from pulseframe.llm.frames import checkpointed, release_memory, run_starts
 from pulseframe.llm.words import lowered, mix64, text_batches
 
 
@@ -242,7 +242,8 @@ class WordTokens:
         # Kinds change inside a segment only around bytes of the last kind.
         plain = np.zeros(len(names), dtype=bool)
         if self.merges and not whole:
-            foreign = np.concatenate([[0], np.cumsum(kind != 1)])
+            foreign = np.zeros(len(kind) + 1, dtype=np.int32)
+            np.cumsum(kind != 1, out=foreign[1:], dtype=np.int32)
             plain[indices] = (foreign[end] == foreign[start]) & (end - start <= MERGED_BYTES)
         number = self._numbers(names, plain)[indices]
         size = self.size[number]
@@ -332,6 +333,7 @@ def token_ids(text: Column, model: str, width: int, settings: PackSettings = Pac
             ids, edges = state["tokens"].encode(data, offsets)
             raw = pa.py_buffer(ids.astype(f"<u{width}"))
             out.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges * width), raw]).cast(pa.binary()))
+        release_memory()
         return pa.concat_arrays(out) if out else pa.array([], type=pa.binary())
 
     return F.arrow_udf(run, "binary")(text)
@@ -428,11 +430,12 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> Patterns:
     return Patterns(*columns, packs=packs)
 
 
-def _pieces(patterns, capacity: int, width: int):
+def _pieces(patterns, capacity: int, width: int, as_bytes: bool):
     """Pieces of documents with their ids, for rows (doc_id, tokens, rank, full_rank); some rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Patterns(*patterns.value)
+        release_memory()  # what the worker held for the tokens is not needed here
         for rows in batches:
             tokens = rows.column("tokens")
             edges = np.frombuffer(tokens.buffers()[1], dtype=np.int32)[tokens.offset : tokens.offset + len(tokens) + 1].astype(np.int64)
@@ -441,13 +444,13 @@ def _pieces(patterns, capacity: int, width: int):
             while a < len(tokens):
                 b = max(a + 1, int(np.searchsorted(edges, edges[a] + PIECE_BYTES, side="right")) - 1)
                 ids = raw[edges[a] : edges[b]].view(f"<u{width}").astype(np.int32)
-                yield _cut(rows.slice(a, b - a), ids, np.diff(edges[a : b + 1]) // width, table, capacity)
+                yield _cut(rows.slice(a, b - a), ids, np.diff(edges[a : b + 1]) // width, table, capacity, as_bytes)
                 a = b
 
     return run
 
 
-def _cut(rows: pa.RecordBatch, ids: np.ndarray, n: np.ndarray, table: Patterns, capacity: int) -> pa.RecordBatch:
+def _cut(rows: pa.RecordBatch, ids: np.ndarray, n: np.ndarray, table: Patterns, capacity: int, as_bytes: bool) -> pa.RecordBatch:
     full, rest = n // capacity, n % capacity
     row, start, length, pack, offset = table.place(rest, rows.column("rank").to_numpy(zero_copy_only=False))
     whole_of = np.repeat(np.arange(len(n)), full)
@@ -460,14 +463,19 @@ def _cut(rows: pa.RecordBatch, ids: np.ndarray, n: np.ndarray, table: Patterns,
     order = np.lexsort((columns[1], columns[0]))
     of, start, length, sequence, offset = (c[order] for c in columns)
     # Pieces in order cover each document's ids, so lists are cuts of the one array.
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(ids))
+    edges = np.concatenate([[0], np.cumsum(length)])
+    if as_bytes:
+        lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(edges * 4), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary())
+    else:
+        lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))
     doc = rows.column("doc_id").take(pa.array(of))
     return pa.RecordBatch.from_arrays([doc, *[pa.array(c) for c in (n[of], start, length, sequence, offset)], lists], names=["doc_id", "doc_tokens", "start", "length", "sequence_id", "offset", "ids"])
 
 
-def packed(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", settings: PackSettings = PackSettings()) -> DataFrame:
+def packed(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", settings: PackSettings = PackSettings(), as_bytes: bool = False) -> DataFrame:
     """(doc_id, doc_tokens, start, length, sequence_id, offset, ids): the pieces of all documents. start counts the document's ids before the
-    piece, offset the ids before it in its sequence. model is the text of a tokenizer file."""
+    piece, offset the ids before it in its sequence. model is the text of a tokenizer file. With as_bytes, ids are binary, four little-endian
+    bytes an id."""
     model = model or read_tokenizer()
     width, capacity = id_bytes(model), settings.capacity
     rows = docs.select(F.col(id_col).alias("doc_id"), token_ids(F.coalesce(F.col(text_col).cast("string"), F.lit("")), model, width, settings).alias("tokens"))
@@ -496,8 +504,8 @@ def packed(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     rows = rows.join(counts, keys)
     rank, full_rank = F.col("n_before") + F.col("place"), F.col("full_base") + F.col("full_before") + F.col("full_place")
     rows = rows.select("doc_id", "tokens", rank.alias("rank"), full_rank.alias("full_rank"))
-    schema = T.StructType([rows.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("doc_tokens", "start", "length", "sequence_id", "offset")], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(_pieces(shared, capacity, width), schema)
+    schema = T.StructType([rows.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("doc_tokens", "start", "length", "sequence_id", "offset")], T.StructField("ids", T.BinaryType() if as_bytes else T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(_pieces(shared, capacity, width, as_bytes), schema)
 
 
 def _checksums(ids: pa.Array) -> pa.Array:
@@ -509,5 +517,7 @@ def _checksums(ids: pa.Array) -> pa.Array:
 
 
 def piece_checksums(pieces: DataFrame) -> DataFrame:
-    """The rows of packed() with a CRC-32 of the ids, as unsigned little-endian 32-bit numbers, in place of the ids."""
-    return pieces.select("doc_id", "start", "length", F.arrow_udf(_checksums, "long")("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """The rows of packed() with a CRC-32 of the ids, as unsigned little-endian 32-bit numbers, in place of the ids. For ids as bytes Spark
+    takes it itself; lists go to a second Python worker beside the one of packed()."""
+    crc = F.crc32("ids") if isinstance(pieces.schema["ids"].dataType, T.BinaryType) else F.arrow_udf(_checksums, "long")("ids")
+    return pieces.select("doc_id", "start", "length", crc.alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -221,6 +221,21 @@ def test_checksums(odd):
     assert Counter(tuple(r)[:5] for r in piece_checksums(pieces).collect()) == want
 
 
+def test_checksums_of_bytes(odd):
+    """Ids as bytes are those of the lists, and their checksums need no second Python worker beside that of the pieces."""
+    settings = PackSettings(capacity=64, bucket=3)
+    lists, raw = (packed(odd, settings=settings, as_bytes=b) for b in (False, True))
+    want = Counter((*tuple(r)[:4], b"".join(i.to_bytes(4, "little") for i in r.ids)) for r in lists.collect())
+    assert Counter((*tuple(r)[:4], bytes(r.ids)) for r in raw.collect()) == want
+    assert Counter(tuple(r) for r in piece_checksums(raw).collect()) == Counter(tuple(r) for r in piece_checksums(lists).collect())
+    assert packed(odd.limit(0), as_bytes=True).count() == 0
+
+
+def test_checksums_in_one_python_worker(spark):
+    plan = llm_queries()["op12_sequence_packing"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
 def test_only_word_tokenizers(tmp_path):
     import public_tokenizers
 
