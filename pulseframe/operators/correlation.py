@@ -38,17 +38,18 @@ def pair_samples(overview: DataFrame, fresh: str | None = None) -> DataFrame:
     fan-out is a fixed 42 per day, combined again before any shuffle; rows of one user already share
     a partition here, so the aggregation above it needs no further exchange.
     """
-    samples = [
-        F.struct(F.lit(place).alias("pair"), F.col(first).alias("x"), F.col(f"next_{second}" if lag else second).alias("y"))
-        for place, (first, second, lag) in enumerate(PAIRS)
-    ]
     rows = with_next_row(overview, *([fresh] if fresh else []))
     if fresh:
         ends = F.lead(fresh, 1).over(Window.partitionBy(USER).orderBy("day"))
         rows = rows.withColumn("next_fresh", F.coalesce(ends, F.lit(False)))
-        taken = F.array(*[F.col("next_fresh") if lag else F.col(fresh) for _, _, lag in PAIRS])
-        fanned = rows.select(USER, taken.alias("taken"), F.inline(F.array(*samples)))
-        return fanned.where(F.get("taken", F.col("pair")) & F.col("x").isNotNull() & F.col("y").isNotNull()).drop("taken")
+
+    def taken(first: str, lag: int) -> Column:
+        return F.when(F.col("next_fresh" if lag else fresh), F.col(first)) if fresh else F.col(first)
+
+    samples = [
+        F.struct(F.lit(place).alias("pair"), taken(first, lag).alias("x"), F.col(f"next_{second}" if lag else second).alias("y"))
+        for place, (first, second, lag) in enumerate(PAIRS)
+    ]
     fanned = rows.select(USER, F.inline(F.array(*samples)))
     return fanned.where(F.col("x").isNotNull() & F.col("y").isNotNull())
 

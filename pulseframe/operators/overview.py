@@ -11,11 +11,12 @@ from pulseframe.operators.rolling import rolling_zscore
 from pulseframe.schema import OVERVIEW_COLUMNS, ROLLING_METRICS
 
 
-def overview_from_wide(wide: DataFrame) -> DataFrame:
+def overview_from_wide(wide: DataFrame, *more: str) -> DataFrame:
+    """Overview rows of wide days; ``more`` names columns to carry along."""
     scored = wide.withColumn("health_score", health_score(F.col("steps"), F.col("sleep_minutes"), F.col("active_minutes")))
     zscored = rolling_zscore(scored, ROLLING_METRICS).withColumnRenamed("sleep_minutes_zscore", "sleep_zscore")
     flags = anomaly_flags(F.col("sleep_zscore"), F.col("steps_zscore"), F.col("resting_hr_zscore"))
-    return zscored.withColumns(flags).select(*OVERVIEW_COLUMNS)
+    return zscored.withColumns(flags).select(*OVERVIEW_COLUMNS, *more)
 
 
 def daily_overview(events: DataFrame) -> DataFrame:

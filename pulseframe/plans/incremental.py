@@ -46,31 +46,39 @@ _TABLES = {"overview": (OVERVIEW, ("part", "month")), "state": (STATE, ("part",)
 
 
 def moments(samples: DataFrame) -> DataFrame:
-    """Moments per user and pair of (x, y) samples. The mean of a constant is the constant itself, so that merging keeps its square sum 0."""
+    """One row (user, moments) per user of (x, y) samples, the moments by pair. Rows of one user share a partition here, so there is no further
+    exchange. The mean of a constant is the constant itself, so that merging keeps its square sum 0."""
 
     def mean(c: str) -> Column:
         return F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c))
 
     n = F.count(F.lit(1))
-    return samples.groupBy(USER, "pair").agg(
+    found = samples.groupBy(USER, "pair").agg(
         n.alias("n"), mean("x").alias("mean_x"), mean("y").alias("mean_y"),
         (F.var_pop("x") * n).alias("xx"), (F.var_pop("y") * n).alias("yy"), (F.covar_pop("x", "y") * n).alias("xy"),
     )
+    return found.groupBy(USER).agg(F.sort_array(F.collect_list(F.struct(*_MOMENTS.fieldNames()))).alias("moments"))  # 42 at most
 
 
-def merged_moments(parts: DataFrame) -> DataFrame:
-    """Moments of two sets of samples, or of one, per user and pair."""
-    listed = parts.groupBy(USER, "pair").agg(F.sort_array(F.collect_list(F.struct("n", "mean_x", "mean_y", "xx", "yy", "xy"))).alias("m"))
-    a, b = F.col("m")[0], F.get("m", F.lit(1))
-    n = a.n + b.n
-    weight = a.n.cast("double") * b.n / n
+def merged_moments(old: Column, new: Column) -> Column:
+    """Moments by pair of two sets of samples of a user, or of the one that is not null."""
 
-    def shift(c: str) -> Column:
-        return b[f"mean_{c}"] - a[f"mean_{c}"]
+    def by_pair(side: Column) -> Column:
+        return F.map_from_entries(F.transform(side, lambda m: F.struct(m["pair"], m)))
 
-    both = {f"mean_{c}": a[f"mean_{c}"] + shift(c) * b.n / n for c in "xy"} | {p + q: a[p + q] + b[p + q] + shift(p) * shift(q) * weight for p, q in ("xx", "yy", "xy")}
-    single = F.size("m") == 1
-    return listed.select(USER, "pair", F.when(single, a.n).otherwise(n).alias("n"), *[F.when(single, a[c]).otherwise(v).alias(c) for c, v in both.items()])
+    def merged(pair: Column, a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        weight = a["n"].cast("double") * b["n"] / n
+
+        def shift(c: str) -> Column:
+            return b[f"mean_{c}"] - a[f"mean_{c}"]
+
+        means = [(a[f"mean_{c}"] + shift(c) * b["n"] / n).alias(f"mean_{c}") for c in "xy"]
+        sums = [(a[p + q] + b[p + q] + shift(p) * shift(q) * weight).alias(p + q) for p, q in ("xx", "yy", "xy")]
+        return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.struct(pair.alias("pair"), n.alias("n"), *means, *sums))
+
+    both = F.sort_array(F.map_values(F.map_zip_with(by_pair(old), by_pair(new), merged)))
+    return F.coalesce(both, old, new)
 
 
 def pairs_from_moments(found: DataFrame, min_samples: int = MIN_SAMPLES) -> DataFrame:
@@ -141,13 +149,13 @@ class IncrementalTables:
         users = staged(users.join(last, USER, "left").withColumn("late", F.coalesce(F.col("first") <= F.col("last_day"), F.lit(False))), "users")
 
         days = staged(self._days(fresh, totals, users), "days")
-        scored = staged(self._scored(days), "scored")
-        samples = pair_samples(scored.select(USER, "day", *CORRELATED_METRICS, "fresh"), "fresh")
+        folders = {"part": self._part(F.col(USER)), "month": F.date_format("day", "yyyy-MM")}
+        scored = staged(self._scored(days).withColumns(folders), "scored")
         kept = state.join(users.where("late"), USER, "left_anti")
-        going_on = _unpacked(kept.join(users, USER, "left_semi"))
-        found = merged_moments(going_on.union(moments(samples).select(*going_on.columns)))
-        self._write_overview(scored, staged)
-        self._write_state(kept.join(users, USER, "left_anti"), scored, found, users)
+        samples = pair_samples(scored.select(USER, "day", *CORRELATED_METRICS, "fresh"), "fresh")
+        going_on = kept.join(users, USER, "left_semi")
+        self._write_overview(scored)
+        self._write_state(kept.join(users, USER, "left_anti"), scored, going_on, moments(samples))
         spark.createDataFrame([(i,) for i in imports], FOLDED).write.mode("append").parquet(self._path("folded"))
         return parts
 
@@ -176,31 +184,32 @@ class IncrementalTables:
         place = days.withColumn("place", F.row_number().over(order))
         edge = F.when(F.col("changed"), F.col("place"))
         place = place.withColumns({"from": F.min(edge).over(whole), "to": F.max(edge).over(whole) + REACH})
-        marks = place.select(USER, "day", "fresh", F.col("place").between(F.col("from"), F.col("to")).alias("rewritten"))
+        place = place.withColumn("rewritten", F.col("place").between(F.col("from"), F.col("to")))
+        marks = ("fresh", "rewritten")
         # Only rows from 29 before the first changed one on to the last rewritten one go through the windows. Other rows of late users enter
         # the moments by their values and score alone, in which no window has a part.
         windowed = F.col("place").between(F.col("from") - REACH, F.col("to"))
-        scored = overview_from_wide(place.where(windowed).select(USER, "day", *WIDE_METRICS))
-        others = place.where(~windowed).select(USER, "day", *WIDE_METRICS)
+        scored = overview_from_wide(place.where(windowed).select(USER, "day", *WIDE_METRICS, *marks), *marks)
+        others = place.where(~windowed).select(USER, "day", *WIDE_METRICS, *marks)
         others = others.withColumn("health_score", health_score(F.col("steps"), F.col("sleep_minutes"), F.col("active_minutes")))
-        return scored.unionByName(others, allowMissingColumns=True).join(marks, [USER, "day"])
+        return scored.unionByName(others, allowMissingColumns=True).where(F.col("day").isNotNull())
 
-    def _write_overview(self, scored: DataFrame, staged) -> None:
-        rows = scored.where("rewritten").select(*OVERVIEW_COLUMNS, F.current_timestamp().alias("updated_at"))
-        rows = rows.withColumns({"part": self._part(F.col(USER)), "month": F.date_format("day", "yyyy-MM")})
-        rows = staged(rows, "rows")
+    def _write_overview(self, scored: DataFrame) -> None:
+        rows = scored.where("rewritten").select(*OVERVIEW_COLUMNS, F.current_timestamp().alias("updated_at"), "part", "month")
         touched = rows.select("part", "month").distinct()
         folders = touched.collect()  # bounded by parts and months; known here, so that no other folder is listed or read
         old = self._read("overview").where(F.col("part").isin({f.part for f in folders}) & F.col("month").isin({f.month for f in folders}))
         old = old.join(F.broadcast(touched), ["part", "month"], "left_semi").join(rows.select(USER, "day"), [USER, "day"], "left_anti")
         self._overwrite(old.select(*rows.columns).union(rows), "overview")
 
-    def _write_state(self, others: DataFrame, scored: DataFrame, found: DataFrame, users: DataFrame) -> None:
+    def _write_state(self, others: DataFrame, scored: DataFrame, going_on: DataFrame, new: DataFrame) -> None:
         newest = Window.partitionBy(USER).orderBy(F.col("day").desc())
         tail = scored.withColumn("recency", F.row_number().over(newest)).where(F.col("recency") <= REACH)
         tail = tail.groupBy(USER).agg(F.max("day").alias("last_day"), F.sort_array(F.collect_list(F.struct("day", *WIDE_METRICS))).alias("tail"))
-        packed = found.groupBy(USER).agg(F.sort_array(F.collect_list(F.struct(*_MOMENTS.fieldNames()))).alias("moments"))  # 42 at most
-        rows = tail.join(packed, USER, "left").withColumn("part", self._part(F.col(USER)))
+        rows = tail.join(going_on.select(USER, F.col("moments").alias("old")), USER, "left")
+        # Moments are far larger than the rows that their size is estimated from, too large for a broadcast.
+        rows = rows.join(new.withColumnRenamed("moments", "new").hint("merge"), USER, "left")
+        rows = rows.withColumns({"moments": merged_moments(F.col("old"), F.col("new")), "part": self._part(F.col(USER))})
         self._overwrite(others.select(*STATE.fieldNames()).union(rows.select(*STATE.fieldNames())), "state")
 
     def _overwrite(self, frame: DataFrame, table: str) -> None:

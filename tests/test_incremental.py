@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.plans import EventStore
-from pulseframe.plans.incremental import IncrementalTables
+from pulseframe.plans.incremental import IncrementalTables, merged_moments, moments
 from pulseframe.schema import EVENT, USER, WIDE_METRICS
+from pulseframe.session import scratch
 
 START = dt.date(2031, 1, 5)
 
@@ -138,3 +139,33 @@ def test_a_stopped_refresh_is_repeated(spark, store, monkeypatch, step):
     assert tables.pending()
     tables.refresh()
     check(store, tables)
+
+
+def test_moments_are_one_row_a_user(spark):
+    """Moments of a user's pairs are one row, without an exchange for each pair; two of them merge to those of all samples."""
+    draw = random.Random(4)
+    rows = [(u, p, draw.uniform(-9, 9), draw.choice([1.5, draw.uniform(0, 5)]), s) for u in "abc" for p, s in ((0, 0), (0, 1), (3, 0), (7, 1)) for _ in range(draw.randrange(1, 9))]
+    rows += [("old", 5, 0.1, 2.0, 0), ("old", 5, 0.1, 3.0, 0), ("new", 5, 0.1, 3.0, 1), ("a", 9, 0.1, 0.1, 0), ("a", 9, 0.1, 0.1, 0), ("a", 9, 0.1, 0.1, 1)]
+    samples = spark.createDataFrame(rows, f"{USER} string, pair int, x double, y double, side int").repartition(3, USER)
+    old, new, want = (moments(f.drop("side")) for f in (samples.where("side = 0"), samples.where("side = 1"), samples))
+    plan = want._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the repartition above
+    both = old.withColumnRenamed("moments", "old").join(new.withColumnRenamed("moments", "new"), USER, "full")
+    got = {r[USER]: r.m for r in both.select(USER, merged_moments(F.col("old"), F.col("new")).alias("m")).collect()}
+    assert sorted(got) == sorted({u for u, *_ in rows})
+    for user, found in want.collect():
+        assert [m.pair for m in got[user]] == [m.pair for m in found] == sorted({p for u, p, *_ in rows if u == user})
+        same(got[user], found)
+    assert next(m for m in got["a"] if m.pair == 9).xx == 0.0
+
+
+def test_a_refresh_writes_rows_once_before_the_tables(spark, store):
+    """Nothing but day totals, users, days and scored days is written on the way: overview and state come straight from the scored days."""
+    tables = IncrementalTables(store, parts=2)
+    root = Path(scratch(spark, "x")).parent
+    before = set(root.glob("incremental-refresh-*"))
+    store.append_events(events(spark, random_days(random.Random(2), "u", range(9))), "test", 1)
+    tables.refresh()
+    (made,) = set(root.glob("incremental-refresh-*")) - before
+    assert {f.name for f in made.iterdir()} == {"totals", "users", "days", "scored"}
+    check(store, tables)
